@@ -31,21 +31,29 @@ FILE_KEYS = ("repo_id", "file_id", "path")
 _FILE = "repo_id STRING, file_id BIGINT, path STRING"
 
 # One row per syntax node. `kids` describes the direct children of nodes that rules look at, so
-# that a rule about a node and its children needs no join.
+# that a rule about a node and its children needs no join. In a kid, `text` is the node's text (see
+# below), `name` a keyword's or name's identifier, `value` the kind below a keyword, `same` a hash
+# of the whole operand of a comparison.
 KID = (
     "STRUCT<field: STRING, idx: INT, kind: STRING, name: STRING, const: STRING, truth: BOOLEAN, "
-    "text: STRING, dump: STRING, pre: INT, line: INT, col: INT, depth: INT>"
+    "text: STRING, value: STRING, same: STRING, line: INT, col: INT>"
 )
+# `text`: value of a string constant, constant parts of an f-string joined by newlines, left string
+# constant of a binary operation, module of an import. `shape`: node kinds of a function body.
 PY_NODES = (
     f"{_FILE}, pre INT, last INT, parent INT, depth INT, kind STRING, field STRING, idx INT, "
     "line INT, col INT, end_line INT, end_col INT, name STRING, dotted STRING, ctx STRING, "
     "const STRING, text STRING, hidden BOOLEAN, target BOOLEAN, operands INT, "
-    f"fn_chain ARRAY<INT>, kids ARRAY<{KID}>, strings ARRAY<STRING>, error STRING"
+    f"fn_chain ARRAY<INT>, fn_visible INT, kids ARRAY<{KID}>, strings ARRAY<STRING>, "
+    "shape STRING, error STRING"
 )
 # One row per file with its tokens in order; neighbours are read by shifting the array.
+# `chain` is the dotted run a token belongs to, `before` and `after` the tokens around that run,
+# `fn` the position of the top-level function or method around the token, `owner` the variable of
+# an initialiser or the module of an imported name.
 TOKEN = (
     "STRUCT<pos: INT, line: INT, col: INT, kind: STRING, text: STRING, brace: INT, paren: INT, "
-    "chain: STRING, before: STRING, after: STRING, fn: INT, role: STRING>"
+    "chain: STRING, before: STRING, after: STRING, fn: INT, role: STRING, owner: STRING>"
 )
 JS_FILES = f"{_FILE}, tokens ARRAY<{TOKEN}>"
 ARCHIVE_ENTRIES = (
