@@ -299,9 +299,11 @@ def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
 def secrets_in_text(documents: DataFrame, key: str, text: str) -> DataFrame:
     """`name = "value"` passages of plain texts, judged like variables of a script."""
     pattern = r'(\w*)\s*=\s*"([^"]*)"'
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("name"),
-                         F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
-    found = documents.select(key, F.posexplode(pairs).alias("pos", "pair"))
-    name, value = F.col("pair.name"), F.col("pair.value")
-    return found.where((name != "") & secret_name(name) & secret_value(value)).select(
-        key, "pos", name.alias("name"), value.alias("value"))
+    # A cheap test first: the full pattern tries every word of a text.
+    passages = documents.where(F.col(text).rlike(r'=\s*"')).select(
+        key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "pair"))
+    parts = passages.select(
+        key, "pos", F.regexp_extract("pair", pattern, 1).alias("name"),
+        F.regexp_extract("pair", pattern, 2).alias("value"))
+    return parts.where((F.col("name") != "") & secret_name(F.col("name"))
+                       & secret_value(F.col("value")))

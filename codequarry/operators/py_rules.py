@@ -185,12 +185,16 @@ LOCAL_RULES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
+def kinds_of(*rules: str) -> list[str]:
+    """Node kinds that some local rules look at, to parse for these rules only."""
+    return sorted({kind for r in (rules or LOCAL_RULES) for kind in LOCAL_RULES[r][0]})
+
+
 def local_findings(nodes: DataFrame, *rules: str) -> DataFrame:
     """All chosen local rules in one pass over the nodes they look at."""
-    chosen = {r: LOCAL_RULES[r] for r in (rules or LOCAL_RULES)}
-    kinds = sorted({k for ks, _ in chosen.values() for k in ks})
-    hits = F.array_compact(F.array(*[make() for _, make in chosen.values()]))
-    found = nodes.where(_of(*kinds) & ~F.col("hidden")).select(
+    chosen = [LOCAL_RULES[r][1]() for r in (rules or LOCAL_RULES)]
+    hits = F.array_compact(F.array(*chosen))
+    found = nodes.where(_of(*kinds_of(*rules)) & ~F.col("hidden")).select(
         *KEYS, "line", "col", "pre", F.explode(hits).alias("hit"))
     return _findings(found.select(
         *KEYS, "line", "col", "hit.*", F.lit(None).cast("string").alias("name"),

@@ -17,8 +17,8 @@ SHOWN = ("repo_id", "file", "type", "line", "confidence")
 PY, JS = f"no < {tp.FIRST_SCRIPT}", f"no >= {tp.FIRST_SCRIPT}"
 
 
-def nodes(spark, d):
-    return pynodes.py_nodes(corpus.python_files(tp.source_files(spark, d)))
+def nodes(spark, d, *kinds: str):
+    return pynodes.py_nodes(corpus.python_files(tp.source_files(spark, d)), kinds or None)
 
 
 def tokens(spark, d):
@@ -51,19 +51,20 @@ def types(*names: str) -> str:
 SELECT repo_id, kind, CAST(sum(n) AS BIGINT) AS nodes FROM t_files JOIN kinds USING (no) GROUP BY repo_id, kind""")
 def py_node_counts(spark, d):
     shown = ("FunctionDef", "BinOp", "Name", "Import", "alias", "Call", "Error")
-    return nodes(spark, d).where(F.col("kind").isin(*shown)).groupBy("repo_id", "kind").agg(
+    return nodes(spark, d, *shown).groupBy("repo_id", "kind").agg(
         F.count(F.lit(1)).alias("nodes"))
 
 
 @register("py_parse_errors", with_views(tp.T_FILES) +
           "SELECT repo_id, file_id, path, 'SyntaxError' AS error FROM t_files WHERE no = 13")
 def py_parse_errors(spark, d):
-    return pynodes.parse_errors(nodes(spark, d))
+    return pynodes.parse_errors(nodes(spark, d, "Error"))
 
 
 def _local(name: str, where: str, *rules: str):
     register(name, expected(f"{PY} AND {where}"))(
-        lambda spark, d: deduped(py_rules.local_findings(nodes(spark, d), *rules)))
+        lambda spark, d: deduped(py_rules.local_findings(
+            nodes(spark, d, *py_rules.kinds_of(*rules)), *rules)))
 
 
 _local("rule_call_sinks", types("DANGEROUS_EVAL", "DANGEROUS_DESERIALIZATION", "WEAK_HASH") +
@@ -81,12 +82,13 @@ _local("rule_secret_py", types("HARDCODED_SECRET"), "secret")
 
 @register("rule_unused_import", expected(types("UNUSED_IMPORT")))
 def rule_unused_import(spark, d):
-    return deduped(py_rules.unused_imports(nodes(spark, d)))
+    return deduped(py_rules.unused_imports(nodes(spark, d, "Name", "Import", "ImportFrom")))
 
 
 @register("rule_unused_variable", expected(types("UNUSED_VARIABLE")))
 def rule_unused_variable(spark, d):
-    return deduped(py_rules.unused_variables(nodes(spark, d)))
+    return deduped(py_rules.unused_variables(
+        nodes(spark, d, "Name", "ExceptHandler", "FunctionDef", "AsyncFunctionDef")))
 
 
 @register("rule_unreachable", expected(types("UNREACHABLE_CODE")))
@@ -139,11 +141,11 @@ FROM fns JOIN others USING (repo_id, class) WHERE members >= 2"""
 
 @register("dup_signatures", FUNCTIONS + "SELECT repo_id, path, name, tokens FROM fns")
 def dup_signatures(spark, d):
-    return duplicates.functions(nodes(spark, d)).select("repo_id", "path", "name", "tokens")
+    return duplicates.functions(nodes(spark, d, "FunctionDef", "AsyncFunctionDef")).select("repo_id", "path", "name", "tokens")
 
 
 def functions(spark, d):
-    return written(duplicates.functions(nodes(spark, d)), "functions")
+    return written(duplicates.functions(nodes(spark, d, "FunctionDef", "AsyncFunctionDef")), "functions")
 
 
 @register("dup_functions", FUNCTIONS + DUP_SELECT)
@@ -167,7 +169,8 @@ WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' '
 SELECT doc_id, copies, first FROM n JOIN (
   SELECT norm, count(*) AS copies, min(doc_id) AS first FROM n GROUP BY norm HAVING count(*) > 1) USING (norm)""")
 def dup_documents(spark, d):
-    return duplicates.duplicate_texts(v.table(spark, d, "documents"), "doc_id", "text")
+    return duplicates.duplicate_texts(v.wide_table(spark, d, "documents", "doc_id", "text"),
+                                      "doc_id", "text")
 
 
 # --- JavaScript and TypeScript ----------------------------------------------
@@ -251,4 +254,5 @@ WHERE regexp_matches(name, '(?i)secret|key|token|password|passwd|api')
   AND (regexp_matches(value, '(?i)^(sk-|pk-|ghp_|AKIA|eyJ)')
        OR (len(value) >= 16 AND NOT regexp_matches(value, '(?i)example|placeholder|your|changeme')))""")
 def secret_scan_documents(spark, d):
-    return js_rules.secrets_in_text(v.table(spark, d, "documents"), "doc_id", "text")
+    return js_rules.secrets_in_text(v.wide_table(spark, d, "documents", "doc_id", "text"),
+                                    "doc_id", "text")

@@ -181,7 +181,7 @@ def zipped_documents(spark, d):
                 out.append((f"d{i}.zip", whole[: len(whole) // 2] if i % 31 == 0 else whole))
             yield pd.DataFrame(out, columns=["archive", "content"])
 
-    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    docs = v.wide_table(spark, d, "documents", "doc_id", "text")
     return docs.mapInPandas(pack, "archive STRING, content BINARY")
 
 

@@ -16,7 +16,8 @@ LINES = """base AS (
 
 def report(spark, d, tool: str, body) -> object:
     """One report per event. Two issues each, so that exploding keeps the order inside a report."""
-    e = v.table(spark, d, "events").withColumn("k", v.event_key())
+    e = v.wide_table(spark, d, "events", "event_id", "user_id", "event_type", "value",
+                     "props").withColumn("k", v.event_key())
     return e.select(
         F.col("user_id").alias("run_id"), F.concat(F.lit("r"), F.col("user_id").cast("string"))
         .alias("repo_id"), F.lit(tool).alias("tool"), body.alias("stdout"),
@@ -41,7 +42,7 @@ SELECT run_id, 'src/f' || event_id || '.py' AS file, CASE WHEN k % 7 = 0 THEN 'B
     || CASE WHEN k % 3 = 0 THEN 'n/a' ELSE CAST(k AS VARCHAR) END AS description,
   CASE k % 5 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN CAST(0.35 AS DOUBLE) WHEN 2 THEN CAST(0.6 AS DOUBLE)
     WHEN 3 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
-  'B' || (k % 9) AS rule, least(1960 + k, 2000) AS code_length
+  'B' || (k % 9) AS rule, CASE WHEN k % 10 = 0 THEN least(1960 + k, 2000) ELSE k END AS code_length
 FROM base, (SELECT unnest([0, 1]) AS i)""")
 def norm_bandit(spark, d):
     k = F.col("k")
@@ -52,7 +53,7 @@ def norm_bandit(spark, d):
         (k % 4).alias("col_offset"), F.lit("text").alias("issue_text"),
         v.pick(k % 5, ("UNDEFINED", "low", "Medium", "HIGH", "odd")).alias("issue_confidence"),
         F.when(k % 3 != 0, F.struct(k.alias("id"))).alias("issue_cwe"),
-        F.repeat(F.lit("c"), 1960 + k).alias("code"))
+        F.repeat(F.lit("c"), F.when(k % 10 == 0, 1960 + k).otherwise(k)).alias("code"))
     found = r.bandit(report(spark, d, "bandit", F.to_json(F.struct(issues.alias("results")))))
     return found.select("run_id", "file", "type", "category", "line", "col", "description",
                         "confidence", "evidence.rule",

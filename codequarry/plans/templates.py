@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.plans import views as v
-from codequarry.session import widened
 
 FIRST_SCRIPT = 16  # templates from here on are TypeScript
 TEMPLATES = (
@@ -73,7 +72,7 @@ SHAPES = {4: ("q", 10, 4), 5: ("f", 13, 5), 11: ("c", 12, 11), 14: ("gather", 11
 
 def source_files(spark, d) -> DataFrame:
     """One source file per document, and one library file per repository."""
-    docs = widened(v.table(spark, d, "documents").select("doc_id", "source", "text"))
+    docs = v.wide_table(spark, d, "documents", "doc_id", "source", "text")
     no, i = v.doc_no(len(TEMPLATES)), F.col("doc_id").cast("string")
     script = no >= FIRST_SCRIPT
     program = F.replace(v.pick(no, TEMPLATES), F.lit("{doc_id}"), i)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import scoring
 from codequarry.functions.text import lookup
+from codequarry.session import widened
 
 PART_TYPES = {
     "ECONOMY": "SQL_INJECTION", "LARGE": "HARDCODED_SECRET", "MEDIUM": "SELF_COMPARISON",
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table that is worked on heavily: spread over all slots if it has few splits."""
+    return widened(table(spark, sf_dir, name).select(*columns), columns[0])
+
+
 def pick(index: Column, values) -> Column:
     """Element of a short fixed list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -66,7 +72,9 @@ def runs(spark, d) -> DataFrame:
 
 def findings(spark, d) -> DataFrame:
     """Findings with duplicates, from line items: 20 runs, 50 files, three sources, six types."""
-    lines = table(spark, d, "lineitem")
+    lines = wide_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+                       "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                       "l_returnflag", "l_shipdate")
     parts = table(spark, d, "part").select("p_partkey", "p_type")
     type_ = lookup(F.col("p_type"), PART_TYPES, None)
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(

@@ -55,10 +55,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def widened(df: DataFrame) -> DataFrame:
+def widened(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan that has fewer splits than there are task slots (small files only).
 
     A large corpus already has more splits than slots, and is left as it is: no shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df

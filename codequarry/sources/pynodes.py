@@ -19,23 +19,24 @@ from codequarry.functions import fixed_values as fv
 from codequarry.schemas import PY_NODES
 
 NODES_PER_BATCH = 20_000
-FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def py_nodes(files: DataFrame) -> DataFrame:
+def py_nodes(files: DataFrame, kinds=None) -> DataFrame:
     """Nodes of all given files; a file that cannot be parsed gives one row of kind 'Error'.
 
-    The result has the partitioning of the input: a map without a shuffle.
+    The result has the partitioning of the input: a map without a shuffle. With `kinds`, only nodes
+    of these kinds leave the Python worker.
     """
     schema = to_arrow_schema(_parse_datatype_string(PY_NODES))
+    wanted = None if kinds is None else frozenset(kinds)
 
     def flatten(batches):
         rows: list[tuple] = []
         for batch in batches:
             for repo, file_id, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (repo, file_id, path)
-                rows.extend(key + row for row in nodes_of(content))
+                rows.extend((repo, file_id, path, *row) for row in nodes_of(content)
+                            if wanted is None or row[KIND] in wanted)
                 if len(rows) >= NODES_PER_BATCH:
                     yield _batch(rows, schema)
                     rows = []
@@ -53,76 +54,99 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 _FIELDS = ("pre last parent depth kind field idx line col end_line end_col name dotted ctx const "
            "text hidden target operands fn_chain fn_visible kids strings shape error").split()
+LAST, DEPTH, KIND, SHAPE = (_FIELDS.index(n) for n in ("last", "depth", "kind", "shape"))
 
 
-def nodes_of(source: str) -> list[tuple]:
+def nodes_of(source: str) -> list[list]:
     """Rows of one file in pre-order."""
     try:
         tree = ast.parse(source)
     except PARSE_ERRORS as e:
         row = dict.fromkeys(_FIELDS)
         row.update(pre=0, last=0, depth=0, kind="Error", error=type(e).__name__, hidden=False)
-        return [tuple(row.values())]
+        return [list(row.values())]
     rows: list[list] = []
     # (node, parent, depth, field, idx, enclosing functions, visible ones, hidden, control target)
     stack = [(tree, None, 0, None, None, [], 0, False, False)]
-    position = {name: i for i, name in enumerate(_FIELDS)}
     while stack:
         node, parent, depth, field, idx, chain, visible, hidden, target = stack.pop()
-        pre = len(rows)
-        kind = type(node).__name__
-        children = [c for c in _children(node) if not isinstance(c[2], ast.expr_context)]
+        pre, cls = len(rows), type(node)
+        children = _children(node)
+        line = getattr(node, "lineno", 0)
+        name, text = _NAMES.get(cls), _TEXTS.get(cls)
         rows.append([
-            pre, pre, parent, depth, kind, field, idx, getattr(node, "lineno", 0),
-            getattr(node, "col_offset", 0), getattr(node, "end_lineno", None),
-            getattr(node, "end_col_offset", None), _name(node),
-            _dotted(node.func if isinstance(node, ast.Call) else node),
-            type(node.ctx).__name__ if isinstance(node, ast.Name) else None, _const(node),
-            _text(node), hidden, target,
-            len(node.values) if isinstance(node, ast.BoolOp) else None, chain, visible,
-            _kids(node, children), _strings(node), None, None,
+            pre, pre, parent, depth, cls.__name__, field, idx, line,
+            node.col_offset if line else 0, node.end_lineno if line else None,
+            node.end_col_offset if line else None, name(node) if name else None,
+            _dotted(node.func if cls is ast.Call else node),
+            type(node.ctx).__name__ if cls is ast.Name else None,
+            _const(node) if cls is ast.Constant else None, text(node) if text else None, hidden,
+            target, len(node.values) if cls is ast.BoolOp else None, chain, visible,
+            _kids(node, children) if cls in _WITH_KIDS else None,
+            _strings(node) if cls in _ASSIGNMENTS else None, None, None,
         ])
-        below = hidden or _stops_visit(node)
-        if isinstance(node, FUNCTIONS):
+        if not children:
+            continue
+        if cls is ast.ExceptHandler or cls is ast.Call:
+            hidden_below = hidden or _stops_visit(node)
+        else:
+            hidden_below = hidden
+        if cls in _FUNCTIONS:
             chain, visible = [*chain, pre], visible + (not hidden)
-        bound = _control_target(node)
-        if isinstance(node, ast.withitem) and (idx > 0 or rows[parent][4] != "With"):
+        bound = _control_target(node, cls)
+        if cls is ast.withitem and (idx > 0 or rows[parent][KIND] != "With"):
             bound = None
-        for name, i, child in reversed(children):
-            stack.append((child, pre, depth + 1, name, i, chain, visible, below, child is bound))
-    _close(rows, position)
-    return [tuple(r) for r in rows]
+        for child_field, i, child in reversed(children):
+            stack.append((child, pre, depth + 1, child_field, i, chain, visible, hidden_below,
+                          child is bound))
+    _close(rows)
+    return rows
 
 
-def _close(rows: list[list], at: dict[str, int]) -> None:
+def _close(rows: list[list]) -> None:
     """Fill `last` (end of the subtree) bottom-up, then the shape of each function."""
     for row in reversed(rows):
-        parent = row[at["parent"]]
-        if parent is not None:
-            rows[parent][at["last"]] = max(rows[parent][at["last"]], row[at["last"]])
+        parent = row[2]
+        if parent is not None and row[LAST] > rows[parent][LAST]:
+            rows[parent][LAST] = row[LAST]
     for row in rows:
-        if row[at["kind"]] in ("FunctionDef", "AsyncFunctionDef"):
-            body = rows[row[0] + 1: row[at["last"]] + 1]
-            body.sort(key=lambda r: r[at["depth"]])  # stable: breadth-first order
-            kinds = (r[at["kind"]] for r in body)
-            row[at["shape"]] = " ".join(
-                "DEF" if k in ("FunctionDef", "AsyncFunctionDef") else k
-                for k in kinds if k not in fv.SHAPE_SKIPPED_KINDS)
-
-
-def _children(node):
-    for name, value in ast.iter_fields(node):
-        if isinstance(value, ast.AST):
-            yield name, 0, value
-        elif isinstance(value, list):
-            for i, item in enumerate(value):
-                if isinstance(item, ast.AST):
-                    yield name, i, item
+        if row[KIND] in _FUNCTION_KINDS:
+            body = rows[row[0] + 1: row[LAST] + 1]
+            body.sort(key=lambda r: r[DEPTH])  # stable: breadth-first order
+            row[SHAPE] = " ".join("DEF" if r[KIND] in _FUNCTION_KINDS else r[KIND]
+                                  for r in body if r[KIND] not in _SKIPPED)
+
+
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_FUNCTION_KINDS = ("FunctionDef", "AsyncFunctionDef")
+_SKIPPED = frozenset(fv.SHAPE_SKIPPED_KINDS)
+_ASSIGNMENTS = (ast.Assign, ast.AnnAssign)
+_LOOPS = (ast.For, ast.AsyncFor, ast.comprehension)
+# Nodes whose children rules look at, and nodes that hold lists of statements.
+_WITH_KIDS = frozenset((
+    ast.Call, ast.Compare, ast.Import, ast.ImportFrom, *_ASSIGNMENTS, ast.Module, *_FUNCTIONS,
+    ast.ClassDef, ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith, ast.Try,
+    ast.TryStar, ast.ExceptHandler, ast.match_case,
+))
+
+
+def _children(node) -> list[tuple]:
+    """(field, position, child) in the order of the grammar, without load and store marks."""
+    out = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        if isinstance(value, list):
+            out.extend((name, i, x) for i, x in enumerate(value) if isinstance(x, ast.AST))
+        elif isinstance(value, ast.AST) and not isinstance(value, ast.expr_context):
+            out.append((name, 0, value))
+    return out
 
 
 def _dotted(node) -> str | None:
     """a.b.c of a chain of attributes; a base that is no name counts as ''."""
-    if not isinstance(node, (ast.Name, ast.Attribute)):
+    if isinstance(node, ast.Name):
+        return node.id
+    if not isinstance(node, ast.Attribute):
         return None
     names = []
     while isinstance(node, ast.Attribute):
@@ -132,66 +156,64 @@ def _dotted(node) -> str | None:
     return ".".join(reversed(names))
 
 
-def _name(node) -> str | None:
-    match node:
-        case ast.Name(id=name) | ast.keyword(arg=name) | ast.ExceptHandler(name=name):
-            return name
-        case ast.Attribute(attr=name) | ast.arg(arg=name):
-            return name
-        case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
-            return name
-        case ast.alias(name=name, asname=asname):
-            return (asname or name).split(".")[0]
-        case ast.BinOp(op=op):
-            return type(op).__name__
-        case ast.Expr(value=ast.Call(func=func)):
-            return _dotted(func)
-    return None
+_NAMES = {
+    ast.Name: lambda n: n.id,
+    ast.keyword: lambda n: n.arg,
+    ast.arg: lambda n: n.arg,
+    ast.Attribute: lambda n: n.attr,
+    ast.ExceptHandler: lambda n: n.name,
+    ast.FunctionDef: lambda n: n.name,
+    ast.AsyncFunctionDef: lambda n: n.name,
+    ast.ClassDef: lambda n: n.name,
+    ast.alias: lambda n: (n.asname or n.name).split(".")[0],
+    ast.BinOp: lambda n: type(n.op).__name__,
+    ast.Expr: lambda n: _dotted(n.value.func) if isinstance(n.value, ast.Call) else None,
+}
 
 
-def _const(node) -> str | None:
-    if not isinstance(node, ast.Constant):
-        return None
+def _const(node) -> str:
     return "none" if node.value is None else type(node.value).__name__
 
 
-def _text(node) -> str | None:
-    match node:
-        case ast.Constant(value=str(text)) | ast.BinOp(left=ast.Constant(value=str(text))):
-            return _storable(text)
-        case ast.JoinedStr(values=values):
-            pieces = [v.value for v in values if isinstance(v, ast.Constant)]
-            return _storable("\n".join(pieces)) if pieces else None
-        case ast.ImportFrom(module=module):
-            return str(module)
-        case ast.alias(name=name):
-            return name
-        case ast.keyword(value=ast.Name(id=name)):
-            return name
+def _string(node) -> str | None:
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return _storable(node.value)
     return None
 
 
-def _storable(text: str) -> str:
-    """Lone surrogates cannot be stored as UTF-8."""
-    return text.encode("utf-8", "replace").decode("utf-8")
+def _constant_parts(node) -> str | None:
+    parts = [v.value for v in node.values if isinstance(v, ast.Constant)]
+    return _storable("\n".join(parts)) if parts else None
 
 
-_WITH_KIDS = (ast.Call, ast.Compare, ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)
+_TEXTS = {
+    ast.Constant: _string,
+    ast.BinOp: lambda n: _string(n.left),
+    ast.JoinedStr: _constant_parts,
+    ast.ImportFrom: lambda n: str(n.module),
+    ast.alias: lambda n: n.name,
+    ast.keyword: lambda n: n.value.id if isinstance(n.value, ast.Name) else None,
+}
 
 
-def _kids(node, children) -> list[tuple] | None:
-    """Children that rules look at: of the kinds above, and of all that hold statements."""
-    if not isinstance(node, _WITH_KIDS) and not any(isinstance(c, ast.stmt) for *_, c in children):
-        return None
+def _storable(text: str) -> str:
+    """Lone surrogates cannot be stored as UTF-8."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _kids(node, children) -> list[tuple]:
     compared = isinstance(node, ast.Compare)
     out = []
     for field, i, c in children:
-        inner = c.value if isinstance(c, ast.keyword) else c
+        cls = type(c)
+        inner = c.value if cls is ast.keyword else c
+        constant = isinstance(inner, ast.Constant)
+        name, text = _NAMES.get(cls), _TEXTS.get(cls)
         out.append((
-            field, i, type(c).__name__, _name(c), _const(inner),
-            bool(inner.value) if isinstance(inner, ast.Constant) else None, _text(c),
-            type(inner).__name__ if inner is not c else None,
-            _digest(c) if compared else None, getattr(c, "lineno", 0), getattr(c, "col_offset", 0),
+            field, i, cls.__name__, name(c) if name else None, _const(inner) if constant else None,
+            bool(inner.value) if constant else None, text(c) if text else None,
+            type(inner).__name__ if inner is not c else None, _digest(c) if compared else None,
+            getattr(c, "lineno", 0), getattr(c, "col_offset", 0),
         ))
     return out
 
@@ -205,10 +227,8 @@ def _digest(node) -> str | None:
 
 def _strings(node) -> list[str] | None:
     """String constants in the value that is assigned to a name."""
-    if not isinstance(node, (ast.Assign, ast.AnnAssign)) or node.value is None:
-        return None
     targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-    if not any(isinstance(t, ast.Name) for t in targets):
+    if node.value is None or not any(isinstance(t, ast.Name) for t in targets):
         return None
     return [_storable(n.value) for n in ast.walk(node.value)
             if isinstance(n, ast.Constant) and isinstance(n.value, str)]
@@ -216,25 +236,17 @@ def _strings(node) -> list[str] | None:
 
 def _stops_visit(node) -> bool:
     """Nodes below which visitor rules do not look."""
-    match node:
-        case ast.ExceptHandler(body=[ast.Raise()]):
-            return True
-        case ast.Call(func=func, keywords=keywords) if _dotted(func) == "yaml.load":
-            return any(k.arg == "Loader" and isinstance(k.value, ast.Name)
-                       and k.value.id == "FullLoader" for k in keywords)
-    return False
-
-
-def _control_target(node):
-    """The name that a loop, comprehension or first with-item binds."""
-    match node:
-        case ast.For(target=ast.Name() as t) | ast.AsyncFor(target=ast.Name() as t):
-            return t
-        case ast.comprehension(target=ast.Name() as t):
-            return t
-        case ast.withitem(optional_vars=ast.Name() as t):
-            return t
-    return None
+    if isinstance(node, ast.ExceptHandler):
+        return len(node.body) == 1 and isinstance(node.body[0], ast.Raise)
+    return _dotted(node.func) == "yaml.load" and any(
+        k.arg == "Loader" and isinstance(k.value, ast.Name) and k.value.id == "FullLoader"
+        for k in node.keywords)
+
+
+def _control_target(node, cls):
+    """The name that a loop, comprehension or with-item binds."""
+    target = node.target if cls in _LOOPS else node.optional_vars if cls is ast.withitem else None
+    return target if isinstance(target, ast.Name) else None
 
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
