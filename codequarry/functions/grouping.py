@@ -49,16 +49,19 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
 
 def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str,
               spread_by: Sequence[str], hot_rows: int = HOT_ROWS, slots: int = HOT_SLOTS,
-              max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+              max_hot: int = MAX_HOT_KEYS, count_in: DataFrame | None = None) -> DataFrame:
     """Join a large side with a side that is unique per key, sharing each hot key among tasks.
 
     Keys with at least `hot_rows` rows are counted first (partial aggregation), and the largest
     `max_hot` of them are broadcast: a list of fixed size. Rows of a hot key get a slot from a
     hash of `spread_by`, and the one matching row is repeated per slot. Keys outside the list own
     at most 1/max_hot of the rows. With no hot key the plan is an ordinary join.
+
+    Counting reads `big` once more, keys only. When `big` is the outcome of costly steps, give a
+    stored table with at least its rows as `count_in`.
     """
     hot = (
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+        (big if count_in is None else count_in).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
         .orderBy(F.desc("_n"), *keys).limit(max_hot)
         .select(*keys, F.lit(slots).alias("_slots"))
     )

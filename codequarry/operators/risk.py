@@ -16,14 +16,17 @@ def latest_stats(stats: DataFrame, order: str = "ord") -> DataFrame:
         F.max_by("complexity", order).alias("complexity"))
 
 
-def score(findings: DataFrame, stats: DataFrame, spread_by=("type", "line", "ord")) -> DataFrame:
+def score(findings: DataFrame, stats: DataFrame, spread_by=("type", "line", "ord"),
+          count_in: DataFrame | None = None) -> DataFrame:
     """Add risk_raw, risk_score, severity and model_version.
 
-    `stats` has one row per (run_id, path). A file without statistics gets no boost.
+    `stats` has one row per (run_id, path). A file without statistics gets no boost. `count_in` is
+    a stored table to look for hot files in, when the findings themselves are not stored.
     """
     by_file = stats.select("run_id", F.col("path").alias("file"),
                            F.col("complexity").alias("_complexity"))
-    joined = skew_join(findings, by_file, ["run_id", "file"], "left", list(spread_by))
+    joined = skew_join(findings, by_file, ["run_id", "file"], "left", list(spread_by),
+                       count_in=count_in)
     return scored(joined, F.col("_complexity")).drop("_complexity")
 
 
@@ -37,11 +40,14 @@ def scored(findings: DataFrame, complexity) -> DataFrame:
     )
 
 
-def rescore_completed(findings: DataFrame, stats: DataFrame, runs: DataFrame) -> DataFrame:
+def rescore_completed(findings: DataFrame, stats: DataFrame, runs: DataFrame,
+                      count_in: DataFrame | None = None) -> DataFrame:
     """Score again, for completed runs only."""
     done = runs.where(F.col("status") == "completed").select("run_id").distinct()
-    kept = skew_join(findings, done, ["run_id"], "left_semi", ["type", "line", "ord"])
-    return score(kept, stats)
+    stored = findings if count_in is None else count_in
+    kept = skew_join(findings, done, ["run_id"], "left_semi", ["type", "line", "ord"],
+                     count_in=stored)
+    return score(kept, stats, count_in=stored)
 
 
 def refused_runs(runs: DataFrame) -> DataFrame:

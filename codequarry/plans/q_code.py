@@ -8,6 +8,7 @@ from codequarry.functions import text as t
 from codequarry.operators import duplicates, findings, js_rules, py_rules
 from codequarry.plans import templates as tp
 from codequarry.plans import views as v
+from codequarry.plans.analysis import analyse
 from codequarry.plans.registry import register
 from codequarry.plans.view_sql import with_views
 from codequarry.session import written
@@ -256,3 +257,33 @@ WHERE regexp_matches(name, '(?i)secret|key|token|password|passwd|api')
 def secret_scan_documents(spark, d):
     return js_rules.secrets_in_text(v.wide_table(spark, d, "documents", "doc_id", "text"),
                                     "doc_id", "text")
+
+
+# --- the whole analysis -----------------------------------------------------
+@register("analyse_corpus", FUNCTIONS.replace(tp.SHAPES_SQL, tp.SHAPES_SQL + ",\n" + tp.EXPECTED_SQL) + """, found AS (
+  SELECT repo_id, CASE WHEN no < 16 THEN 'ast-custom' ELSE 'ts-morph' END AS source, type, path AS file, line, confidence
+  FROM t_files JOIN expected USING (no)
+  UNION ALL
+  SELECT repo_id, 'dup', 'DUPLICATE_FUNCTION', path, 1, CAST(0.6 AS DOUBLE) FROM fns WHERE members >= 2 AND position <= 4),
+capped AS (SELECT *, row_number() OVER (PARTITION BY repo_id, source ORDER BY file, line) AS rn FROM found),
+raw AS (SELECT *, (CAST(0.5 AS DOUBLE)
+   + CASE WHEN type IN ('SQL_INJECTION', 'DANGEROUS_EVAL', 'HARDCODED_SECRET') THEN CAST(0.25 AS DOUBLE)
+          WHEN type IN ('DANGEROUS_FUNCTION', 'UNSAFE_INNER_HTML', 'UNSAFE_SUBPROCESS') THEN CAST(0.2 AS DOUBLE)
+          WHEN type = 'SELF_COMPARISON' THEN CAST(0.3 AS DOUBLE)
+          WHEN type IN ('ASSERT_VALIDATION', 'NONE_COMPARISON') THEN CAST(0.05 AS DOUBLE)
+          WHEN type = 'UNUSED_VARIABLE' THEN CAST(-0.15 AS DOUBLE)
+          WHEN type = 'UNUSED_FUNCTION' THEN CAST(-0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+   + CASE WHEN type IN ('SQL_INJECTION', 'DANGEROUS_EVAL', 'HARDCODED_SECRET', 'DANGEROUS_FUNCTION', 'UNSAFE_INNER_HTML',
+                        'UNSAFE_SUBPROCESS', 'WEAK_HASH') THEN CAST(0.1 AS DOUBLE)
+          WHEN type IN ('SELF_COMPARISON', 'ASSERT_VALIDATION', 'NONE_COMPARISON', 'CONSTANT_CONDITION') THEN CAST(0.05 AS DOUBLE)
+          ELSE CAST(-0.05 AS DOUBLE) END) * confidence + (CAST(1 AS DOUBLE) - confidence) * CAST(0.5 AS DOUBLE) AS risk
+  FROM capped WHERE source = 'ast-custom' OR (source = 'dup' AND rn <= 100) OR (source = 'ts-morph' AND rn <= 500))
+SELECT repo_id, source, type, file, line, confidence,
+  floor(risk * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS risk_score,
+  CASE WHEN risk >= CAST(0.8 AS DOUBLE) THEN 'critical' WHEN risk >= CAST(0.65 AS DOUBLE) THEN 'high'
+       WHEN risk >= CAST(0.45 AS DOUBLE) THEN 'medium' WHEN risk >= CAST(0.25 AS DOUBLE) THEN 'low' ELSE 'info' END AS severity
+FROM raw""")
+def analyse_corpus(spark, d):
+    found = analyse(tp.source_files(spark, d)).findings
+    return found.select("repo_id", "source", "type", "file", "line", "confidence", "risk_score",
+                        "severity")

@@ -23,8 +23,9 @@ def stamp(column: str):
 
 
 def scored(spark, d):
-    return risk.score(ops.dedupe(v.findings(spark, d)),
-                      risk.latest_stats(v.raw_file_stats(spark, d)))
+    found = v.findings(spark, d)
+    return risk.score(ops.dedupe(found), risk.latest_stats(v.raw_file_stats(spark, d)),
+                      count_in=found)
 
 
 @register("dedupe_findings", with_views(V_FINDINGS, V_DEDUPED) +
@@ -128,10 +129,10 @@ def severity_bands(spark, d):
 SELECT {SCORE_COLUMNS} FROM v_scored
 WHERE run_id IN (SELECT run_id FROM v_runs WHERE status = 'completed')""")
 def rescore_completed(spark, d):
+    found = v.findings(spark, d)
     return risk.rescore_completed(
-        ops.dedupe(v.findings(spark, d)), risk.latest_stats(v.raw_file_stats(spark, d)),
-        v.runs(spark, d),
-    ).select(*SCORE_COLUMNS.split(", "))
+        ops.dedupe(found), risk.latest_stats(v.raw_file_stats(spark, d)), v.runs(spark, d),
+        count_in=found).select(*SCORE_COLUMNS.split(", "))
 
 
 @register("rescore_refused", with_views(V_RUNS) +

@@ -20,6 +20,8 @@ def local_session(app: str = "codequarry", cores: str = "*", shuffle_partitions:
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # recording the Python call site of every column costs more than building the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
