@@ -92,8 +92,8 @@ def with_source(found: DataFrame, files: DataFrame) -> DataFrame:
     """Add the function's own source text as the snippet, joined late."""
     lines = files.select("file_id", t.source_lines(F.col("content")).alias("_lines"))
     cut = F.slice("_lines", F.col("line"), F.col("end_line") - F.col("line") + 1)
-    last = F.decode(F.substring(F.encode(F.element_at(cut, -1), F.lit("UTF-8")), F.lit(1),
-                                F.col("end_col")), F.lit("UTF-8"))
+    last = F.decode(F.substring(F.encode(F.element_at(cut, -1), "UTF-8"), F.lit(1),
+                                F.col("end_col")), "UTF-8")
     whole = F.concat(F.slice(cut, F.lit(1), F.size(cut) - 1), F.array(last))
     text = F.ltrim(F.array_join(whole, "\n"))
     return (found.join(lines, "file_id", "left")
