@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,21 +12,49 @@ from codequarry.functions import text as t
 
 
 def read_tree(spark: SparkSession, root: str, max_file_mb: int | None = None) -> DataFrame:
-    """Files below a root, whose first directory level names the repository."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    if max_file_mb is not None:
-        raw = raw.where(F.col("length") <= max_file_mb * 1024 * 1024)  # pushed to the listing
-    relative = F.regexp_extract(F.col("path"), r"(?s)" + _quoted(root) + r"/+(.*)$", 1)
-    return raw.select(
-        F.regexp_extract(relative, r"(?s)^([^/]+)/", 1).alias("repo_id"),
-        F.regexp_extract(relative, r"(?s)^[^/]+/(.*)$", 1).alias("path"),
-        F.col("length").alias("size"),
-        t.decoded(F.col("content")).alias("content"),
-    ).withColumn("file_id", F.xxhash64("repo_id", "path"))
-
-
-def _quoted(root: str) -> str:
-    return r"\Q" + root.rstrip("/").removeprefix("file://") + r"\E"
+    """Files below a root, whose first directory level names the repository.
+
+    Spark's own file sources skip names that begin with '_' or '.', and so would lose every
+    __init__.py. Here only repository names pass through the driver; tasks list one repository
+    each, the paths are spread by hash, and tasks read the contents.
+    """
+    limit = None if max_file_mb is None else max_file_mb * 1024 * 1024
+
+    def listed(batches):
+        fs, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for repo in batch["repo_id"]:
+                below = fs.get_file_info(FileSelector(f"{base}/{repo}", recursive=True))
+                start = len(f"{base}/{repo}/")
+                rows = [(repo, i.path[start:], i.size) for i in below if i.type == FileType.File
+                        and (limit is None or i.size <= limit)]
+                yield pd.DataFrame(rows, columns=["repo_id", "path", "size"])
+
+    def read(batches):
+        fs, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for repo, path, size in batch.itertuples(index=False):
+                with fs.open_input_stream(f"{base}/{repo}/{path}") as stream:
+                    yield pd.DataFrame({"repo_id": [repo], "path": [path], "size": [size],
+                                        "bytes": [stream.read()]})
+
+    fs, base = FileSystem.from_uri(root)
+    names = [(i.base_name,) for i in fs.get_file_info(FileSelector(base))
+             if i.type == FileType.Directory]
+    listing = spark.createDataFrame(names, "repo_id STRING").mapInPandas(
+        listed, "repo_id STRING, path STRING, size BIGINT")
+    loaded = listing.repartition("repo_id", "path").mapInPandas(
+        read, "repo_id STRING, path STRING, size BIGINT, bytes BINARY")
+    return loaded.select("repo_id", F.xxhash64("repo_id", "path").alias("file_id"), "path", "size",
+                         t.decoded(F.col("bytes")).alias("content"))
+
+
+def from_archives(entries: DataFrame) -> DataFrame:
+    """Files of accepted archive entries that were read with their content."""
+    return entries.where(~F.col("is_dir") & F.col("content").isNotNull()).select(
+        F.regexp_replace(t.base_name(F.col("archive")), r"(?i)\.zip$", "").alias("repo_id"),
+        F.xxhash64("archive", "entry").alias("file_id"), F.col("entry").alias("path"),
+        F.col("file_size").alias("size"), t.decoded(F.col("content")).alias("content"))
 
 
 def scan(files: DataFrame) -> DataFrame:
