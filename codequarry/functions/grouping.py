@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,14 +61,17 @@ def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str,
     Counting reads `big` once more, keys only. When `big` is the outcome of costly steps, give a
     stored table with at least its rows as `count_in`.
     """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     hot = (
-        (big if count_in is None else count_in).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+        (big if count_in is None else count_in).where(known)
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
         .orderBy(F.desc("_n"), *keys).limit(max_hot)
         .select(*keys, F.lit(slots).alias("_slots"))
     )
+    # rows without a key match nothing; they are spread too, since an outer or anti join keeps them
     left = big.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_slot",
-        F.when(F.col("_slots").isNull(), F.lit(0).cast("bigint"))
+        F.when(known & F.col("_slots").isNull(), F.lit(0).cast("bigint"))
         .otherwise(F.pmod(F.xxhash64(*spread_by), F.lit(slots))),
     ).drop("_slots")
     right = small.join(F.broadcast(hot), list(keys), "left").withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.grouping import skew_join, top_per_group
+from codequarry.functions.lines import with_lines
 
 SHOWN = fv.DUP_MEMBERS_PER_GROUP + 1
 PLACE = ["path", "depth", "pre"]
@@ -88,15 +89,14 @@ def _findings(members: DataFrame) -> DataFrame:
     )
 
 
-def with_source(found: DataFrame, files: DataFrame) -> DataFrame:
+def with_source(found: DataFrame, files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add the function's own source text as the snippet, joined late."""
-    lines = files.select("file_id", t.source_lines(F.col("content")).alias("_lines"))
     cut = F.slice("_lines", F.col("line"), F.col("end_line") - F.col("line") + 1)
     last = F.decode(F.substring(F.encode(F.element_at(cut, -1), "UTF-8"), F.lit(1),
                                 F.col("end_col")), "UTF-8")
     whole = F.concat(F.slice(cut, F.lit(1), F.size(cut) - 1), F.array(last))
     text = F.ltrim(F.array_join(whole, "\n"))
-    return (found.join(lines, "file_id", "left")
+    return (with_lines(found, files, stored)
             .withColumn("evidence", F.col("evidence").withField("snippet", text)).drop("_lines"))
 
 

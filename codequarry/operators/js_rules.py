@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.grouping import skew_join, top_per_group
+from codequarry.functions.lines import with_lines
 
 SOURCE = "ts-morph"
 KEYS = ("repo_id", "file_id", "path")
@@ -288,11 +289,11 @@ def _findings(hits: DataFrame) -> DataFrame:
                  F.lit(0).alias("c")).alias("ord"))
 
 
-def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
+def with_snippets(findings: DataFrame, files: DataFrame, stored: DataFrame | None = None
+                  ) -> DataFrame:
     """Add the source line of each finding, up to 800 characters. Joined late, after the dedupe."""
-    lines = files.select("file_id", t.source_lines(F.col("content")).alias("_lines"))
     shown = F.left(F.get("_lines", F.col("line") - 1), F.lit(fv.JS_SNIPPET_CHARS))
-    return (findings.join(lines, "file_id", "left")
+    return (with_lines(findings, files, stored)
             .withColumn("evidence", F.col("evidence").withField("snippet", shown)).drop("_lines"))
 
 

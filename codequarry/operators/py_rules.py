@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
+from codequarry.functions.lines import with_lines
 
 SOURCE = "ast-custom"
 TERMINATORS = ("Return", "Raise", "Break", "Continue")
@@ -24,6 +25,12 @@ STATEMENTS = (
     "Raise", "Try", "TryStar", "Assert", "Import", "ImportFrom", "Global", "Nonlocal", "Expr",
     "Pass", "Break", "Continue",
 )
+# Kinds that hold lists of statements, and kinds that branch.
+LIST_HOLDERS = (
+    "Module", "FunctionDef", "AsyncFunctionDef", "ClassDef", "For", "AsyncFor", "While", "If",
+    "With", "AsyncWith", "Try", "TryStar", "ExceptHandler", "match_case",
+)
+DECISIONS = ("If", "IfExp", "For", "AsyncFor", "While", "ExceptHandler", "match_case")
 SQL = t.words(fv.PY_SQL_WORDS)
 SECRET_NAME, SECRET_VALUE = "(?iU)" + fv.PY_SECRET_NAME, "(?iU)" + fv.PY_SECRET_VALUE
 KEYS = ("repo_id", "file_id", "path")
@@ -252,7 +259,7 @@ def unused_variables(nodes: DataFrame) -> DataFrame:
 
 def unreachable(nodes: DataFrame) -> DataFrame:
     """Statements behind a return, raise, break or continue of the same statement list."""
-    lists = nodes.where(F.col("kids").isNotNull() & ~_of("Error", "Call", "Compare"))
+    lists = nodes.where(_of(*LIST_HOLDERS))
     enders = F.filter("kids", lambda k: k["kind"].isin(*TERMINATORS))
     dead = F.filter("kids", lambda k: k["kind"].isin(*STATEMENTS) & F.exists(
         "enders", lambda e: (e["field"] == k["field"]) & (e["idx"] < k["idx"])))
@@ -266,6 +273,10 @@ def unreachable(nodes: DataFrame) -> DataFrame:
         F.col("depth").alias("a"), F.col("pre").alias("b"), F.col("k.idx").alias("c")))
 
 
+# All that the rules, the complexity and the duplicates read; other kinds need not be stored.
+NEEDED_KINDS = sorted({
+    *LIST_HOLDERS, *DECISIONS, *kinds_of(), "BoolOp", "Name", "Import", "ImportFrom", "Error"})
+
 FILE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "unused_import": unused_imports,
     "unused_variable": unused_variables,
@@ -294,24 +305,19 @@ def _findings(hits: DataFrame) -> DataFrame:
     )
 
 
-def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Add the lines around each finding. Call it after the dedupe: texts are joined late.
-
-    Only texts of files with findings reach the join output, and each is split once.
-    """
-    lines = files.select("file_id", t.source_lines(F.col("content")).alias("_lines"))
-    joined = findings.join(lines, "file_id", "left")
+def with_snippets(findings: DataFrame, files: DataFrame, stored: DataFrame | None = None
+                  ) -> DataFrame:
+    """Add the lines around each finding. Call it after the dedupe: texts are joined late."""
     shown = t.snippet(F.col("_lines"), F.col("line"))
-    return joined.withColumn("evidence", F.col("evidence").withField("snippet", shown)).drop(
-        "_lines")
+    return with_lines(findings, files, stored).withColumn(
+        "evidence", F.col("evidence").withField("snippet", shown)).drop("_lines")
 
 
 def complexity(nodes: DataFrame) -> DataFrame:
     """Cyclomatic complexity per function: 1 + decisions in its subtree."""
-    one = ("If", "IfExp", "For", "AsyncFor", "While", "ExceptHandler", "match_case")
     fn = ("FunctionDef", "AsyncFunctionDef")
     weight = F.when(_of("BoolOp"), F.col("operands") - 1).otherwise(1)
-    decisions = nodes.where(_of(*one, "BoolOp") & (F.size("fn_chain") > 0)).select(
+    decisions = nodes.where(_of(*DECISIONS, "BoolOp") & (F.size("fn_chain") > 0)).select(
         *KEYS, F.explode("fn_chain").alias("fn"), weight.alias("weight"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"))
     own = nodes.where(_of(*fn)).select(

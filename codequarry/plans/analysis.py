@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.grouping import skew_join
+from codequarry.functions.lines import with_lines
 from codequarry.operators import duplicates, findings, js_rules, profile, py_rules, risk
 from codequarry.schemas import FINDING_COLUMNS
 from codequarry.session import written
@@ -37,7 +38,9 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
     in_scan = ~t.ignored(path)
     in_dup = path.endswith(".py") & ~t.has_part(path, fv.IGNORED_BY_TOOL["dup"])
     python = files.where(t.suffix(t.base_name(path)).isin(".py", ".pyi") & (in_scan | in_dup))
-    nodes = written(pynodes.py_nodes(python), "nodes")
+    # sorted by kind inside a task's file: a rule skips the pages of kinds it does not look at
+    nodes = written(pynodes.py_nodes(python, py_rules.NEEDED_KINDS).sortWithinPartitions("kind"),
+                    "nodes")
     scanned = nodes.where(in_scan)
     tokens = written(jstokens.js_tokens(corpus.script_files(files)), "tokens")
     languages = profile.language_profile(files)
@@ -61,7 +64,7 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
     gated = findings.gate_by_language(merged, languages)
     scored = risk.score(gated, stats, count_in=merged).withColumn("status", F.lit("open"))
     if with_text:
-        scored = _with_text(scored, files)
+        scored = _with_text(scored, files, merged)
     return Analysis(scored.drop("file_id", "end_line"), stats, languages,
                     pynodes.parse_errors(scanned), js_rules.import_edges(
                         tokens, corpus.script_files(files).select("repo_id", "path")))
@@ -109,9 +112,8 @@ def _file_stats(nodes: DataFrame, files: DataFrame, report_rows: DataFrame | Non
     return reports.file_stats(cc, mi, loc)
 
 
-def _with_text(scored: DataFrame, files: DataFrame) -> DataFrame:
+def _with_text(scored: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
     """Snippets for findings of the own rules, joined after caps and dedupe."""
-    lines = files.select("file_id", t.source_lines(F.col("content")).alias("_lines"))
     line = F.col("line")
     shown = (
         F.when(F.col("source") == "ast-custom", t.snippet(F.col("_lines"), line))
@@ -119,7 +121,7 @@ def _with_text(scored: DataFrame, files: DataFrame) -> DataFrame:
             F.slice("_lines", line, F.col("end_line") - line + 1), "\n"))
         .otherwise(F.left(F.get("_lines", line - 1), F.lit(fv.JS_SNIPPET_CHARS)))
     )
-    return scored.join(lines, "file_id", "left").withColumn(
+    return with_lines(scored, files, stored).withColumn(
         "evidence", F.col("evidence").withField(
             "snippet", F.coalesce(F.col("evidence.snippet"), shown))).drop("_lines")
 

@@ -99,7 +99,7 @@ def rule_unreachable(spark, d):
 
 @register("py_findings", expected(PY))
 def py_findings(spark, d):
-    return deduped(py_rules.py_findings(written(nodes(spark, d), "nodes")))
+    return deduped(py_rules.py_findings(written(nodes(spark, d, *py_rules.NEEDED_KINDS), "nodes")))
 
 
 @register("snippets", with_views(tp.T_FILES, tp.EXPECTED_SQL) + """, cut AS (
@@ -111,9 +111,10 @@ SELECT repo_id, path AS file, type, line, array_to_string(
 FROM cut""")
 def snippets(spark, d):
     files = corpus.python_files(tp.source_files(spark, d))
-    found = py_rules.py_findings(written(pynodes.py_nodes(files), "nodes"))
-    kept = findings.dedupe(found.withColumn("run_id", F.col("repo_id")))
-    return py_rules.with_snippets(kept, files).select(
+    found = py_rules.py_findings(
+        written(pynodes.py_nodes(files, py_rules.NEEDED_KINDS), "nodes"))
+    kept = written(findings.dedupe(found.withColumn("run_id", F.col("repo_id"))), "findings")
+    return py_rules.with_snippets(kept, files, kept).select(
         "repo_id", "file", "type", "line", F.col("evidence.snippet").alias("snippet"))
 
 

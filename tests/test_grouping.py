@@ -19,7 +19,8 @@ def rows():
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [1, 500, 10**9])
 def test_skew_join_equals_plain_join(spark, rows, how, hot_rows):
-    big = spark.createDataFrame(rows, "k INT, i INT, x INT").repartition(4)
+    nameless = [(None, 10_000 + i, i) for i in range(50)]
+    big = spark.createDataFrame(rows + nameless, "k INT, i INT, x INT").repartition(4)
     small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 30, 2)], "k INT, v STRING")
     ours = skew_join(big, small, ["k"], how, ["i"], hot_rows=hot_rows, slots=5, max_hot=3)
     plain = big.join(small, "k", how)
