@@ -205,7 +205,8 @@ _local_js("js_rule_calls", types("DANGEROUS_EVAL", "DANGEROUS_FUNCTION"), "eval_
 _local_js("js_rule_secret", types("HARDCODED_SECRET"), "secret")
 
 
-@register("js_findings", expected(JS))
+@register("js_findings", expected(JS).replace(tp.EXPECTED_SQL, tp.EXPECTED_SQL + ",\n" + tp.LONE_SQL) + """
+UNION ALL SELECT repo_id, 'web/lib.ts', 'UNUSED_FUNCTION', 1, CAST(0.5 AS DOUBLE) FROM lone""")
 def js_findings(spark, d):
     return deduped(js_rules.js_findings(written(tokens(spark, d), "tokens")))
 
@@ -226,8 +227,10 @@ def js_high_complexity(spark, d):
                                                                       "description")
 
 
-@register("js_unused", with_views(tp.T_FILES) + """
-SELECT repo_id, file, line, message FROM (
+@register("js_unused", with_views(tp.T_FILES, tp.LONE_SQL) + """
+SELECT repo_id, 'web/lib.ts' AS file, 1 AS line, 'Function ''a'' is never referenced anywhere in the repository. May be '
+  || 'dead code or an entry point (check framework registration).' AS message FROM lone
+UNION ALL SELECT repo_id, file, line, message FROM (
   SELECT repo_id, path AS file, 1 AS line, 'Function ''unused_' || file_id || ''' is never referenced. May be dead code '
     || 'or an entry point (check framework registration).' AS message,
     row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn FROM t_files WHERE no = 22)
@@ -261,9 +264,10 @@ def secret_scan_documents(spark, d):
 
 
 # --- the whole analysis -----------------------------------------------------
-@register("analyse_corpus", FUNCTIONS.replace(tp.SHAPES_SQL, tp.SHAPES_SQL + ",\n" + tp.EXPECTED_SQL) + """, found AS (
+@register("analyse_corpus", FUNCTIONS.replace(tp.SHAPES_SQL, tp.SHAPES_SQL + ",\n" + tp.EXPECTED_SQL + ",\n" + tp.LONE_SQL) + """, found AS (
   SELECT repo_id, CASE WHEN no < 16 THEN 'ast-custom' ELSE 'ts-morph' END AS source, type, path AS file, line, confidence
   FROM t_files JOIN expected USING (no)
+  UNION ALL SELECT repo_id, 'ts-morph', 'UNUSED_FUNCTION', 'web/lib.ts', 1, CAST(0.5 AS DOUBLE) FROM lone
   UNION ALL
   SELECT repo_id, 'dup', 'DUPLICATE_FUNCTION', path, 1, CAST(0.6 AS DOUBLE) FROM fns WHERE members >= 2 AND position <= 4),
 capped AS (SELECT *, row_number() OVER (PARTITION BY repo_id, source ORDER BY file, line) AS rn FROM found),

@@ -108,3 +108,6 @@ EXPECTED_SQL = "expected(no, type, line, confidence) AS (VALUES " + ", ".join(
     f"({n}, '{ty}', {line}, CAST({conf} AS DOUBLE))" for n, ty, line, conf in EXPECTED) + ")"
 SHAPES_SQL = "shapes(no, name, tokens, class) AS (VALUES " + ", ".join(
     f"({n}, '{name}', {tokens}, {c})" for n, (name, tokens, c) in SHAPES.items()) + ")"
+# Repositories where no other file has the name that the library file defines.
+LONE_SQL = """lone AS (SELECT DISTINCT repo_id FROM t_files WHERE repo_id NOT IN (
+  SELECT repo_id FROM t_files WHERE no IN (19, 21, 23)))"""
