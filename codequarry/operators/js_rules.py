@@ -16,6 +16,7 @@ from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.grouping import skew_join, top_per_group
 from codequarry.functions.lines import with_lines
+from codequarry.functions.rows import exploded
 
 SOURCE = "ts-morph"
 KEYS = ("repo_id", "file_id", "path")
@@ -48,7 +49,7 @@ def neighbours(files: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(
         F.col("tokens").alias("t"), _shifted(-1).alias("p1"), _shifted(-2).alias("p2"),
         _shifted(1).alias("n1"), _shifted(2).alias("n2"))
-    return files.select(*KEYS, F.inline(zipped))
+    return files.select(*KEYS, F.inline_outer(zipped)).where(F.col("t").isNotNull())
 
 
 def _op(*texts: str) -> Column:
@@ -153,7 +154,7 @@ LOCAL_RULES: dict[str, Callable[[], Column]] = {
 def local_findings(files: DataFrame, *rules: str) -> DataFrame:
     hits = F.array_compact(F.array(*[LOCAL_RULES[r]() for r in (rules or LOCAL_RULES)]))
     relevant = F.col("t.kind").isin("OP", "STRING") | F.col("t.text").isin("eval", "Function")
-    found = neighbours(files).where(relevant).select(*KEYS, F.explode(hits).alias("hit"))
+    found = exploded(neighbours(files).where(relevant), KEYS, hits, "hit")
     return _findings(found.select(*KEYS, "hit.*"))
 
 
@@ -301,8 +302,8 @@ def secrets_in_text(documents: DataFrame, key: str, text: str) -> DataFrame:
     """`name = "value"` passages of plain texts, judged like variables of a script."""
     pattern = r'(\w*)\s*=\s*"([^"]*)"'
     # A cheap test first: the full pattern tries every word of a text.
-    passages = documents.where(F.col(text).rlike(r'=\s*"')).select(
-        key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "pair"))
+    passages = exploded(documents.where(F.col(text).rlike(r'=\s*"')), [key],
+                        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "pair", "pos")
     parts = passages.select(
         key, "pos", F.regexp_extract("pair", pattern, 1).alias("name"),
         F.regexp_extract("pair", pattern, 2).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
+from codequarry.functions.rows import exploded
 from codequarry.sources.corpus import scan
 
 __all__ = ["scan", "with_language", "with_loc", "language_profile", "manifests", "npm_frameworks",
@@ -59,7 +60,7 @@ def npm_frameworks(files: DataFrame) -> DataFrame:
     found = scan(files).where(F.col("path") == "package.json").select(
         "repo_id", names.alias("names"))
     labels = _marked(lambda m: F.exists("names", lambda n: F.contains(F.lower(n), m)))
-    return found.select("repo_id", F.explode(labels).alias("framework")).distinct()
+    return exploded(found, ["repo_id"], labels, "framework").distinct()
 
 
 def python_frameworks(files: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def python_frameworks(files: DataFrame) -> DataFrame:
         "repo_id", F.left("content", F.lit(fv.FRAMEWORK_TEXT_CHARS)).alias("head"))
     labels = _marked(lambda m: F.contains("head", F.concat(F.lit("import "), m))
                      | F.contains("head", F.concat(F.lit("from "), m)))
-    return found.select("repo_id", F.explode(labels).alias("framework")).distinct()
+    return exploded(found, ["repo_id"], labels, "framework").distinct()
 
 
 def frameworks(files: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.lines import with_lines
+from codequarry.functions.rows import exploded
 
 SOURCE = "ast-custom"
 TERMINATORS = ("Return", "Raise", "Break", "Continue")
@@ -201,8 +202,8 @@ def local_findings(nodes: DataFrame, *rules: str) -> DataFrame:
     """All chosen local rules in one pass over the nodes they look at."""
     chosen = [LOCAL_RULES[r][1]() for r in (rules or LOCAL_RULES)]
     hits = F.array_compact(F.array(*chosen))
-    found = nodes.where(_of(*kinds_of(*rules)) & ~F.col("hidden")).select(
-        *KEYS, "line", "col", "pre", F.explode(hits).alias("hit"))
+    found = exploded(nodes.where(_of(*kinds_of(*rules)) & ~F.col("hidden")),
+                     [*KEYS, "line", "col", "pre"], hits, "hit")
     return _findings(found.select(
         *KEYS, "line", "col", "hit.*", F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("function"),
@@ -214,9 +215,9 @@ def local_findings(nodes: DataFrame, *rules: str) -> DataFrame:
 def unused_imports(nodes: DataFrame) -> DataFrame:
     """Imported names that the file never loads. Names are matched within a file."""
     loads = nodes.where(_of("Name") & (F.col("ctx") == "Load")).select("file_id", "name").distinct()
-    imports = nodes.where(_of("Import", "ImportFrom") & ~F.col("hidden")).select(
-        *KEYS, "line", "col", "pre", "kind", "text",
-        F.posexplode(_kids("names")).alias("b", "alias"),
+    imports = exploded(
+        nodes.where(_of("Import", "ImportFrom") & ~F.col("hidden")),
+        [*KEYS, "line", "col", "pre", "kind", "text"], _kids("names"), "alias", "b",
     ).select("*", F.col("alias.name").alias("name"), F.col("alias.text").alias("imported")).where(
         (F.col("kind") == "Import") | (F.col("imported") != "*"))
     unused = imports.join(loads, ["file_id", "name"], "left_anti")
@@ -263,8 +264,8 @@ def unreachable(nodes: DataFrame) -> DataFrame:
     enders = F.filter("kids", lambda k: k["kind"].isin(*TERMINATORS))
     dead = F.filter("kids", lambda k: k["kind"].isin(*STATEMENTS) & F.exists(
         "enders", lambda e: (e["field"] == k["field"]) & (e["idx"] < k["idx"])))
-    found = lists.withColumn("enders", enders).where(F.size("enders") > 0).select(
-        *KEYS, "depth", "pre", F.explode(dead).alias("k"))
+    found = exploded(lists.withColumn("enders", enders).where(F.size("enders") > 0),
+                     [*KEYS, "depth", "pre"], dead, "k")
     return _findings(found.select(
         *KEYS, F.col("k.line").alias("line"), F.col("k.col").alias("col"),
         hit("UNREACHABLE_CODE").alias("hit"), "depth", "pre", "k").select(

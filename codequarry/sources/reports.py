@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
+from codequarry.functions.rows import exploded
 
 RUN = ("run_id", "repo_id")
 BANDIT = (
@@ -85,8 +86,7 @@ def _finding(source: str, type_, category, file, line, col, message, description
 
 
 def bandit(reports: DataFrame) -> DataFrame:
-    rows = _parsed(reports, "bandit", BANDIT).select(
-        *RUN, "root", F.posexplode("_.results").alias("pos", "i"))
+    rows = exploded(_parsed(reports, "bandit", BANDIT), [*RUN, "root"], "_.results", "i", "pos")
     blank = F.lit("")
     described = F.concat(
         F.coalesce("i.test_id", blank), F.lit(" "), F.coalesce("i.test_name", blank),
@@ -102,8 +102,7 @@ def bandit(reports: DataFrame) -> DataFrame:
 
 
 def ruff(reports: DataFrame) -> DataFrame:
-    rows = _parsed(reports, "ruff", RUFF).select(
-        *RUN, "root", F.posexplode("_").alias("pos", "i"))
+    rows = exploded(_parsed(reports, "ruff", RUFF), [*RUN, "root"], "_", "i", "pos")
     blank = F.lit("")
     described = F.concat(F.lit("Ruff "), F.coalesce("i.code", blank), F.lit(" — "),
                          F.coalesce("i.fix_availability", blank))
@@ -116,10 +115,8 @@ def ruff(reports: DataFrame) -> DataFrame:
 
 
 def eslint(reports: DataFrame) -> DataFrame:
-    files = _parsed(reports, "eslint", ESLINT).select(
-        *RUN, "root", F.posexplode("_").alias("file_no", "f"))
-    rows = files.select(*RUN, "root", "file_no", "f.filePath",
-                        F.posexplode("f.messages").alias("pos", "i")).where(
+    files = exploded(_parsed(reports, "eslint", ESLINT), [*RUN, "root"], "_", "f", "file_no")
+    rows = exploded(files, [*RUN, "root", "file_no", "f.filePath"], "f.messages", "i", "pos").where(
         ~F.coalesce("i.fatal", F.lit(False)))
     found = rows.select(*_finding(
         "eslint", F.coalesce(F.nullif("i.ruleId", F.lit("")), F.lit("SYNTAX")),
@@ -132,8 +129,8 @@ def eslint(reports: DataFrame) -> DataFrame:
 
 
 def ts_morph(reports: DataFrame) -> DataFrame:
-    rows = _parsed(reports, "ts-morph", TS_MORPH).select(
-        *RUN, "root", F.posexplode("_.findings").alias("pos", "i"))
+    rows = exploded(_parsed(reports, "ts-morph", TS_MORPH), [*RUN, "root"], "_.findings", "i",
+                    "pos")
     return rows.select(*_finding(
         "ts-morph", F.col("i.type"), F.col("i.category"), F.col("i.file"), F.col("i.line"),
         F.col("i.column"), F.col("i.message"), F.coalesce("i.description", F.lit("")),
@@ -145,7 +142,7 @@ def radon_cc(reports: DataFrame) -> DataFrame:
     """Largest block complexity per file; a file with an error object has none."""
     blocks = "MAP<STRING, STRING>"
     rows = _parsed(reports, "radon-cc", blocks).select(
-        *RUN, "root", F.explode("_").alias("file", "blocks"))
+        *RUN, "root", F.explode_outer("_").alias("file", "blocks")).where("file IS NOT NULL")
     parsed = F.from_json("blocks", "ARRAY<STRUCT<complexity: DOUBLE>>")
     worst = F.array_max(F.transform(parsed, lambda b: F.coalesce(b["complexity"], F.lit(0.0))))
     return rows.select(
@@ -159,7 +156,8 @@ def radon_mi(reports: DataFrame) -> DataFrame:
     outer = _parsed(reports, "radon-mi", "MAP<STRING, STRING>").select(
         *RUN, "root", F.coalesce(F.from_json(F.col("_")["mi"], "MAP<STRING, STRING>"), "_")
         .alias("m"))
-    rows = outer.select(*RUN, "root", F.explode("m").alias("file", "v"))
+    rows = outer.select(*RUN, "root", F.explode_outer("m").alias("file", "v")).where(
+        "file IS NOT NULL")
     value = F.coalesce(F.get_json_object("v", "$.mi"), "v").try_cast("double")
     return rows.select(*RUN, t.below(F.col("file"), F.col("root")).alias("path"),
                        F.round(value, 2).alias("maintainability"))
