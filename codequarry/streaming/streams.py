@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators import findings as ops
 from codequarry.operators import py_rules, risk
+from codequarry.session import written
 from codequarry.sources import corpus, pynodes
 
 FINDING_KEY = list(ops.FINDING_KEY)
@@ -57,13 +58,13 @@ def _foreach(stream: DataFrame, work, out: str, checkpoint: str, once: bool) ->
 
 
 def scan(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """New Python files to scored findings: stateless rules and a fixed complexity of none.
+    """A micro-batch of new files to scored findings, as the work of `each_batch`.
 
-    Rules that compare rows of one file stay inside the micro-batch, since a file arrives whole;
-    use it as the work of `each_batch`.
+    A file arrives whole, so rules that compare rows of one file see all of them. Its nodes are
+    written once per batch and read by all rules.
     """
-    nodes = pynodes.py_nodes(corpus.python_files(files))
-    found = ops.dedupe(py_rules.local_findings(nodes).withColumn("run_id", F.col("repo_id")))
+    nodes = written(pynodes.py_nodes(corpus.python_files(files), py_rules.NEEDED_KINDS), "nodes")
+    found = ops.dedupe(py_rules.py_findings(nodes).withColumn("run_id", F.col("repo_id")))
     return risk.scored(found, F.lit(None).cast("double")) if stats is None else risk.score(
         found, stats)
 
