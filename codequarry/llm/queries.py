@@ -90,7 +90,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  CAST(sum(12 + length(role) + 1 + length(text) + length(regexp_extract_all(text, '<\*\|')) + 11) AS BIGINT) AS formatted_chars
+  CAST(sum(12 + length(role) + 1 + length(text) + length(regexp_extract_all(text, '<\\*\|')) + 11) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
 

@@ -22,7 +22,7 @@ PARTIAL_ARROW = pa.schema([("sketch_row", pa.int32()), ("block", pa.int32()), ("
 
 
 def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(row + 1)) & np.uint64(cells - 1)).astype(np.uint32)
+    return (mix(keys + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(cells - 1)).astype(np.uint32)
 
 
 def partials(keys: np.ndarray, cells: int) -> pa.RecordBatch:
