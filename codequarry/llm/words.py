@@ -80,6 +80,14 @@ def hashed(raw: np.ndarray, offs: np.ndarray, fold: bool = False) -> Words:
     return Words(h, bounds, start, end)
 
 
+def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
+    """Hash of the word hashes from each start to before its end; for equal lengths the same as that of runs()."""
+    base = _BASE[k]
+    back = _powers(_U(pow(int(base), -1, 1 << 64)), len(h))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(base, len(h)), dtype=np.uint64)))
+    return mix((total[end] - total[start]) * back[start])
+
+
 def runs(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
     """Hash of each n neighbouring word hashes; runs over a document's end are there too, and mean nothing."""
     if len(h) < n:
