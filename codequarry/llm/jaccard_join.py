@@ -1,14 +1,14 @@
 """N-gram Jaccard join: all links between texts whose shingle sets have a Jaccard similarity of at least p percent.
 
 Multiple-global-order filtering. If two sets of n and m shingles are similar enough, then in any global order of shingles
-their first n - ceil(p n) + 1 and m - ceil(p m) + 1 ones share a shingle. Three orders are used: each puts shingles first that a
-load sketch of the whole corpus says are rare, and shuffles those of equal load class by a hash of its own. Order one is an
+their first n - ceil(p n) + 1 and m - ceil(p m) + 1 ones share a shingle. Three orders are used. All begin with shingles that a
+count-min sketch of the whole corpus knows to occur once. Order one goes on by the counts of a load sketch, rare shingles first;
+orders two and three go by coarse classes of these counts, and shuffle those of a class by a hash of their own. Order one is an
 inverted file that proposes pairs; a pair must share a prefix shingle under orders two and three as well before its sets are
 compared. Size and position bounds apply to the pairs of order one.
 
 Stages:
-1. The load sketch (fixed size) and a count-min sketch of prefix shingles (fixed size), so that only shingles that occur
-   twice or more are posted.
+1. Both sketches, of fixed size, in one pass. Only prefix shingles that may occur twice are posted: few texts have any.
 2. Equal sets are one class; only a class's first row is posted.
 3. Star rounds: in each posting list, rows not yet connected are paired with pivots, linear in the list. Verified links are
    contracted to components. What the stars leave unconnected is paired exhaustively, across components only. So no link
@@ -37,8 +37,8 @@ from codequarry.llm.graph import components
 from codequarry.llm.words import hashed, mix, runs
 from codequarry.session import written
 
-#: Cells of the load sketch (2 MB), of the prefix sketch (2 rows, 32 MB of bits) and of the Bloom filter (8 MB).
-LOAD_CELLS, PREFIX_CELLS, BLOOM_CELLS = 1 << 18, 1 << 27, 1 << 26
+#: Cells of the load sketch (8 MB when merged, 2 MB as orders), of the count-min sketch (32 MB of bits) and of the Bloom filter (8 MB).
+LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 28, 1 << 26
 _U = np.uint64
 
 
@@ -58,19 +58,23 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[tupl
 
 
 class Orders:
-    """Three global orders of shingles: by load class, then by a hash of the order's own."""
+    """Three global orders of shingles: single ones, then by load (coarser for orders two and three), then by a hash of the order's own."""
 
-    def __init__(self, load: np.ndarray, percent: int):
-        spread = max(1.0, float(load.mean()) ** 0.5)
-        self.klass = np.clip((load - load.mean()) / (2 * spread), 0, 255).astype(np.uint64)
-        self.percent = percent
+    def __init__(self, load: np.ndarray, twice: np.ndarray, percent: int):
+        above = ((load - load.mean()) / max(1.0, float(load.mean()) ** 0.5)).astype(np.float32)  # in standard deviations of a cell of rare shingles
+        fine, coarse = (np.clip(x, 0, 127).astype(np.uint8) for x in (4 * above + 20, above / 2))
+        self.twice = twice
+        self.klass, self.percent = {1: fine, 2: coarse, 3: coarse}, percent
+
+    def often(self, shingles: np.ndarray) -> np.ndarray:
+        return sketch.repeated(shingles, self.twice, TWICE_CELLS)
 
     def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
         n = len(shingles)
         if not n:
             return shingles
         size = n - -(-self.percent * n // 100) + 1
-        rank = (self.klass[(shingles & _U(LOAD_CELLS - 1)).astype(np.int64)] << _U(56)) | (mix(shingles + _U(order)) >> _U(8))
+        rank = (self.klass[order][(shingles & _U(LOAD_CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (self.often(shingles).astype(np.uint64) << _U(63)) | (mix(shingles + _U(order)) >> _U(8))
         if size < n:
             first = np.argpartition(rank, size - 1)[:size]
             # equal ranks at the edge: take all of them, in every set
@@ -80,27 +84,41 @@ class Orders:
         return shingles[first[np.argsort(rank[first], kind="stable")]]
 
 
-def _load(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Counts of all shingles of all texts by cell, summed per partition and then by block of cells."""
+def _orders(docs: DataFrame, text: str, n: int, percent: int) -> Orders:
+    """Both sketches over all shingles of all texts, made per partition and merged block by block."""
     blocks, width = 16, LOAD_CELLS // 16
 
     def count(batches):
         total = np.zeros(LOAD_CELLS, np.int64)
-        for _, sets in _sets(batches, text, n):
-            if sets:
-                total += np.bincount((np.concatenate(sets) & _U(LOAD_CELLS - 1)).astype(np.int64), minlength=LOAD_CELLS)
-        kept = [total[i * width : (i + 1) * width].astype(np.uint32 if total.max() < 1 << 32 else np.int64) for i in range(blocks)]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array([k.astype(np.int64).tobytes() for k in kept])})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.int64) for c in group["counts"]], axis=0)
-        return pd.DataFrame({"block": group["block"][:1], "counts": [total.tobytes()]})
+        def seen():
+            for _, sets in _sets(batches, text, n):
+                keys = np.concatenate([*sets, np.empty(0, _U)])
+                cell, times = np.unique((keys & _U(LOAD_CELLS - 1)).astype(np.uint32), return_counts=True)
+                total[cell] += times
+                yield keys
+
+        yield from sketch.sketching(seen(), TWICE_CELLS, rows=1)
+        least = total.astype(np.min_scalar_type(int(total.max())))  # the narrowest type that holds the counts travels
+        rows = [(-1, i, least[i * width : (i + 1) * width].tobytes(), b"") for i in range(blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sketch.PARTIAL_ARROW, strict=True)], schema=sketch.PARTIAL_ARROW)
 
-    load = np.zeros(LOAD_CELLS, np.int64)
-    parts = docs.select(text).mapInArrow(count, "block int, counts binary")
-    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
-        load[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return load
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        if group["sketch_row"].iloc[0] >= 0:
+            return sketch.merge_block(group)
+        total = np.zeros(width, np.int64)
+        for c in group["once"]:
+            total += np.frombuffer(c, f"u{len(c) // width}").astype(np.int64)
+        return pd.DataFrame({"sketch_row": [-1], "block": group["block"][:1], "bits": [total.tobytes()]})
+
+    load, twice = np.zeros(LOAD_CELLS, np.int64), np.zeros((1, TWICE_CELLS // 8), np.uint8)
+    parts = docs.select(text).mapInArrow(count, sketch.PARTIAL)
+    for r in parts.groupBy("sketch_row", "block").applyInPandas(merge, sketch.MERGED).toLocalIterator():
+        if r["sketch_row"] < 0:
+            load[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.int64)
+        else:
+            sketch.put(twice, r)
+    return Orders(load, twice, percent)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -109,14 +127,18 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _bloom_places(keys: np.ndarray) -> np.ndarray:
-    return np.stack([(mix(keys.view(np.uint64) + _U(k)) & _U(BLOOM_CELLS - 1)).astype(np.int64) for k in (21, 22, 23)])
+    return np.stack([(mix(keys + _U(k)) & _U(BLOOM_CELLS - 1)).astype(np.int64) for k in (21, 22, 23)])
 
 
-def _bloom(rows: DataFrame, key: str) -> np.ndarray:
-    """Bits of the keys: places by partition, distinct; only as many as the filter has cells can reach the driver."""
+def _bloom_key(d1: np.ndarray, id_mark: np.ndarray) -> np.ndarray:
+    return mix(d1.view(np.uint64)) + id_mark.view(np.uint64)
+
+
+def _bloom(rows: DataFrame) -> np.ndarray:
+    """Bits of the keys of rows (d1, id_mark): places by partition, distinct; only as many as the filter has cells can reach the driver."""
     def places(batches):
         for batch in batches:
-            at = np.unique(_bloom_places(column(batch, key).to_numpy().astype(np.int64)))
+            at = np.unique(_bloom_places(_bloom_key(*[column(batch, c).to_numpy().astype(np.int64) for c in ("d1", "id_mark")])))
             block = at >> 20
             edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(at)])) if len(at) else [0]
             yield pa.RecordBatch.from_pydict({
@@ -130,7 +152,7 @@ def _bloom(rows: DataFrame, key: str) -> np.ndarray:
         return pd.DataFrame({"block": group["block"][:1], "bits": [np.packbits(on, bitorder="little").tobytes()]})
 
     bits = np.zeros(BLOOM_CELLS // 8, np.uint8)
-    for r in (rows.select(key).mapInArrow(places, "block int, places binary").groupBy("block")
+    for r in (rows.mapInArrow(places, "block int, places binary").groupBy("block")
               .applyInPandas(merge, "block int, bits binary").toLocalIterator()):
         bits[r["block"] << 17 : (r["block"] + 1) << 17] = np.frombuffer(r["bits"], np.uint8)
     return bits
@@ -151,13 +173,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
-    orders = context.broadcast(Orders(_load(docs, "text", n), percent))
-
-    def prefixes(batches):
-        return sketch.sketching((np.concatenate([orders.value.prefix(s, 1) for s in sets] or [np.empty(0, _U)])
-                                 for _, sets in _sets(batches, "text", n)), PREFIX_CELLS)
-
-    bits = context.broadcast(sketch.merged(docs.mapInArrow(prefixes, sketch.PARTIAL), PREFIX_CELLS))
+    orders = context.broadcast(_orders(docs, "text", n, percent))
 
     def posted(batches):
         numbers = RowNumbers()
@@ -165,8 +181,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
             first = [orders.value.prefix(s, 1) for s in sets]
             size = np.array([len(p) for p in first], np.int64)
             flat = np.concatenate([*first, np.empty(0, _U)])
-            value, back = np.unique(flat, return_inverse=True)
-            often = sketch.repeated(value, bits.value, PREFIX_CELLS)[back]
+            often = orders.value.often(flat)
             begin = np.concatenate(([0], np.cumsum(size)))
             at = np.flatnonzero(often)
             bounds = np.searchsorted(at, begin)
@@ -189,28 +204,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
     postings = written(postings.join(shared, "token"), "jaccard-postings")
 
     wanted = classes.join(postings.select("row").distinct(), "row", "left_semi")
-    bloom = context.broadcast(_bloom(wanted, "d1"))
+    id_mark = F.xxhash64("id").alias("id_mark")
+    bloom = context.broadcast(_bloom(wanted.select("d1", id_mark)))
 
     def compared(batches):
         for batch, sets in _sets(batches, "text", n):
             marks = np.array([_digest(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
-            at = _bloom_places(np.ascontiguousarray(marks[:, 0]))
+            at = _bloom_places(_bloom_key(np.ascontiguousarray(marks[:, 0]), column(batch, "id_mark").to_numpy().astype(np.int64)))
             hit = ((bloom.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0) & np.array([len(s) > 0 for s in sets], bool)
-            seen, keep = set(), []
-            for i in np.flatnonzero(hit):  # copies within a batch are sent once
-                if tuple(marks[i]) not in seen:
-                    seen.add(tuple(marks[i]))
-                    keep.append(i)
+            keep = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(marks[keep, 0]), pa.array(marks[keep, 1]), *[pa.array([f(sets[i]).view(np.int64) for i in keep], pa.list_(pa.int64()))
                  for f in (lambda s: s, lambda s: orders.value.prefix(s, 2), lambda s: orders.value.prefix(s, 3))]],
                 ["d1", "d2", "shingles", "second", "third"])
 
-    sets = docs.mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<bigint>, third array<bigint>")
-    # of copies in different batches one is kept: by a partial aggregate over a digest-free first()
-    sets = sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2").groupBy("row").agg(
-        *[F.first(c).alias(c) for c in ("shingles", "second", "third")])
-    sets = written(sets, "jaccard-sets")
+    # only a class's first text passes the filter (and repeated rows of it), so copies do not travel
+    sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<bigint>, third array<bigint>")
+    sets = written(sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2"), "jaccard-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Filters of orders two and three, then the exact comparison."""
