@@ -71,7 +71,6 @@ FRAMEWORKS = {
     "vue": "Vue",
     "svelte": "Svelte",
 }
-FRAMEWORK_TEXT_CHARS = 200_000
 
 # ---------------------------------------------------------------------------
 # Intake limits and messages
@@ -219,7 +218,6 @@ JS_SECRET_PREFIX = r"^(sk-|pk-|ghp_|AKIA|eyJ)"
 JS_SECRET_PLACEHOLDER = r"example|placeholder|your|changeme"
 JS_SECRET_MIN_LENGTH = 16
 JS_COMPLEXITY_LIMIT = 15
-JS_UNUSED_CAP = 300
 JS_SNIPPET_CHARS = 800
 # rule -> (type, category, confidence, message, detail)
 JS_RULES = {

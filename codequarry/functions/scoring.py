@@ -22,7 +22,18 @@ def risk_raw(type_: Column, category: Column, confidence: Column, complexity: Co
 
 
 def rounded(score: Column) -> Column:
-    return F.floor(score * F.lit(1000.0) + F.lit(0.5)) / F.lit(1000.0)
+    """Three decimals, rounded by the exact value of the double, ties to even.
+
+    The product with 1000 has an exact rest: both halves of the score (split by 2**27 + 1) times 1000 are doubles.
+    """
+    wide = score * F.lit(134217729.0)
+    high = wide - (wide - score)
+    product = score * F.lit(1000.0)
+    rest = (high * F.lit(1000.0) - product) + (score - high) * F.lit(1000.0)
+    whole = F.floor(product).cast("double")
+    over = product - whole - F.lit(0.5)  # exact; the rest decides where it is zero
+    up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+    return (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(1000.0)
 
 
 def severity(score: Column) -> Column:

@@ -60,8 +60,11 @@ def dedupe(findings: DataFrame) -> DataFrame:
 
 
 def merge(sources: dict[str, DataFrame], caps: dict[str, int] | None = None) -> DataFrame:
-    """All sources by name: caps before dedupe, then defaults. Each source is read once."""
-    caps = fv.SOURCE_CAPS if caps is None else caps
+    """All sources by name: dedupe, then defaults. Each source is read once.
+
+    `caps` (source -> rows per run, before the dedupe) is for displays; without it nothing is cut.
+    """
+    caps = caps or {}
     capped = [
         top_per_group(df, ["run_id"], ["ord"], caps[name]) if name in caps else df
         for name, df in sources.items()

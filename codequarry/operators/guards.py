@@ -77,25 +77,29 @@ def verdicts(entries: DataFrame, max_count: int = fv.MAX_FILE_COUNT,
              **limits) -> DataFrame:
     """One row per archive: the first failed check, or null when it is accepted.
 
-    Order of checks: entry count, expanded bytes, entries in archive order, workspace totals. All
-    of it is one partial aggregation, so a huge archive never sits in one task.
+    Order of checks: errors of a broken archive, entry count, expanded bytes, entries in archive order,
+    workspace totals. All of it is one partial aggregation, so a huge archive never sits in one task.
     """
+    broken = F.col("error") if "error" in entries.columns else F.lit(None).cast("string")
+    entries = entries.withColumn("error", broken)
     bad = F.col("reason").isNotNull()
     sums = check_entries(entries, **limits).groupBy("archive").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("file_size"))), F.lit(0)).alias("bytes"),
         F.count_if(~F.col("is_dir")).alias("files"),
         F.min(F.when(bad, F.struct("entry_no", "reason", "entry"))).alias("first_bad"),
+        F.min("error").alias("error"),
     )
     return sums.select(
         "archive",
-        F.when(F.col("n") > max_count, F.lit("too many entries"))
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("n") > max_count, F.lit("too many entries"))
         .when(F.col("bytes") > max_expanded_mb * MB, F.lit("expands too far"))
         .when(F.col("first_bad").isNotNull(), F.col("first_bad.reason"))
         .when(F.col("files") > max_count, F.lit("too many files"))
         .when(F.col("bytes") > max_repo_mb * MB, F.lit("repository too large"))
         .alias("reason"),
-        F.when((F.col("n") <= max_count) & (F.col("bytes") <= max_expanded_mb * MB),
+        F.when(F.col("error").isNull() & (F.col("n") <= max_count) & (F.col("bytes") <= max_expanded_mb * MB),
                F.col("first_bad.entry")).alias("entry"),
     )
 

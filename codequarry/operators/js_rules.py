@@ -188,11 +188,11 @@ def high_complexity(files: DataFrame, limit: int = fv.JS_COMPLEXITY_LIMIT) -> Da
 
 
 # --- unused names -----------------------------------------------------------
-def unused(files: DataFrame, cap: int = fv.JS_UNUSED_CAP) -> DataFrame:
+def unused(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Functions and classes whose name occurs nowhere else in the repository, by name.
 
-    Names are counted with a partial aggregation; only names without any use go on. At most `cap`
-    findings per repository, in file order.
+    Names are counted with a partial aggregation; only names without any use go on. With `cap`, at most
+    so many findings per repository, in file order.
     """
     names = token_rows(files).where("kind = 'IDENT'").select(
         *KEYS, "text", "line", "col", "pos", "role")
@@ -207,8 +207,9 @@ def unused(files: DataFrame, cap: int = fv.JS_UNUSED_CAP) -> DataFrame:
                     "UNUSED_FUNCTION_VALUE")
     # in a file, function values come first, then functions, then classes
     phase = t.lookup(F.col("role"), {"function_value": 0, "function": 1}, 2)
-    first = top_per_group(found.withColumn("phase", phase), ["repo_id"],
-                          ["path", "phase", "pos"], cap)
+    first = found.withColumn("phase", phase)
+    if cap is not None:
+        first = top_per_group(first, ["repo_id"], ["path", "phase", "pos"], cap)
     rules = {k: fv.JS_RULES[k] for k in ("UNUSED_FUNCTION_VALUE", "UNUSED_FUNCTION",
                                          "UNUSED_CLASS")}
     messages = {k: F.format_string(v[3], F.col("text")) for k, v in rules.items()}

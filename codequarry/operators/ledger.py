@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
-from codequarry.functions.grouping import skew_join
 from codequarry.functions.text import lookup
 
 
@@ -33,4 +32,4 @@ def latest(events: DataFrame) -> DataFrame:
 def pending(runs: DataFrame, events: DataFrame) -> DataFrame:
     """Runs whose log has no completion yet: what a batch still has to analyse."""
     done = events.where(F.col("state") == "completed").select("run_id").distinct()
-    return skew_join(runs, done, ["run_id"], "left_anti", ["run_id"])
+    return runs.join(done, "run_id", "left_anti")

@@ -64,11 +64,11 @@ def npm_frameworks(files: DataFrame) -> DataFrame:
 
 
 def python_frameworks(files: DataFrame) -> DataFrame:
-    """Frameworks that the first part of a Python text imports."""
+    """Frameworks that a Python text imports."""
     found = scan(files).where(t.suffix(t.base_name(F.col("path"))) == ".py").select(
-        "repo_id", F.left("content", F.lit(fv.FRAMEWORK_TEXT_CHARS)).alias("head"))
-    labels = _marked(lambda m: F.contains("head", F.concat(F.lit("import "), m))
-                     | F.contains("head", F.concat(F.lit("from "), m)))
+        "repo_id", F.col("content").alias("text"))
+    labels = _marked(lambda m: F.contains("text", F.concat(F.lit("import "), m))
+                     | F.contains("text", F.concat(F.lit("from "), m)))
     return exploded(found, ["repo_id"], labels, "framework").distinct()
 
 

@@ -47,7 +47,7 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
 
     sources = {
         "ast-custom": [py_rules.py_findings(scanned, extra_rules)],
-        "dup": [duplicates.duplicate_functions_capped(duplicates.functions(nodes))],
+        "dup": [duplicates.duplicate_functions(duplicates.functions(nodes))],
         "ts-morph": [js_rules.js_findings(tokens)],
     }
     stats = written(_file_stats(scanned, files, report_rows, runs), "file_stats")
@@ -58,8 +58,8 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
         sources["ts-morph"].append(reports.ts_morph(report_rows))
     sources["radon"] = [reports.radon_findings(stats)]
 
-    # The gate goes by repository and source, as the caps do, so it may follow them: the join then
-    # sees capped findings only. They are stored, since joins count their keys first.
+    # The gate goes by repository and source, so it may follow the dedupe. Merged findings are stored,
+    # since joins count their keys first.
     merged = written(findings.merge({n: _union(f, runs) for n, f in sources.items()}), "merged")
     gated = findings.gate_by_language(merged, languages)
     scored = risk.score(gated, stats, count_in=merged).withColumn("status", F.lit("open"))
@@ -99,7 +99,7 @@ def _file_stats(nodes: DataFrame, files: DataFrame, report_rows: DataFrame | Non
     counted = _with_run(py_rules.file_complexity(nodes), runs).select(
         "run_id", "repo_id", "path", F.col("complexity").cast("double").alias("own"))
     loc = _with_run(profile.with_loc(corpus.python_files(files)), runs).select(
-        "run_id", "path", "loc")
+        "run_id", "repo_id", "path", "loc")
     if report_rows is None:
         cc = counted.withColumnRenamed("own", "complexity")
         mi = counted.select("run_id", "repo_id", "path",
@@ -109,11 +109,13 @@ def _file_stats(nodes: DataFrame, files: DataFrame, report_rows: DataFrame | Non
         cc = counted.join(reports.radon_cc(report_rows), keys, "full_outer").select(
             *keys, F.coalesce("complexity", "own").alias("complexity"))
         mi = reports.radon_mi(report_rows)
-    return reports.file_stats(cc, mi, loc)
+    # every Python file has a row, also one without a function
+    cc = loc.select("run_id", "repo_id", "path").join(cc, ["run_id", "repo_id", "path"], "full_outer")
+    return reports.file_stats(cc, mi, loc.drop("repo_id"))
 
 
 def _with_text(scored: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
-    """Snippets for findings of the own rules, joined after caps and dedupe."""
+    """Snippets for findings of the own rules, joined after the dedupe."""
     line = F.col("line")
     shown = (
         F.when(F.col("source") == "ast-custom", t.snippet(F.col("_lines"), line))

@@ -119,7 +119,7 @@ def snippets(spark, d):
 
 
 @register("py_complexity", with_views(tp.T_FILES) + """,
-cc(no, name, complexity) AS (VALUES (0, 'add', 1), (4, 'q', 1), (5, 'f', 4), (6, 'g', 2), (7, 'h', 1), (9, 'l', 1),
+cc(no, name, complexity) AS (VALUES (0, 'width', 1), (4, 'q', 1), (5, 'f', 4), (6, 'g', 2), (7, 'h', 1), (9, 'l', 1),
   (11, 'c', 3), (14, 'gather', 3), (15, 'pick_up', 3))
 SELECT repo_id, path, name, 1 AS line, complexity FROM t_files JOIN cc USING (no)""")
 def py_complexity(spark, d):
@@ -232,9 +232,8 @@ SELECT repo_id, 'web/lib.ts' AS file, 1 AS line, 'Function ''a'' is never refere
   || 'dead code or an entry point (check framework registration).' AS message FROM lone
 UNION ALL SELECT repo_id, file, line, message FROM (
   SELECT repo_id, path AS file, 1 AS line, 'Function ''unused_' || file_id || ''' is never referenced. May be dead code '
-    || 'or an entry point (check framework registration).' AS message,
-    row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn FROM t_files WHERE no = 22)
-WHERE rn <= 300""")
+    || 'or an entry point (check framework registration).' AS message
+    FROM t_files WHERE no = 22)""")
 def js_unused(spark, d):
     return js_rules.unused(written(tokens(spark, d), "tokens")).select("repo_id", "file", "line",
                                                                        "message")
@@ -269,8 +268,7 @@ def secret_scan_documents(spark, d):
   FROM t_files JOIN expected USING (no)
   UNION ALL SELECT repo_id, 'ts-morph', 'UNUSED_FUNCTION', 'web/lib.ts', 1, CAST(0.5 AS DOUBLE) FROM lone
   UNION ALL
-  SELECT repo_id, 'dup', 'DUPLICATE_FUNCTION', path, 1, CAST(0.6 AS DOUBLE) FROM fns WHERE members >= 2 AND position <= 4),
-capped AS (SELECT *, row_number() OVER (PARTITION BY repo_id, source ORDER BY file, line) AS rn FROM found),
+  SELECT repo_id, 'dup', 'DUPLICATE_FUNCTION', path, 1, CAST(0.6 AS DOUBLE) FROM fns WHERE members >= 2),
 raw AS (SELECT *, (CAST(0.5 AS DOUBLE)
    + CASE WHEN type IN ('SQL_INJECTION', 'DANGEROUS_EVAL', 'HARDCODED_SECRET') THEN CAST(0.25 AS DOUBLE)
           WHEN type IN ('DANGEROUS_FUNCTION', 'UNSAFE_INNER_HTML', 'UNSAFE_SUBPROCESS') THEN CAST(0.2 AS DOUBLE)
@@ -282,9 +280,10 @@ raw AS (SELECT *, (CAST(0.5 AS DOUBLE)
                         'UNSAFE_SUBPROCESS', 'WEAK_HASH') THEN CAST(0.1 AS DOUBLE)
           WHEN type IN ('SELF_COMPARISON', 'ASSERT_VALIDATION', 'NONE_COMPARISON', 'CONSTANT_CONDITION') THEN CAST(0.05 AS DOUBLE)
           ELSE CAST(-0.05 AS DOUBLE) END) * confidence + (CAST(1 AS DOUBLE) - confidence) * CAST(0.5 AS DOUBLE) AS risk
-  FROM capped WHERE source = 'ast-custom' OR (source = 'dup' AND rn <= 100) OR (source = 'ts-morph' AND rn <= 500))
+  FROM found)
 SELECT repo_id, source, type, file, line, confidence,
-  floor(risk * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS risk_score,
+  (floor((risk * 1000::DOUBLE)) + CASE WHEN (risk * 1000::DOUBLE) - floor((risk * 1000::DOUBLE)) > 0.5::DOUBLE OR ((risk * 1000::DOUBLE) - floor((risk * 1000::DOUBLE)) = 0.5::DOUBLE AND ((((risk * 134217729::DOUBLE - (risk * 134217729::DOUBLE - risk)) * 1000::DOUBLE - (risk * 1000::DOUBLE)) + (risk - (risk * 134217729::DOUBLE - (risk * 134217729::DOUBLE - risk))) * 1000::DOUBLE) > 0 OR ((((risk * 134217729::DOUBLE - (risk * 134217729::DOUBLE - risk)) * 1000::DOUBLE - (risk * 1000::DOUBLE)) + (risk - (risk * 134217729::DOUBLE - (risk * 134217729::DOUBLE - risk))) * 1000::DOUBLE) = 0 AND CAST(floor((risk * 1000::DOUBLE)) AS BIGINT) % 2 = 1)))
+    THEN 1::DOUBLE ELSE 0::DOUBLE END) / 1000::DOUBLE AS risk_score,
   CASE WHEN risk >= CAST(0.8 AS DOUBLE) THEN 'critical' WHEN risk >= CAST(0.65 AS DOUBLE) THEN 'high'
        WHEN risk >= CAST(0.45 AS DOUBLE) THEN 'medium' WHEN risk >= CAST(0.25 AS DOUBLE) THEN 'low' ELSE 'info' END AS severity
 FROM raw""")

@@ -44,21 +44,16 @@ def cap_per_source(spark, d):
         *KEY, "category", "confidence", "ord.l_partkey", "ord.l_suppkey")
 
 
-MERGED = with_views(V_FINDINGS) + f""", capped AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY run_id, source ORDER BY {ORD}) AS rk FROM v_findings)
-  WHERE source = 'ast-custom' OR rk <= 500),
+MERGED = with_views(V_FINDINGS) + f""",
 merged AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id, source, type, file, line ORDER BY {ORD}) AS rn
-    FROM capped) WHERE rn = 1)
+    FROM v_findings) WHERE rn = 1)
 """
 
 
 def merged(spark, d):
-    found = v.findings(spark, d)
-    return ops.merge({s: found.where(F.col("source") == s)
-                      for s in ("ast-custom", "bandit", "ruff")})
+    return ops.with_defaults(ops.dedupe(v.findings(spark, d)))
 
 
 @register("merge_findings", MERGED +

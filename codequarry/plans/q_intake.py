@@ -53,7 +53,7 @@ NPM = """SELECT DISTINCT repo_id, CASE WHEN contains(content, '"Preact-dom"') TH
 PY = """SELECT DISTINCT repo_id, label AS framework FROM v_scan
   JOIN (VALUES ('fastapi', 'FastAPI'), ('flask', 'Flask'), ('django', 'Django'), ('tornado', 'Tornado'),
     ('express', 'Express'), ('react', 'React'), ('next', 'Next.js'), ('vue', 'Vue'), ('svelte', 'Svelte')) m(marker, label)
-  ON contains(left(content, 200000), 'import ' || marker) OR contains(left(content, 200000), 'from ' || marker)
+  ON contains(content, 'import ' || marker) OR contains(content, 'from ' || marker)
   WHERE ext = '.py'"""
 
 

@@ -13,7 +13,7 @@ from codequarry.plans import views as v
 
 FIRST_SCRIPT = 16  # templates from here on are TypeScript
 TEMPLATES = (
-    "def add(a, b):\n    return a + b",
+    "def width(box):\n    return box.right - box.left",
     "import os, sys\nimport json\nprint(json)",
     "import os\nimport hashlib\nos.system(x)\neval(y)\nhashlib.md5(z)",
     "import subprocess\nsubprocess.run(c, shell=True)",

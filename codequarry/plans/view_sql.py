@@ -60,7 +60,8 @@ v_raw AS (
              WHEN complexity >= 5 THEN CAST(0.015 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) AS risk_raw
   FROM v_shrunk),
 v_scored AS (
-  SELECT *, floor(risk_raw * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS risk_score,
+  SELECT *, (floor((risk_raw * 1000::DOUBLE)) + CASE WHEN (risk_raw * 1000::DOUBLE) - floor((risk_raw * 1000::DOUBLE)) > 0.5::DOUBLE OR ((risk_raw * 1000::DOUBLE) - floor((risk_raw * 1000::DOUBLE)) = 0.5::DOUBLE AND ((((risk_raw * 134217729::DOUBLE - (risk_raw * 134217729::DOUBLE - risk_raw)) * 1000::DOUBLE - (risk_raw * 1000::DOUBLE)) + (risk_raw - (risk_raw * 134217729::DOUBLE - (risk_raw * 134217729::DOUBLE - risk_raw))) * 1000::DOUBLE) > 0 OR ((((risk_raw * 134217729::DOUBLE - (risk_raw * 134217729::DOUBLE - risk_raw)) * 1000::DOUBLE - (risk_raw * 1000::DOUBLE)) + (risk_raw - (risk_raw * 134217729::DOUBLE - (risk_raw * 134217729::DOUBLE - risk_raw))) * 1000::DOUBLE) = 0 AND CAST(floor((risk_raw * 1000::DOUBLE)) AS BIGINT) % 2 = 1)))
+    THEN 1::DOUBLE ELSE 0::DOUBLE END) / 1000::DOUBLE AS risk_score,
          CASE WHEN risk_raw >= CAST(0.8 AS DOUBLE) THEN 'critical' WHEN risk_raw >= CAST(0.65 AS DOUBLE) THEN 'high'
               WHEN risk_raw >= CAST(0.45 AS DOUBLE) THEN 'medium' WHEN risk_raw >= CAST(0.25 AS DOUBLE) THEN 'low'
               ELSE 'info' END AS severity

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -35,11 +37,17 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/") + "/codequarry"
-    if not conf.get("spark.master", "").startswith("local"):
+    if not conf.get("spark.master", "").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="codequarry-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root + "/codequarry"
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    """For local masters without the setting, as in tests: a folder that goes when the process ends."""
+    own = tempfile.TemporaryDirectory(prefix="codequarry-", ignore_cleanup_errors=True)
+    atexit.register(own.cleanup)
+    return own.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -78,8 +78,9 @@ class Token:
         self.chain = self.before = self.after = self.fn = self.role = self.owner = None
 
 
-def tokens_of(source: str) -> list[tuple]:
-    tokens = _split(source)
+def tokens_of(source: str | None) -> list[tuple]:
+    """Tokens of one file; a file without content has none."""
+    tokens = _split(source or "")
     _mark_keywords(tokens)
     closing = _mark_depths(tokens)
     _mark_chains(tokens)

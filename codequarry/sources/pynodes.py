@@ -57,13 +57,15 @@ _FIELDS = ("pre last parent depth kind field idx line col end_line end_col name
 LAST, DEPTH, KIND, SHAPE = (_FIELDS.index(n) for n in ("last", "depth", "kind", "shape"))
 
 
-def nodes_of(source: str) -> list[list]:
-    """Rows of one file in pre-order."""
+def nodes_of(source: str | None) -> list[list]:
+    """Rows of one file in pre-order; one Error row where there is no content or no syntax tree."""
     try:
-        tree = ast.parse(source)
+        tree, error = (None, "NoContent") if source is None else (ast.parse(source), None)
     except PARSE_ERRORS as e:
+        tree, error = None, type(e).__name__
+    if tree is None:
         row = dict.fromkeys(_FIELDS)
-        row.update(pre=0, last=0, depth=0, kind="Error", error=type(e).__name__, hidden=False)
+        row.update(pre=0, last=0, depth=0, kind="Error", error=error, hidden=False)
         return [list(row.values())]
     rows: list[list] = []
     # (node, parent, depth, field, idx, enclosing functions, visible ones, hidden, control target)

@@ -4,12 +4,14 @@
 from codequarry.operators import duplicates
 from codequarry.sources import pynodes
 
+# walks a list backwards with a counter and stops early; the second has other names for everything
 BODY = (
-    "def {0}({1}):\n    {2} = 0\n    for {3} in {1}:\n        if {3}.fits():\n            {2} += {3}.size\n"
-    "        else:\n            {2} -= {3}.waste\n    return {2}\n")
-A = BODY.format("sum_a", "rows", "t", "r")
-B = BODY.format("sum_b", "items", "acc", "one")
-OTHER = "def parse(text):\n    bits = text.split(':')\n    return {'l': bits[0], 'r': bits[1], 'n': len(bits)}\n"
+    "def {0}({1}, {2}):\n    {3} = len({1})\n    while {3} > 0:\n        {3} -= 1\n"
+    "        if {1}[{3}] % {2} == 0:\n            break\n        print({3}, {1}[{3}])\n    return {3}, {2}\n")
+A = BODY.format("last_multiple", "numbers", "step", "at")
+B = BODY.format("sum_b", "prices", "lot", "k")
+OTHER = ("def greet(names, loud=False):\n    with open('log') as out:\n        for n in sorted(names):\n"
+         "            out.write(n.upper() if loud else n)\n")
 
 
 def functions(spark, files, scope="repo"):

@@ -7,15 +7,16 @@ from codequarry.operators import findings, py_rules
 from codequarry.sources import pynodes
 
 CASES = {
-    "sql concat": (
-        "import sqlite3\ndef find(uid):\n    conn = sqlite3.connect('x')\n"
-        "    cur = conn.execute(\"SELECT * FROM u WHERE id='\" + uid + \"'\")\n    return cur\n",
-        # a + b + c: the argument's left side is itself a sum, the inner sum starts with the text
-        {("SQL_INJECTION", 4)}),
-    "assert": ("def login(a, b):\n    assert a and b, 'missing'\n    return go(a, b)\n",
-               {("ASSERT_VALIDATION", 2)}),
-    "unused variable": ("def compute():\n    result = 42\n    return 0\n", {("UNUSED_VARIABLE", 2)}),
-    "clean": ("def add(a, b):\n    return a + b\n", set()),
+    "delete text built from a loop variable": (
+        "def purge(db, tables):\n    for t in tables:\n        db.execute(f'DELETE FROM {t}')\n"
+        "    db.commit()\n", {("SQL_INJECTION", 3)}),
+    "assert below a condition": ("if ready:\n    assert size > 0\n", {("ASSERT_VALIDATION", 2)}),
+    "unused variable": (
+        "def span(xs, step):\n    middle = len(xs) // 2\n    for k in range(0, len(xs), step):\n"
+        "        yield xs[k]\n", {("UNUSED_VARIABLE", 2)}),
+    "used in an inner function": (
+        "def outer(a):\n    b = a + 1\n    def inner():\n        return b\n    return inner\n", set()),
+    "nothing to find": ("class Box:\n    side = 2\n\n    def area(self):\n        return self.side ** 2\n", set()),
     "unsafe yaml": ("import yaml\nyaml.load(f)\n", {("DANGEROUS_DESERIALIZATION", 2)}),
     "safe yaml hides its arguments": (
         "import yaml\nyaml.load(eval(\nx), Loader=FullLoader)\nyaml.load(eval(\nx), Loader=L)\n",
@@ -121,7 +122,7 @@ def test_details(found):
     assert sql["SQL_INJECTION", 1].confidence == 0.85
     assert sql["SQL_INJECTION", 2].confidence == 0.8
     local = by_name(found, "unused variable")["UNUSED_VARIABLE", 2]
-    assert (local.description, local.evidence.function) == ("result", "compute")
+    assert (local.description, local.evidence.function) == ("middle", "span")
     secret = by_name(found, "secrets")["HARDCODED_SECRET", 6]
     assert secret.description == "assigned to client_secret"
 
