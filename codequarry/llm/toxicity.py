@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.frames import column, extended, fresh, with_columns
 from codequarry.llm.language_id import words_of
+from codequarry.session import written
 
+#: Chi-square from which a term counts as telling.
+LEAST_CHI = 10.8
 #: Texts that score this or more count as toxic.
 LEAST_SCORE = 0.7
 BITS = 18
@@ -64,25 +67,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def _screened(rows: list[np.ndarray], labels: np.ndarray, size: int, least: float) -> np.ndarray:
-    """Terms whose chi-square against the label (with Yates's correction) is at least so much."""
-    n, yes = len(rows), labels.sum()
-    seen = np.bincount(np.concatenate(rows), minlength=size).astype(float)
-    both = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
-    apart = np.maximum(0, np.abs(n * both - seen * yes) - n / 2)
-    chi = n * apart**2 / np.maximum(1, seen * (n - seen) * yes * (n - yes))
-    return np.flatnonzero(chi >= least)
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: int = 8, least_steps: int = 2000, rate: float = 0.1,
-        decay: float = 1e-4, least_chi: float = 10.8, batch: int = 64, seed: int = 7) -> Machine:
-    """Minibatch AdaGrad on the logistic loss, over the terms that say anything about the label (chi-square, p = 0.001)."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, factors: int = 8, epochs: int = 8, least_steps: int = 2000,
+        rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Machine:
+    """Minibatch AdaGrad on the logistic loss, over the known terms."""
     size, random = 1 << BITS, np.random.default_rng(seed)
     w, v = np.zeros(size), np.zeros((size, factors))
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Machine(40.0 if share else -40.0, w, v)
-    known = _screened(rows, labels, size, least_chi)
     number = np.full(size, -1)
     number[known] = np.arange(len(known))
     rows = [number[r][number[r] >= 0] for r in rows]
@@ -114,7 +106,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, teaches: Column, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
           most_docs: int = 6000) -> Machine:
-    """teaches: a column over the labels' id. Only hashed terms of at most 2 * most_docs rows reach the driver."""
+    """teaches: a column over the labels' id. Only screened terms of at most 2 * most_docs rows reach the driver.
+
+    Screening leaves out terms that say nothing about the label by chi-square with Yates's correction, p = 0.001.
+    """
     known = labels.filter(teaches & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("i").agg(F.max("y").alias("y"))
     luck = F.xxhash64(F.col("i").cast("string"))
@@ -125,11 +120,23 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, text: str = "text
         table = Terms()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "i").cast(pa.string()), column(batch, "y"), pa.array([table.of(t).astype(np.int32).tobytes() for t in column(batch, "t").to_pylist()], pa.binary())],
+                [column(batch, "i").cast(pa.string()), column(batch, "y"), pa.array([table.of(t) for t in column(batch, "t").to_pylist()], pa.list_(pa.int64()))],
                 ["i", "y", "terms"])
 
-    rows = sorted(texts.mapInArrow(hashed, "i string, y int, terms binary").collect(), key=lambda r: (r["i"], r["terms"]))
-    return fit([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float))
+    rows = written(texts.mapInArrow(hashed, "i string, y int, terms array<bigint>"), "toxicity-terms")
+    n, yes = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("seen"), F.sum("y").cast("double").alias("both"))
+    apart = F.greatest(F.lit(0.0), F.abs(n * F.col("both") - F.col("seen") * yes) - n / 2)
+    chi = n * apart * apart / F.greatest(F.lit(1.0), F.col("seen") * (n - F.col("seen")) * float(yes * (n - yes)))
+    known = np.array(sorted(r["t"] for r in seen.filter(chi >= LEAST_CHI).select("t").collect()), np.int64)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [r[np.isin(r, known)].astype(np.int32).tobytes() for r in (x.values.to_numpy() for x in column(batch, "terms"))]
+            yield pa.RecordBatch.from_arrays([column(batch, "i"), column(batch, "y"), pa.array(few, pa.binary())], ["i", "y", "terms"])
+
+    kept = sorted(rows.mapInArrow(screened, "i string, y int, terms binary").collect(), key=lambda r: (r["i"], r["terms"]))
+    return fit([np.frombuffer(r["terms"], np.int32) for r in kept], np.array([r["y"] for r in kept], float), known)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:

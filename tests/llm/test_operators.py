@@ -191,7 +191,7 @@ def test_factors_learn_pairs():
         names = [n for n, h in zip(("insult", "group"), has, strict=True) if h] + pick.sample("abcdefgh", 3)
         rows.append(np.array(sorted(words[n] for n in names)))
         labels.append(float(has[0] == has[1]))  # no single term says anything
-    machine = toxicity.fit(rows, np.array(labels), least_chi=-1, epochs=40, rate=0.2)
+    machine = toxicity.fit(rows, np.array(labels), np.unique(np.concatenate(rows)), epochs=40, rate=0.2)
     right = [(machine.score(r) > 0.5) == (y > 0.5) for r, y in zip(rows, labels, strict=True)]
     assert np.mean(right) > 0.95
 
