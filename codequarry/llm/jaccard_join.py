@@ -37,8 +37,8 @@ from codequarry.llm.graph import components
 from codequarry.llm.words import hashed, mix, runs
 from codequarry.session import written
 
-#: Cells of the load sketch (8 MB when merged, 2 MB as orders), of the count-min sketch (32 MB of bits) and of the Bloom filter (8 MB).
-LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 28, 1 << 26
+#: Cells of the load sketch (8 MB when merged, 2 MB as orders), of the count-min sketch (16 MB of bits) and of the Bloom filter (8 MB).
+LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 27, 1 << 26
 _U = np.uint64
 
 
@@ -221,6 +221,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
     # only a class's first text passes the filter (and repeated rows of it), so copies do not travel
     sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<bigint>, third array<bigint>")
     sets = written(sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2"), "jaccard-sets")
+    orders.destroy()  # what they were needed for is written
+    bloom.destroy()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Filters of orders two and three, then the exact comparison."""
