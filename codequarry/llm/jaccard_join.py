@@ -113,7 +113,7 @@ def _orders(docs: DataFrame, text: str, n: int, percent: int) -> Orders:
 
     load, twice = np.zeros(LOAD_CELLS, np.int64), np.zeros((1, TWICE_CELLS // 8), np.uint8)
     parts = docs.select(text).mapInArrow(count, sketch.PARTIAL)
-    for r in parts.groupBy("sketch_row", "block").applyInPandas(merge, sketch.MERGED).toLocalIterator():
+    for r in sketch.few_at_a_time(parts.groupBy("sketch_row", "block").applyInPandas(merge, sketch.MERGED)):
         if r["sketch_row"] < 0:
             load[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.int64)
         else:
@@ -152,8 +152,7 @@ def _bloom(rows: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": group["block"][:1], "bits": [np.packbits(on, bitorder="little").tobytes()]})
 
     bits = np.zeros(BLOOM_CELLS // 8, np.uint8)
-    for r in (rows.mapInArrow(places, "block int, places binary").groupBy("block")
-              .applyInPandas(merge, "block int, bits binary").toLocalIterator()):
+    for r in sketch.few_at_a_time(rows.mapInArrow(places, "block int, places binary").groupBy("block").applyInPandas(merge, "block int, bits binary")):
         bits[r["block"] << 17 : (r["block"] + 1) << 17] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -260,8 +259,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
         if turn == star_rounds:
             pairs = pairs.filter("row_x < row_y")
         pairs = pairs.select(F.least("row_x", "row_y").alias("x"), F.greatest("row_x", "row_y").alias("y")).distinct()
-        new = verified(pairs)
-        links = written(new if links is None else links.union(new), "jaccard-links")
+        new = written(verified(pairs), "jaccard-links")
+        if links is not None and new.isEmpty():
+            continue  # the components are what they were
+        links = new if links is None else links.union(new)
         roots = written(components(links), "jaccard-roots")
 
     by_row = classes.join(roots, classes["row"] == roots["node"], "left").select("d1", "d2", "id", "row", F.coalesce("root", "row").alias("root"))

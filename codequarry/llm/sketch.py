@@ -12,9 +12,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from codequarry.llm.words import mix
+from codequarry.session import written
 
 _BLOCK = 1 << 20
 PARTIAL = "sketch_row int, block int, once binary, more binary"
@@ -66,11 +67,16 @@ MERGED = "sketch_row int, block int, bits binary"
 def merged(parts: DataFrame, cells: int, rows: int = 2) -> np.ndarray:
     """(rows, cells / 8) bytes. Each block is merged in a task of its own; only the fixed-size bits reach the driver."""
     bits = np.zeros((rows, max(cells, _BLOCK) // 8), np.uint8)
-    for r in parts.groupBy("sketch_row", "block").applyInPandas(merge_block, MERGED).toLocalIterator():
+    for r in few_at_a_time(parts.groupBy("sketch_row", "block").applyInPandas(merge_block, MERGED)):
         put(bits, r)
     return bits
 
 
+def few_at_a_time(blocks: DataFrame, pieces: int = 8) -> Iterator[Row]:
+    """Rows of a table of bounded size, a piece of it in the driver at a time; made by as many tasks as there are partitions."""
+    return written(blocks, "blocks").coalesce(pieces).toLocalIterator()
+
+
 def put(bits: np.ndarray, r) -> None:
     """Puts a merged block in its place."""
     bits[r["sketch_row"], r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
