@@ -222,6 +222,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
     sets = written(sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2"), "jaccard-sets")
     orders.destroy()  # what they were needed for is written
     bloom.destroy()
+    del orders, bloom  # the driver's Python keeps the values otherwise
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Filters of orders two and three, then the exact comparison."""
@@ -263,7 +264,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
         if links is not None and new.isEmpty():
             continue  # the components are what they were
         links = new if links is None else links.union(new)
-        roots = written(components(links), "jaccard-roots")
+        known = new if roots is None else new.union(roots.filter("node <> root"))
+        roots = written(components(known), "jaccard-roots")
 
     by_row = classes.join(roots, classes["row"] == roots["node"], "left").select("d1", "d2", "id", "row", F.coalesce("root", "row").alias("root"))
     least = by_row.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -104,6 +104,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, cells:
     found = written(docs.mapInArrow(candidates, extended(docs, f"{row} bigint, {spots} array<struct<start: int, size: int, h1: bigint, h2: int>>")),
                     "substring-candidates", compression="zstd")
     shared.destroy()  # what it was needed for is written
+    del shared  # the driver's Python keeps the value otherwise
     parts = found.filter(F.size(spots) > 0).select(row, F.explode(spots).alias("s")).select(row, "s.*")
     kinds = parts.groupBy("h1", "h2", "size").agg(F.count("*").alias("times"), F.min(F.struct(row, "start")).alias("one"))
     judged = parts.join(kinds, ["h1", "h2", "size"]).select(
