@@ -10,9 +10,9 @@ compared. Size and position bounds apply to the pairs of order one.
 Stages:
 1. Both sketches, of fixed size, in one pass. Only prefix shingles that may occur twice are posted: few texts have any.
 2. Equal sets are one class; only a class's first row is posted.
-3. Star rounds: in each posting list, rows not yet connected are paired with pivots, linear in the list. Verified links are
-   contracted to components. What the stars leave unconnected is paired exhaustively, across components only. So no link
-   between components is lost, and copies are not expanded into all pairs.
+3. Star rounds: in each posting list, rows are paired with at most PIVOTS pivots of other components, linear in the list.
+   Verified links are contracted to components, as long as that saves many pairs. What the stars leave unconnected is paired
+   exhaustively, across components only. So no link between components is lost, and copies are not expanded into all pairs.
 4. Sets are read again only for rows that are posted (a Bloom filter of fixed size picks them from the texts).
 
 Defined cases: words are runs of other characters than space and \\t..\\r, A-Z lower-cased. A text with fewer than n words has its
@@ -24,6 +24,7 @@ Shingles are 64-bit fingerprints, sets 128-bit ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,9 @@ from codequarry.session import written
 
 #: Cells of the load sketch (8 MB when merged, 2 MB as orders), of the count-min sketch (16 MB of bits) and of the Bloom filter (8 MB).
 LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 27, 1 << 26
+#: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times the postings
+#: or fewer, or when a round left more than the share STEADY of them.
+ORDERS, PIVOTS, LINEAR, STEADY = 64, 16, 8, 0.75
 _U = np.uint64
 
 
@@ -164,8 +168,7 @@ def _bounded(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * rest >= percent * (nx + ny))
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
-         star_rounds: int = 2) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id_col, n_shingles, component_id (least id that links reach) and n_links_found.
 
     n_links_found counts verified links of the document's class. Links inside a component need not all be verified.
@@ -237,35 +240,41 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
         union = F.size("f_x") + F.size("f_y") - both
         return near.filter(100 * both >= percent * union).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    links, roots = None, None
-    for turn in range(star_rounds + 1):
-        if roots is None:
-            open_lists = postings.withColumn("root", F.col("row"))
-        else:
+    links, roots, before = None, None, None
+    for turn in count(0):
+        labelled = postings.withColumn("root", F.col("row"))
+        if roots is not None:
             labelled = postings.join(roots, postings["row"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row")).drop("node")
-            mixed = labelled.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("token")
-            open_lists = labelled.join(mixed, "token")
-        open_lists = written(open_lists, "jaccard-open")
+        # a list's pairs across components, shared out to its rows
+        mixed = labelled.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        mixed = mixed.filter("all * all > same").select("token", ((F.col("all") - F.col("same") / F.col("all")) / 2).alias("work"))
+        open_lists = written(labelled.join(mixed, "token"), "jaccard-open")
+        work, size = open_lists.agg(F.coalesce(F.sum("work"), F.lit(0.0)), F.count("*")).first()
+        last = work <= LINEAR * size or (before is not None and work > STEADY * before)
+        before = work
         left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos", "root")])
-        if turn < star_rounds:
-            # the pivot of a list: of its least component, the row that comes first in one of a few random orders
-            choice = F.struct("root", F.xxhash64("row", F.pmod("token", F.lit(2 + 2 * turn)), F.lit(turn)).alias("luck"), "row", "n", "pos")
-            right = open_lists.groupBy("token").agg(F.min(choice).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
-            if turn == 0:
-                choice = F.struct(F.xxhash64("row", F.pmod("token", F.lit(2))).alias("luck"), "row", "n", "pos", "root")
-                right = open_lists.groupBy("token").agg(F.min(choice).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
-        else:
+        if last:
             right = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
-        pairs = left.join(right, "token").filter((F.col("root_x") != F.col("root_y")) & _bounded("x", "y", percent))
-        if turn == star_rounds:
-            pairs = pairs.filter("row_x < row_y")
-        pairs = pairs.select(F.least("row_x", "row_y").alias("x"), F.greatest("row_x", "row_y").alias("y")).distinct()
+            pairs = left.join(right, "token").filter("row_x < row_y and root_x <> root_y")
+        else:
+            # pivots of a list: the least of each slot in one of ORDERS random orders; rows meet those of lesser components
+            kind = F.pmod("token", F.lit(ORDERS))
+            pivot = F.struct(F.xxhash64("row", kind, F.lit(turn)).alias("luck"), "row", "n", "pos", "root")
+            slots = open_lists.groupBy("token", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(PIVOTS)).alias("slot")).agg(F.min(pivot).alias("p"))
+            right = slots.groupBy("token").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
+            met = left.join(right, "token").withColumn("pivots", F.filter("pivots", lambda p: p["root"] < F.col("root_x")))
+            if turn == 0:  # most links are found with one pivot a row
+                one = F.pmod(F.xxhash64("row_x", kind), F.greatest(F.size("pivots"), F.lit(1))).cast("int")
+                met = met.withColumn("pivots", F.slice("pivots", one + 1, 1))
+            pairs = met.withColumn("p", F.explode("pivots")).select("*", *[F.col(f"p.{c}").alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
+        pairs = pairs.filter(_bounded("x", "y", percent)).select(F.least("row_x", "row_y").alias("x"), F.greatest("row_x", "row_y").alias("y")).distinct()
         new = written(verified(pairs), "jaccard-links")
-        if links is not None and new.isEmpty():
-            continue  # the components are what they were
         links = new if links is None else links.union(new)
-        known = new if roots is None else new.union(roots.filter("node <> root"))
-        roots = written(components(known), "jaccard-roots")
+        if roots is None or not new.isEmpty():  # else the components are what they were
+            known = new if roots is None else new.union(roots.filter("node <> root"))
+            roots = written(components(known), "jaccard-roots")
+        if last:
+            break
 
     by_row = classes.join(roots, classes["row"] == roots["node"], "left").select("d1", "d2", "id", "row", F.coalesce("root", "row").alias("root"))
     least = by_row.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -82,6 +82,16 @@ def test_jaccard(docs, none):
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({c if n else i for i, (n, c) in got.items()})
 
 
+def test_jaccard_large_group_of_near_copies(spark):
+    """Star rounds contract most of the group; the links that they leave are found across components."""
+    random = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(f"x{i}" if k in set(random.integers(0, 60, i % 3)) else w for k, w in enumerate(base))) for i in range(90)]
+    rows += [(100 + i, " ".join([*base[:20], *(f"y{i}_{k}" for k in range(40))])) for i in range(30)]
+    out = jaccard_join.link(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == jaccard_join.brute_force(rows)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_jaccard_chains(spark, seed):
     pick, rows = random.Random(seed), []
