@@ -249,6 +249,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
         mixed = labelled.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
         mixed = mixed.filter("all * all > same").select("token", ((F.col("all") - F.col("same") / F.col("all")) / 2).alias("work"))
         open_lists = written(labelled.join(mixed, "token"), "jaccard-open")
+        postings = open_lists.drop("root", "work")  # a list within one component stays so
         work, size = open_lists.agg(F.coalesce(F.sum("work"), F.lit(0.0)), F.count("*")).first()
         last = work <= LINEAR * size or (before is not None and work > STEADY * before)
         before = work
