@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product, with a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by the order of its `prefix` nearest pivots, and is posted in
-the inverted files of the first `posts` of them. A query looks into the files of its first `probes` pivots, ranks what is there by
-the footrule distance of the two orders, and the first `rerank` of each block of a file are ranked anew by inner product.
+Pivots are a bounded sample of the vectors. A vector is represented by the order of its `prefix` nearest pivots by angle, and is
+posted in the inverted files of the first `posts` of them. A query looks into the files of its first `probes` pivots, ranks what is
+there by the footrule distance of the two orders, and the first `rerank` of each norm band of a block are ranked anew by inner product.
 
-Largest inner product is turned into nearest by angle in the usual way: vectors are divided by the greatest norm M and get one more
-component that makes their length one; a query gets a zero there.
+Pivots grow with the root of the number of vectors up to a bound, and probes are at least `probe_share` of the pivots, so the share of
+the vectors that a query sees does not shrink as the table grows. The price is that the work of all queries grows with their number
+times that of the vectors. Within a norm band (norms at most `band` apart by factor) inner products follow the angle, so long vectors
+at a wider angle are not crowded out by short near ones.
 
 Equal vectors are one entry with its `k + 1` least ids, so copies neither fill a file nor multiply pairs. A file is cut into blocks of about
-`block` entries, as many as it needs; queries go to every block. Pivots grow with the root of the number of vectors up to a bound, so
-the work of all queries grows by less than the square.
+`block` entries, as many as it needs, and its queries into blocks as well; every block of queries meets every block of entries.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do those whose
 dimension is not the commonest one (of equally common ones the largest). Rows with a null id take no part. Repeated rows
@@ -42,19 +43,21 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 class Index:
     """Pivots and sizes; made on the driver from the bounded sample, used in tasks."""
 
-    def __init__(self, pivots: np.ndarray, norm: float, prefix: int):
-        self.norm, self.pivots = norm, self.lifted(pivots, norm)
+    def __init__(self, pivots: np.ndarray, prefix: int):
+        self.pivots = self.directed(pivots)[0]
         self.prefix = min(prefix, len(pivots))
 
     @staticmethod
-    def lifted(vectors: np.ndarray, norm: float) -> np.ndarray:
-        x = vectors / norm
-        return np.column_stack((x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))))
-
-    def orders(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
+    def directed(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors and the logarithms of the norms; no square leaves the range of a double."""
+        scale = np.abs(vectors).max(axis=1)
+        x = vectors / scale[:, None]
+        norm = np.sqrt((x * x).sum(axis=1))
+        return x / norm[:, None], np.log(scale) + np.log(norm)
+
+    def orders(self, vectors: np.ndarray) -> np.ndarray:
         """Numbers of the nearest pivots, nearest first; of equally near ones the first."""
-        x = np.column_stack((vectors, np.zeros(len(vectors)))) if query else self.lifted(vectors, self.norm)
-        return np.argsort(-(x @ self.pivots.T), axis=1, kind="stable")[:, : self.prefix].astype(np.int16)
+        return np.argsort(-(self.directed(vectors)[0] @ self.pivots.T), axis=1, kind="stable")[:, : self.prefix].astype(np.int16)
 
 
 def _matrix(arrays) -> np.ndarray:
@@ -63,10 +66,10 @@ def _matrix(arrays) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, pivots_per_root: float = 2.0,
            least_pivots: int = 64, most_pivots: int = 2048, prefix: int = 64, posts: int = 12, probes: int = 24, block: int = 2048,
-           rerank: int = 320) -> DataFrame:
+           rerank: int = 320, probe_share: float = 0.2, band: float = 1.25) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a column over `id` that picks the queries from the rows themselves."""
     rows = usable(vectors, id_col, vector)
-    dims = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
+    dims = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
     top = dims.orderBy(F.desc("n"), F.desc("dim")).first()
     spark = vectors.sparkSession
     if top is None:
@@ -78,29 +81,35 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "
     n_classes = classes.count()
     n_pivots = int(min(n_classes, max(least_pivots, min(most_pivots, pivots_per_root * n_classes**0.5))))
     sample = classes.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").select("vec").limit(n_pivots).collect()
-    index = spark.sparkContext.broadcast(Index(_matrix(r["vec"] for r in sample), top["norm"], prefix))
+    probes = max(probes, int(np.ceil(probe_share * n_pivots)))
+    index = spark.sparkContext.broadcast(Index(_matrix(r["vec"] for r in sample), max(prefix, probes)))
 
-    def orders(query: bool, lists: int):
+    def orders(lists: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, vec = batch.num_rows, column(batch, "vec")
                 if n:
-                    order = index.value.orders(np.asarray(vec.flatten()).reshape(n, -1), query)
+                    order = index.value.orders(np.asarray(vec.flatten()).reshape(n, -1))
                     yield pa.RecordBatch.from_arrays(
                         [column(batch, "k1"), column(batch, "k2"), vec, pa.array([o.tobytes() for o in order], pa.binary()),
                          pa.array(order[:, :lists].astype(np.int32).tolist(), pa.list_(pa.int32()))], ["k1", "k2", "vec", "ord", "files"])
         return run
 
     kinds = "k1 bigint, k2 bigint, vec array<double>, ord binary, files array<int>"
-    posted = classes.select("k1", "k2", "vec").mapInArrow(orders(False, posts), kinds)
+    posted = classes.select("k1", "k2", "vec").mapInArrow(orders(posts), kinds)
     posted = written(posted.withColumn("vec", F.col("vec").cast("array<double>")), "ann-postings")
     sizes = posted.select(F.explode("files").alias("file")).groupBy("file").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # one row a pivot: at most `most_pivots` rows
     blocks = F.broadcast(written(sizes, "ann-blocks"))
     entries = posted.withColumn("file", F.explode("files")).join(blocks, "file").withColumn("part", F.pmod("k1", F.col("blocks")).cast("int"))
     wanted = rows.filter(is_query).select("id", "k1", "k2").distinct()
-    asked = classes.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vec").mapInArrow(orders(True, probes), kinds)
-    asked = asked.withColumn("file", F.explode("files")).join(blocks, "file").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = classes.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vec").mapInArrow(orders(probes), kinds)
+    asked = written(asked.withColumn("vec", F.col("vec").cast("array<double>")), "ann-queries")
+    crowds = asked.select(F.explode("files").alias("file")).groupBy("file").agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
+    crowds = F.broadcast(written(crowds, "ann-crowds"))
+    entries = entries.join(crowds, "file").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
+    asked = asked.withColumn("file", F.explode("files")).join(crowds, "file").withColumn("crowd", F.pmod("k1", F.col("crowds")).cast("int"))
+    asked = asked.join(blocks, "file").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def rank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [[], [], [], [], []]
@@ -110,12 +119,14 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "
             place = np.full((pivots, len(right)), size, np.int32)  # where each entry has each pivot
             place[stored.T, np.arange(len(right))[None, :]] = np.arange(size)[:, None]
             entry, keys = _matrix(right["vec"]), right[["k1", "k2"]].to_numpy()
+            step = np.floor(Index.directed(entry)[1] / np.log(band))
+            bands = [np.flatnonzero(step == b) for b in np.unique(step)]
             for q in left.itertuples():
                 order = np.frombuffer(q.ord, np.int16)
                 mine = place[order]
                 # footrule, up to a constant: pivots of the entry that the query lacks add size - place each
                 footrule = (np.abs(mine - np.arange(size)[:, None]) + mine - size).sum(axis=0)
-                best = np.argpartition(footrule, rerank)[:rerank] if len(footrule) > rerank else np.arange(len(footrule))
+                best = np.concatenate([b[np.argpartition(footrule[b], rerank)[:rerank]] if len(b) > rerank else b for b in bands])
                 score = (entry[best] * np.asarray(q.vec)).sum(axis=1)
                 if len(score) > k + 1:
                     edge = -np.partition(-score, k)[k]
@@ -124,7 +135,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "
                     o.extend(values)
         return pd.DataFrame(dict(zip(("q1", "q2", "k1", "k2", "score"), out, strict=True))).astype({c: "int64" for c in ("q1", "q2", "k1", "k2")} | {"score": "float64"})
 
-    near = asked.groupBy("file", "part").cogroup(entries.select("file", "part", "k1", "k2", "vec", "ord").groupBy("file", "part")).applyInPandas(
+    near = asked.groupBy("file", "part", "crowd").cogroup(entries.select("file", "part", "crowd", "k1", "k2", "vec", "ord").groupBy("file", "part", "crowd")).applyInPandas(
         rank, "q1 bigint, q2 bigint, k1 bigint, k2 bigint, score double")
     by_class = Window.partitionBy("q1", "q2").orderBy(F.desc("score"))
     near = near.distinct().withColumn("r", F.rank().over(by_class)).filter(F.col("r") <= k + 1)

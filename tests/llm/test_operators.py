@@ -290,6 +290,20 @@ def test_nearest(spark):
     assert permutation_index.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_unequal_norms(spark):
+    """Recall holds where a query sees few files and norms differ."""
+    random_ = np.random.default_rng(4)
+    v = random_.normal(size=(16000, 64))
+    v *= (random_.lognormal(0, 0.5, 16000) / np.linalg.norm(v, axis=1))[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = permutation_index.search(df, F.col("id") % 400 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in range(0, 16000, 400):
+        order = np.argsort(-(v @ v[q]))
+        hits += len(got[q] & set(order[order != q][:20].tolist()))
+    assert hits / (40 * 20) >= 0.95
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_check_sql(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), CHECKS[name])[0] is None
