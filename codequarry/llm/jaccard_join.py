@@ -13,6 +13,8 @@ Stages:
 3. Star rounds: in each posting list, rows are paired with at most PIVOTS pivots of other components, linear in the list.
    Verified links are contracted to components, as long as that saves many pairs. What the stars leave unconnected is paired
    exhaustively, across components only. So no link between components is lost, and copies are not expanded into all pairs.
+   This gives the components. The links themselves come from a pass over all pairs of each list, in blocks of BLOCK rows, inside
+   components too; it is left out where only components are asked for. Its work grows as its result does, with the square of a group.
 4. Sets are read again only for rows that are posted (a Bloom filter of fixed size picks them from the texts).
 
 Defined cases: words are runs of other characters than space and \\t..\\r, A-Z lower-cased. A text with fewer than n words has its
@@ -29,7 +31,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import sketch
@@ -43,6 +45,8 @@ LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 27, 1 << 26
 #: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times the postings
 #: or fewer, or when a round left more than the share STEADY of them.
 ORDERS, PIVOTS, LINEAR, STEADY = 64, 16, 8, 0.75
+#: Rows of a block of a posting list in the pass over all pairs.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -168,11 +172,18 @@ def _bounded(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * rest >= percent * (nx + ny))
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: id_col, n_shingles, component_id (least id that links reach) and n_links_found.
+def _all_pairs(postings: DataFrame) -> DataFrame:
+    """All pairs of the rows of each list: row, n, pos of both. A list is cut into blocks, and a task's key is a pair of blocks."""
+    blocks = postings.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = postings.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = cut.select("token", F.col("mine").alias("i"), other.alias("j"), *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos")])
+    right = cut.select("token", other.alias("i"), F.col("mine").alias("j"), *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "pos")])
+    return left.join(right, ["token", "i", "j"]).filter("row_x < row_y")
 
-    n_links_found counts verified links of the document's class. Links inside a component need not all be verified.
-    """
+
+def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The documents (id, n_shingles, d1, d2), their classes (d1, d2, id, row, component_id), and all links of classes (rows a, b) if asked for."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
     orders = context.broadcast(_orders(docs, "text", n, percent))
@@ -240,7 +251,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
         union = F.size("f_x") + F.size("f_y") - both
         return near.filter(100 * both >= percent * union).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    links, roots, before = None, None, None
+    every, roots, before = postings, None, None
     for turn in count(0):
         labelled = postings.withColumn("root", F.col("row"))
         if roots is not None:
@@ -270,7 +281,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
             pairs = met.withColumn("p", F.explode("pivots")).select("*", *[F.col(f"p.{c}").alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
         pairs = pairs.filter(_bounded("x", "y", percent)).select(F.least("row_x", "row_y").alias("x"), F.greatest("row_x", "row_y").alias("y")).distinct()
         new = written(verified(pairs), "jaccard-links")
-        links = new if links is None else links.union(new)
         if roots is None or not new.isEmpty():  # else the components are what they were
             known = new if roots is None else new.union(roots.filter("node <> root"))
             roots = written(components(known), "jaccard-roots")
@@ -279,11 +289,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5
 
     by_row = classes.join(roots, classes["row"] == roots["node"], "left").select("d1", "d2", "id", "row", F.coalesce("root", "row").alias("root"))
     least = by_row.groupBy("root").agg(F.min("id").alias("component_id"))
+    links = None
+    if all_links:
+        pairs = _all_pairs(every).filter(_bounded("x", "y", percent)).select(F.col("row_x").alias("x"), F.col("row_y").alias("y")).distinct()
+        links = written(verified(pairs), "jaccard-all-links")
+    return rows.select("id", F.col("n").alias("n_shingles"), "d1", "d2"), by_row.join(least, "root").drop("root"), links
+
+
+def _component() -> Column:
+    return F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: id_col, n_shingles, component_id (least id that links reach) and n_links_found.
+
+    n_links_found counts all links of the document's class: the classes of other sets that are similar enough.
+    """
+    rows, known, links = _joined(docs, id_col, text, n, percent, True)
     degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
-    known = by_row.join(least, "root").join(degree, "row", "left").select("d1", "d2", "component_id", "links")
-    out = rows.select("id", F.col("n").alias("n_shingles"), "d1", "d2").join(known, ["d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                      F.coalesce("links", F.lit(0)).alias("n_links_found"))
+    out = rows.join(known.join(degree, "row", "left").select("d1", "d2", "component_id", "links"), ["d1", "d2"], "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", _component(), F.coalesce("links", F.lit(0)).alias("n_links_found"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """All links between classes of equal sets: a and b, the least id of each class; documents with equal sets are links by themselves."""
+    _, known, found = _joined(docs, id_col, text, n, percent, True)
+    for side in ("a", "b"):
+        found = found.join(known.select(F.col("row").alias(side), F.col("id").alias(f"id_{side}")), side)
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def stage(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -292,7 +325,8 @@ def stage(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Documents with an empty set are no copies of each other and stay; so do those without an id, which cannot be told apart.
     """
     kept, mark = fresh(docs, "kept_id", "text_mark")
-    keep = link(docs, id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept)).distinct()
+    rows, known, _ = _joined(docs, id_col, "text", 5, 80, False)
+    keep = rows.join(known.select("d1", "d2", "component_id"), ["d1", "d2"], "left").filter(F.col("id") == _component()).select(F.col("id").alias(kept)).distinct()
     found = docs.join(keep, docs[id_col] == keep[kept], "left_semi").withColumn(mark, F.xxhash64("text"))
     return found.dropDuplicates([id_col, mark]).drop(mark).unionByName(docs.filter(F.col(id_col).isNull()))
 

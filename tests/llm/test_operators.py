@@ -92,6 +92,27 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == jaccard_join.brute_force(rows)
 
 
+def test_jaccard_all_links(spark, monkeypatch):
+    """Links inside a component are found as well, also where a list is cut into blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7, raising=False)
+    pick, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(120)]
+    for i in range(40):
+        words = [w if pick.random() > 0.012 else f"{w}.{i}" for w in base]
+        rows.append((i, " ".join(words)))
+    rows += [(50, rows[3][1]), (51, "quite another text of some words")]
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    least = {}
+    for i, s in sorted(sets.items()):
+        least.setdefault(s, i)
+    want = {(i, j) for s, i in least.items() for t, j in least.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    degree = Counter(i for pair in want for i in pair)
+    assert len(want) > 40
+    assert {r["doc_id"]: r["n_links_found"] for r in jaccard_join.link(df).collect()} == {i: degree[least[s]] for i, s in sets.items()}
+    assert sorted(tuple(sorted(r)) for r in jaccard_join.links(df).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_jaccard_chains(spark, seed):
     pick, rows = random.Random(seed), []
