@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency, with DataFrame functions only.
 
-Lines are normalised (words lower-cased, joined by one space) and hashed. A line of a host is boilerplate when it stands in more
-distinct documents of the host than `least_docs` and than `share` percent of them. Copies of one text count as one document: to find
-them is the task of deduplication. Boilerplate lines are removed; a document is rejected when it fails the base rules, or when
+Lines are normalised (words lower-cased, joined by one space) and hashed. A line of a host is boilerplate when it stands in two
+documents of the host or more, and in more than `least_docs` of them or more than `share` percent of them: the count does not grow with
+the host, and the share finds the lines of small hosts. Every row is a document, copies of one text too. Boilerplate lines are removed; a document is rejected when it fails the base rules, or when
 fewer than `least_words` words or `least_left` percent of its words are left.
 
 Defined cases: a null text has no words and fails the base rules; null ids and hosts are values like any other; repeated rows are
@@ -56,7 +56,7 @@ def repeated_words(words: Column, window: int) -> Column:
 
 def _measured(docs: DataFrame, text: str, window: int) -> tuple[DataFrame, dict[str, str]]:
     """docs with base measures and an array of its lines' hashes and word counts; the names of the new columns."""
-    wanted = ("row_no", "words", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_mark")
+    wanted = ("row_no", "words", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     name = dict(zip(wanted, fresh(docs, *wanted), strict=True))
     body = F.coalesce(F.col(text), F.lit(""))
     words, lines = F.col(name["words"]), F.col(name["lines"])
@@ -65,7 +65,6 @@ def _measured(docs: DataFrame, text: str, window: int) -> tuple[DataFrame, dict[
         name["lines"]: F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         name["word_chars"]: F.length(F.translate(body, _SPACE_CHARS, "")).cast("bigint"),
         name["n_symbols"]: (F.length(body) - F.length(F.translate(body, _SYMBOLS, ""))).cast("bigint"),
-        name["text_mark"]: F.xxhash64(body),
     })
     step = step.withColumns({
         name["n_words"]: F.size(words).cast("bigint"), name["n_repeat_words"]: repeated_words(words, window).cast("bigint"),
@@ -83,12 +82,15 @@ def _line(x: Column) -> Column:
 
 def _boilerplate(measured: DataFrame, name: dict[str, str], host: str, least_docs: int, share: int) -> tuple[DataFrame, DataFrame]:
     """All lines (a row each), and the boilerplate lines of every host."""
-    mark, row = name["text_mark"], name["row_no"]
-    lines = (measured.select(row, F.col(host).alias("host"), mark, F.explode(name["lines"]).alias("line"))
-             .select(row, "host", F.col(mark).alias("mark"), "line.h1", "line.h2", "line.words"))
-    hosts = measured.groupBy(F.col(host).alias("of_host")).agg(F.count_distinct(mark).alias("host_docs"))
-    seen = lines.groupBy("host", "h1", "h2").agg(F.count_distinct("mark").alias("docs")).filter(F.col("docs") > least_docs)
-    often = (seen.join(hosts, seen["host"].eqNullSafe(hosts["of_host"])).filter(100 * F.col("docs") > share * F.col("host_docs"))
+    row = name["row_no"]
+    rows = measured.select(F.col(row).alias(row), F.col(host).alias("host"), F.col(name["lines"]).alias("all_lines"))
+    lines = rows.select(row, "host", F.explode("all_lines").alias("line")).select(row, "host", "line.h1", "line.h2", "line.words")
+    hosts = measured.groupBy(F.col(host).alias("of_host")).agg(F.count("*").alias("host_docs"))
+    # once a document, then plain counts
+    once = rows.select("host", F.explode(F.array_distinct("all_lines")).alias("line")).select("host", "line.h1", "line.h2")
+    seen = once.groupBy("host", "h1", "h2").agg(F.count("*").alias("docs")).filter("docs > 1")
+    often = (seen.join(hosts, seen["host"].eqNullSafe(hosts["of_host"]))
+             .filter((F.col("docs") > least_docs) | (100 * F.col("docs") > share * F.col("host_docs")))
              .select(F.col("host").alias("b_host"), F.col("h1").alias("b_h1"), F.col("h2").alias("b_h2")))
     return lines, often
 

@@ -277,6 +277,19 @@ def test_boilerplate_lines(spark):
     assert text[0] == f"{body} 0" and text[100] == rows[-1][1] and 99 not in text
 
 
+def test_boilerplate_by_count_or_share(spark):
+    """A footer below the share of a large host goes by its count, one of a small host by its share; copies count each."""
+    def body(i):
+        return " ".join(f"{i}.{k}" for k in range(30))
+
+    rows = [(i, body(i) + ("\nfooter of a large host" if i < 12 else ""), "large") for i in range(200)]
+    rows += [(200 + i, f"{body(200)}\ncopied line", "large") for i in range(11)]
+    rows += [(300 + i, body(300 + i) + ("\nfooter of a small host" if i < 2 else ""), "small") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r["doc_id"]: r["n_removed_words"] for r in line_quality.judge(docs).collect()}
+    assert out == {i: 5 if i < 12 or i in (300, 301) else 32 if 200 <= i < 211 else 0 for i, _, _ in rows}
+
+
 def test_secrets(spark, docs, none):
     def secrets(df):
         return secret_scan.scan(df, PIECES, F.lit(True))
