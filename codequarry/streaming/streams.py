@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators import findings as ops
-from codequarry.operators import py_rules, risk
+from codequarry.operators import js_rules, py_rules, risk
 from codequarry.session import written
-from codequarry.sources import corpus, pynodes
+from codequarry.sources import corpus, jstokens, pynodes
 
 FINDING_KEY = list(ops.FINDING_KEY)
 
@@ -60,11 +60,15 @@ def _foreach(stream: DataFrame, work, out: str, checkpoint: str, once: bool) ->
 def scan(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """A micro-batch of new files to scored findings, as the work of `each_batch`.
 
-    A file arrives whole, so rules that compare rows of one file see all of them. Its nodes are
-    written once per batch and read by all rules.
+    A file arrives whole, so rules that compare rows of one file see all of them. Its nodes or
+    tokens are written once per batch and read by all rules. Unused names of scripts need the whole
+    repository and are found by the batch analysis only.
     """
+    tokens = written(jstokens.js_tokens(corpus.script_files(files)), "tokens")
+    scripts = js_rules.local_findings(tokens).unionByName(js_rules.high_complexity(tokens))
     nodes = written(pynodes.py_nodes(corpus.python_files(files), py_rules.NEEDED_KINDS), "nodes")
-    found = ops.dedupe(py_rules.py_findings(nodes).withColumn("run_id", F.col("repo_id")))
+    found = py_rules.py_findings(nodes).unionByName(scripts, allowMissingColumns=True)
+    found = ops.dedupe(found.withColumn("run_id", F.col("repo_id")))
     return risk.scored(found, F.lit(None).cast("double")) if stats is None else risk.score(
         found, stats)
 
