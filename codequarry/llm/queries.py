@@ -17,9 +17,11 @@ from codequarry.llm import (
     permutation_index,
     secret_scan,
     substring_dedup,
+    token_file,
     toxicity,
 )
 from codequarry.llm.frames import held_out, table
+from codequarry.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +117,10 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_permutation_index")
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@register("op13_token_file")
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_file.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=0)
+    return token_file.digests(spark, path)
