@@ -34,7 +34,7 @@ from codequarry.session import written
 
 MAGIC = int.from_bytes(b"IDSHARD1", "little")
 #: Ids of a block (a multiple of 64) and of a shard.
-BLOCK, SHARD_IDS = 4096, 1 << 21
+BLOCK, SHARD_IDS = 4096, 1 << 20
 _HEADER = ("magic", "bits", "part", "seq", "n_ids", "n_docs", "open", "block")  # open: the last document goes on in the next shard
 _TABLE = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("number", "<i8"), ("piece", "<i8"), ("begin", "<i8")])
 
@@ -152,11 +152,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Shard(c.as_buffer()) for c in column(batch, "content")]
-            columns = [pa.array([getattr(s, k) for s in found], pa.int64()) for k in ("part", "seq", "n_ids")]
+            found = np.array([np.frombuffer(h.as_buffer(), "<i8") for h in column(batch, "head")], np.int64).reshape(-1, len(_HEADER))
+            columns = [pa.array(found[:, _HEADER.index(k)]) for k in ("part", "seq", "n_ids")]
             yield pa.RecordBatch.from_arrays([column(batch, "path"), *columns], ["path", "part", "seq", "n_ids"])
 
-    listed = written(_contents(docs.sparkSession, path).select("path", "content").mapInArrow(heads, "path string, part bigint, seq bigint, n_ids bigint"), "token-heads")
+    found = _contents(docs.sparkSession, path).select("path", F.substring("content", 1, 8 * len(_HEADER)).alias("head"))
+    listed = written(found.mapInArrow(heads, "path string, part bigint, seq bigint, n_ids bigint"), "token-heads")
     # one row a task of the writing job
     parts = listed.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
