@@ -8,18 +8,18 @@ A shard is one file: the header of eight 64-bit numbers (see `_HEADER`), the tab
 the part, piece, first place), the block offsets, the packed words, and one line feed, which Spark's writer puts after a record. All numbers are
 little-endian. Documents follow each other without gaps, in ascending order of their ids; a document may go on in the next shard.
 
-Stages: encode each text once and write its ids; sort them by range of the document's id; each task writes shards of at most
-`shard_ids` ids through Spark's own commit protocol, so a lost task leaves no half file; `index` gets the headers, and adds up where
-each shard begins. Nothing but the vocabulary's size is known to the driver, and no task holds more than a shard and a document.
+Stages: texts are dealt by range of their documents' ids (ties go on by length and hash, so a hot id is split) and sorted; each task
+encodes its texts as they come and writes shards of at most `shard_ids` ids through Spark's own commit protocol, so a lost task leaves no half file;
+`index` gets the headers, and adds up where each shard begins. Nothing but the vocabulary's size is known to the driver, and no task
+holds more than a shard and a document beside its batch.
 
 Defined cases: a null text has no ids but the end id. Null ids of documents come first. Rows of one id stand side by side, shorter
-ones first, then by checksum. Ids of documents are 64-bit integers. An empty table gives no shard. Extra columns do not matter.
+texts first, then by hash. Ids of documents are 64-bit integers. An empty table gives no shard. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.bpe import Encoder, tokenizer_text
-from codequarry.llm.frames import RowNumbers, column
+from codequarry.llm.frames import column
 from codequarry.session import written
 
 MAGIC = int.from_bytes(b"IDSHARD1", "little")
@@ -111,31 +111,21 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     """Encodes the texts, with end_id after each, into shards below path/shards and their index below path/index."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
     bits = width(shared.value, end_id)
-    kind = "<u2" if bits <= 16 else "<u4"
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, numbers = Encoder(shared.value), RowNumbers()
-        for batch in batches:
-            rows = [np.append(encoder.encode(t), np.uint32(end_id)).astype(kind) for t in column(batch, "text").to_pylist()]
-            raw = [r.tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                 pa.array(numbers.take(batch.num_rows)), pa.array(raw, pa.binary())], ["doc_id", "n", "crc", "row", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, number, held, n, table = TaskContext.get().partitionId(), 0, 0, [], 0, []
+        encoder, part, seq, number, held, n, table = Encoder(shared.value), TaskContext.get().partitionId(), 0, 0, [], 0, []
 
         def shard(goes_on: bool) -> pa.RecordBatch:
             raw = shard_bytes(np.concatenate(held), np.array(table, _TABLE), bits, part, seq, goes_on)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["shard"])
 
         for batch in batches:
-            for doc_id, raw in zip(column(batch, "doc_id").to_pylist(), column(batch, "ids"), strict=True):
-                ids, begin, piece = np.frombuffer(raw.as_buffer(), kind), 0, 0
+            for doc_id, text_of in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
+                ids, begin, piece = np.append(encoder.encode(text_of.as_py()), np.uint32(end_id)), 0, 0
                 while begin < len(ids):
                     taken = ids[begin : begin + shard_ids - n]
                     table.append((doc_id or 0, doc_id is not None, number, piece, n))
-                    held.append(taken.copy())
+                    held.append(taken)
                     begin, piece, n = begin + len(taken), piece + 1, n + len(taken)
                     if n == shard_ids:
                         yield shard(begin < len(ids))
@@ -144,10 +134,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
         if n:
             yield shard(False)
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(texts.mapInArrow(encoded, "doc_id bigint, n bigint, crc bigint, row bigint, ids binary"), "token-ids")
-    order = [F.asc_nulls_first("doc_id"), "n", "crc", "row"]
-    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(shards, "shard binary")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).select(
+        "doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("doc_id"), "size", "mark", "row"]
+    files = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(shards, "shard binary")
     files.select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/shards", lineSep="\n")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,8 +38,8 @@ def test_width():
 
 def brute_force(rows, end_id=0):
     whole, out, start = Tokenizer.from_file(JSON), [], 0
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len((r[1] or "").encode())))
     ids = [(i, np.array([*whole.encode(t or "", add_special_tokens=False).ids, end_id], "<u4")) for i, t in rows]
-    ids.sort(key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), zlib.crc32(r[1].astype("<u2").tobytes())))
     for i, x in ids:
         out.append((i, start, len(x), zlib.crc32(x.tobytes())))
         start += len(x)
