@@ -216,29 +216,35 @@ def _border(words: DataFrame, depth: int) -> DataFrame:
 
 
 def _holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word: the hashes of all strings with one place deleted (key, place), and of the word itself (place -1)."""
+    """For each word (nth): the hashes of all strings with one place deleted, each with the first and last place that leave it
+    (a run of one letter), and of the word itself (places -1)."""
     base, back = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
     for batch in batches:
-        for w in column(batch, "w").to_pylist():
-            letters = mix(np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+        for w, nth in zip(column(batch, "w").to_pylist(), column(batch, "nth").to_pylist(), strict=True):
+            letters = np.frombuffer(w.encode("utf-32-le"), "<u4")
+            first = np.flatnonzero(np.append(True, letters[1:] != letters[:-1]))
+            last = np.append(first[1:], len(letters)) - 1
             power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(letters), base))))
-            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * power[:-1], dtype=np.uint64)))
-            hole = upto[:-1] + (upto[-1] - upto[1:]) * back
-            keys = mix(np.append(hole, upto[-1]) + np.append(np.full(len(letters), len(letters) - 1, np.uint64), np.uint64(len(letters))))
-            for s in range(0, len(keys), 1 << 14):
-                part = keys[s : s + (1 << 14)].view(np.int64)
-                place = np.arange(s, s + len(part))
-                place[place == len(letters)] = -1
-                yield pa.RecordBatch.from_arrays([pa.array([w] * len(part), pa.string()), pa.array(part), pa.array(place)], ["w", "key", "place"])
+            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(letters.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+            hole = upto[first] + (upto[-1] - upto[first + 1]) * back
+            keys = mix(np.append(hole + np.uint64(len(letters) - 1), upto[-1] + np.uint64(len(letters)))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), nth)), pa.array(keys), pa.array(np.append(first, -1)), pa.array(np.append(last, -1))],
+                                             ["nth", "key", "first", "last"])
 
 
 def _long_pairs(words: DataFrame) -> DataFrame:
     """Near pairs of long words. Few words share a key: those that differ at one and the same place."""
-    keys = written(words.select("w").mapInArrow(_holes, "w string, key bigint, place bigint"), "spelling-holes")
-    left, right = keys.alias("x"), keys.alias("y")
-    same = left.join(right, "key").filter("x.w <> y.w and (x.place = y.place or y.place = -1)")
-    same = same.select(F.greatest("x.w", "y.w").alias("a"), F.least("x.w", "y.w").alias("b")).distinct()
-    return same.filter(F.levenshtein("a", "b", 1) == 1)
+    words = written(words.select("w", F.monotonically_increasing_id().alias("nth")), "spelling-long")
+    keys = written(words.mapInArrow(_holes, "nth bigint, key bigint, first bigint, last bigint"), "spelling-holes")
+    # x has a place deleted; y has one of the same places deleted, or is whole
+    same = keys.alias("x").join(keys.alias("y"), "key").filter(
+        "x.nth <> y.nth and x.first >= 0 and (y.first < 0 or x.nth < y.nth and x.first <= y.last and y.first <= x.last)")
+    same = same.groupBy(F.col("x.nth").alias("a"), F.col("y.nth").alias("b")).agg(F.min(F.struct(F.col("x.first").alias("a"), F.col("y.first").alias("b"))).alias("at"))
+    same = same.select("a", "b", F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"))
+    for side in ("a", "b"):
+        same = same.join(words.select(F.col("nth").alias(side), F.col("w").alias(f"w_{side}")), side)
+    left = {s: F.expr(f"if(at_{s} < 0, w_{s}, concat(substring(w_{s}, 1, int(at_{s})), substring(w_{s}, int(at_{s}) + 2)))") for s in ("a", "b")}
+    return same.filter(left["a"] == left["b"]).select(F.col("w_a").alias("a"), F.col("w_b").alias("b"))
 
 
 def near_pairs(words: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
