@@ -188,21 +188,41 @@ def high_complexity(files: DataFrame, limit: int = fv.JS_COMPLEXITY_LIMIT) -> Da
 
 
 # --- unused names -----------------------------------------------------------
+def names(files: DataFrame) -> DataFrame:
+    """Identifiers of the token table, with their roles."""
+    return token_rows(files).where("kind = 'IDENT'").select(
+        *KEYS, "text", "line", "col", "pos", "role")
+
+
+def name_counts(idents: DataFrame, sign: Column | int = 1) -> DataFrame:
+    """Declarations and uses of each name of a repository; a partial aggregation. Rows may count negatively."""
+    declared = F.coalesce(F.col("role").isin(*DECLARED), F.lit(False))
+    one = sign if isinstance(sign, Column) else F.lit(sign)
+    return idents.groupBy("repo_id", "text").agg(
+        F.sum(F.when(declared, one).otherwise(0)).alias("declared"),
+        F.sum(F.when(declared, 0).otherwise(one)).alias("used"))
+
+
+def declarations(idents: DataFrame) -> DataFrame:
+    """Declared functions and classes that count as unused if their name has no use."""
+    return idents.where(F.col("role").isin("function", "function_value", "class")
+                        & ~F.startswith("text", F.lit("_")))
+
+
 def unused(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Functions and classes whose name occurs nowhere else in the repository, by name.
 
     Names are counted with a partial aggregation; only names without any use go on. With `cap`, at most
     so many findings per repository, in file order.
     """
-    names = token_rows(files).where("kind = 'IDENT'").select(
-        *KEYS, "text", "line", "col", "pos", "role")
-    declared = F.coalesce(F.col("role").isin(*DECLARED), F.lit(False))
-    dead = names.groupBy("repo_id", "text").agg(
-        F.count_if(declared).alias("declared"), F.count_if(~declared).alias("used")
-    ).where("declared > 0 AND used = 0").select("repo_id", "text")
-    candidates = names.where(F.col("role").isin("function", "function_value", "class")
-                             & ~F.startswith("text", F.lit("_")))
-    found = skew_join(candidates, dead, ["repo_id", "text"], "inner", ["file_id", "pos"])
+    idents = names(files)
+    dead = name_counts(idents).where("declared > 0 AND used = 0").select("repo_id", "text")
+    return unused_findings(declarations(idents), dead, cap)
+
+
+def unused_findings(declared: DataFrame, dead: DataFrame, cap: int | None = None) -> DataFrame:
+    """Findings for the declarations whose (repo_id, text) is among the dead names."""
+    found = skew_join(declared, dead, ["repo_id", "text"], "inner", ["file_id", "pos"])
     rule = t.lookup(F.col("role"), {"function": "UNUSED_FUNCTION", "class": "UNUSED_CLASS"},
                     "UNUSED_FUNCTION_VALUE")
     # in a file, function values come first, then functions, then classes
