@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
 from codequarry.functions.grouping import skew_join, top_per_group
-from codequarry.functions.lines import with_lines
 from codequarry.functions.rows import exploded
 
 SOURCE = "ts-morph"
@@ -74,7 +73,8 @@ def hit(rule: str, place: str, *args: Column, detail: Column | None = None) -> C
         F.lit(confidence).alias("confidence"),
         (F.format_string(message, *args) if args else F.lit(message)).alias("message"),
         (F.lit(text) if detail is None else F.format_string(text, detail)).alias("detail"),
-        at["line"].alias("line"), at["col"].alias("col"), F.col("t.pos").alias("pos"))
+        at["line"].alias("line"), at["col"].alias("col"), F.col("t.pos").alias("pos"),
+        F.col("t.shown").alias("shown"))
 
 
 # --- local rules ------------------------------------------------------------
@@ -135,7 +135,8 @@ def secret_value(value: Column) -> Column:
 
 def secret() -> Column:
     """A variable whose whole initialiser is one string literal."""
-    alone = _loose(F.col("t.after"), ADDITIVE + EQUAL + ("?", "&&", "||", "??", "("))
+    alone = _loose(F.col("t.after"), ADDITIVE + EQUAL + ("?", "&&", "||", "??", "(")) & ~(
+        _is("n1", ".") | _is("n1", "?.") | _is("n1", "["))
     return F.when((F.col("t.kind") == "STRING") & secret_name(F.col("t.owner")) & alone
                   & secret_value(F.col("t.text")), hit("HARDCODED_SECRET", "t", F.col("t.owner")))
 
@@ -173,7 +174,7 @@ def complexity(files: DataFrame) -> DataFrame:
     return neighbours(files).where(F.col("t.fn").isNotNull() & (decision | own)).groupBy(
         *KEYS, F.col("t.fn").alias("fn")
     ).agg(F.max(named).alias("name"), F.max(F.when(own, F.col("t.line"))).alias("line"),
-          F.max(F.when(own, F.col("t.col"))).alias("col"),
+          F.max(F.when(own, F.col("t.shown"))).alias("shown"), F.max(F.when(own, F.col("t.col"))).alias("col"),
           (F.count_if(decision) + 1).cast("int").alias("complexity"))
 
 
@@ -184,14 +185,14 @@ def high_complexity(files: DataFrame, limit: int = fv.JS_COMPLEXITY_LIMIT) -> Da
         *KEYS, F.lit(type_).alias("type"), F.lit(category).alias("category"),
         F.lit(confidence).alias("confidence"),
         F.format_string(message, "name", cc).alias("message"),
-        F.format_string(detail, cc).alias("detail"), "line", "col", F.col("fn").alias("pos")))
+        F.format_string(detail, cc).alias("detail"), "line", "col", F.col("fn").alias("pos"), "shown"))
 
 
 # --- unused names -----------------------------------------------------------
 def names(files: DataFrame) -> DataFrame:
     """Identifiers of the token table, with their roles."""
     return token_rows(files).where("kind = 'IDENT'").select(
-        *KEYS, "text", "line", "col", "pos", "role")
+        *KEYS, "text", "line", "col", "pos", "role", "shown")
 
 
 def name_counts(idents: DataFrame, sign: Column | int = 1) -> DataFrame:
@@ -240,7 +241,7 @@ def unused_findings(declared: DataFrame, dead: DataFrame, cap: int | None = None
         *KEYS, t.lookup(rule, {k: v[0] for k, v in rules.items()}, None).alias("type"),
         F.lit("CODE_SMELL").alias("category"), F.lit(0.5).alias("confidence"),
         message.alias("message"), F.lit(rules["UNUSED_CLASS"][4]).alias("detail"),
-        "line", "col", "pos"))
+        "line", "col", "pos", "shown"))
 
 
 # --- import graph -----------------------------------------------------------
@@ -303,7 +304,7 @@ def _findings(hits: DataFrame) -> DataFrame:
     return hits.select(
         *KEYS, F.lit(SOURCE).alias("source"), "type", "category", F.col("path").alias("file"),
         "line", "col", "message", F.col("detail").alias("description"), "confidence",
-        F.struct(F.col("type").alias("rule"), none.alias("snippet"), none.alias("detail"),
+        F.struct(F.col("type").alias("rule"), F.col("shown").alias("snippet"), none.alias("detail"),
                  none.alias("name"), none.alias("function"), none.alias("code"), none.alias("url"),
                  F.lit(None).cast("int").alias("complexity")).alias("evidence"),
         F.struct(F.lit(fv.SOURCE_ORDER.index(SOURCE)).alias("src"), F.col("path").alias("file"),
@@ -311,14 +312,6 @@ def _findings(hits: DataFrame) -> DataFrame:
                  F.lit(0).alias("c")).alias("ord"))
 
 
-def with_snippets(findings: DataFrame, files: DataFrame, stored: DataFrame | None = None
-                  ) -> DataFrame:
-    """Add the source line of each finding, up to 800 characters. Joined late, after the dedupe."""
-    shown = F.left(F.get("_lines", F.col("line") - 1), F.lit(fv.JS_SNIPPET_CHARS))
-    return (with_lines(findings, files, stored)
-            .withColumn("evidence", F.col("evidence").withField("snippet", shown)).drop("_lines"))
-
-
 def secrets_in_text(documents: DataFrame, key: str, text: str) -> DataFrame:
     """`name = "value"` passages of plain texts, judged like variables of a script."""
     pattern = r'(\w*)\s*=\s*"([^"]*)"'

@@ -121,7 +121,7 @@ def _with_text(scored: DataFrame, files: DataFrame, stored: DataFrame) -> DataFr
         F.when(F.col("source") == "ast-custom", t.snippet(F.col("_lines"), line))
         .when(F.col("source") == "dup", F.array_join(
             F.slice("_lines", line, F.col("end_line") - line + 1), "\n"))
-        .otherwise(F.left(F.get("_lines", line - 1), F.lit(fv.JS_SNIPPET_CHARS)))
+        .otherwise(F.left(F.get("_lines", line - 1), F.lit(fv.JS_SNIPPET_CHARS)))  # reports without a text
     )
     return with_lines(scored, files, stored).withColumn(
         "evidence", F.col("evidence").withField(

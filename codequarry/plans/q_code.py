@@ -182,7 +182,9 @@ def dup_documents(spark, d):
   (19, 'KEYWORD', 3), (19, 'IDENT', 7), (19, 'OP', 18), (20, 'KEYWORD', 1), (20, 'IDENT', 2), (20, 'STRING', 1), (20, 'OP', 3),
   (21, 'KEYWORD', 1), (21, 'IDENT', 3), (21, 'STRING', 1), (21, 'OP', 6),
   (22, 'KEYWORD', 2), (22, 'IDENT', 1), (22, 'NUMBER', 1), (22, 'OP', 5),
-  (23, 'KEYWORD', 5), (23, 'IDENT', 6), (23, 'NUMBER', 5), (23, 'OP', 17))
+  (23, 'KEYWORD', 5), (23, 'IDENT', 6), (23, 'NUMBER', 5), (23, 'OP', 17),
+  (24, 'KEYWORD', 3), (24, 'IDENT', 15), (24, 'NUMBER', 2), (24, 'OP', 38),
+  (25, 'KEYWORD', 1), (25, 'IDENT', 9), (25, 'NUMBER', 1), (25, 'STRING', 1), (25, 'OP', 15))
 SELECT repo_id, path, kind, CAST(n AS BIGINT) AS tokens FROM t_files JOIN kinds USING (no)
 UNION ALL SELECT DISTINCT source, 'web/lib.ts', k, n FROM documents,
   (SELECT unnest(['KEYWORD', 'IDENT', 'NUMBER', 'OP']) AS k, unnest([2, 1, 1, 5]) AS n)""")
@@ -233,7 +235,9 @@ SELECT repo_id, 'web/lib.ts' AS file, 1 AS line, 'Function ''a'' is never refere
 UNION ALL SELECT repo_id, file, line, message FROM (
   SELECT repo_id, path AS file, 1 AS line, 'Function ''unused_' || file_id || ''' is never referenced. May be dead code '
     || 'or an entry point (check framework registration).' AS message
-    FROM t_files WHERE no = 22)""")
+    FROM t_files WHERE no = 22
+  UNION ALL SELECT repo_id, path, 1, 'Function ''dead_' || file_id || ''' is never referenced anywhere in the repository. May be '
+    || 'dead code or an entry point (check framework registration).' FROM t_files WHERE no = 25)""")
 def js_unused(spark, d):
     return js_rules.unused(written(tokens(spark, d), "tokens")).select("repo_id", "file", "line",
                                                                        "message")

@@ -42,6 +42,8 @@ TEMPLATES = (
     "import { a } from './lib';\na();",
     "function unused_{doc_id}() { return 1; }",
     "export function ok(a) { if (a && a > 1) { return 1; } return a ? 2 : 3; }\nok(1);",
+    "if (f(x) === f(x)) { g(); }\nif (h[0].y == h[0].y) { g(); }\nif (f(x) == f(y)) { g(); }",
+    'const size = 1, dead_{doc_id} = <T>(x: T) => x, secretKey = "abcd1234abcd1234";\nuse(size);',
 )
 LIBRARY = "export const a = () => 1;"
 # (template, type, line, confidence) after first-wins dedupe
@@ -64,6 +66,8 @@ EXPECTED = (
     (19, "NONE_COMPARISON", 1, 0.5), (19, "SELF_COMPARISON", 2, 0.9),
     (20, "SQL_INJECTION", 1, 0.85),
     (22, "UNUSED_FUNCTION", 1, 0.5),
+    (24, "SELF_COMPARISON", 1, 0.9), (24, "SELF_COMPARISON", 2, 0.9),
+    (25, "HARDCODED_SECRET", 1, 0.85), (25, "UNUSED_FUNCTION", 1, 0.5),
 )
 # template -> (function, shape tokens, duplicate class), for shapes of at least eight tokens
 SHAPES = {4: ("q", 10, 4), 5: ("f", 13, 5), 11: ("c", 12, 11), 14: ("gather", 11, 14),

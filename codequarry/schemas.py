@@ -48,12 +48,15 @@ PY_NODES = (
     "shape STRING, error STRING"
 )
 # One row per file with its tokens in order; neighbours are read by shifting the array.
-# `chain` is the dotted run a token belongs to, `before` and `after` the tokens around that run,
+# `chain` is the dotted run a token belongs to (of tokens beside a comparison: the text of the whole
+# operand, with calls and indexes), `before` and `after` the tokens around that run or operand,
+# `shown` the beginning of the source text of a declaration, call or binary expression,
 # `fn` the position of the top-level function or method around the token, `owner` the variable of
 # an initialiser or the module of an imported name.
 TOKEN = (
     "STRUCT<pos: INT, line: INT, col: INT, kind: STRING, text: STRING, brace: INT, paren: INT, "
-    "chain: STRING, before: STRING, after: STRING, fn: INT, role: STRING, owner: STRING>"
+    "chain: STRING, before: STRING, after: STRING, fn: INT, role: STRING, owner: STRING, "
+    "shown: STRING>"
 )
 JS_FILES = f"{_FILE}, tokens ARRAY<{TOKEN}>"
 ARCHIVE_ENTRIES = (

@@ -142,7 +142,7 @@ def unused_now(spark: SparkSession, out: str) -> DataFrame:
     last = spark.read.parquet(f"{out}/names").groupBy("repo_id", "text").agg(counts.alias("last"))
     dead = last.where("last.declared > 0 AND last.used = 0").select("repo_id", "text")
     declared = spark.read.parquet(f"{out}/declared").groupBy(
-        *js_rules.KEYS, "text", "line", "col", "pos", "role").agg(F.sum("sign").alias("times"))
+        *js_rules.KEYS, "text", "line", "col", "pos", "role", "shown").agg(F.sum("sign").alias("times"))
     return js_rules.unused_findings(declared.where("times > 0").drop("times"), dead)
 
 

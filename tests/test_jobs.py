@@ -35,7 +35,7 @@ def test_analysis_end_to_end(spark, tmp_path):
     one = got["r", "ast-custom", "DANGEROUS_EVAL", "a.py", 1]
     assert one.risk_score == pytest.approx((0.5 + 0.25 + 0.1) * 0.75 + 0.125 + 0.03, abs=1e-3)
     assert one.evidence.snippet.startswith("    1 | eval(x)\n    2 | assert")
-    assert got["r", "ts-morph", "UNSAFE_INNER_HTML", "w.ts", 1].evidence.snippet == "el.innerHTML = x;"
+    assert got["r", "ts-morph", "UNSAFE_INNER_HTML", "w.ts", 1].evidence.snippet == "el.innerHTML = x"
     stats = {(r.path): (r.complexity, r.loc) for r in result.file_stats.collect()}
     assert stats["a.py"] == (16.0, 34)
 

@@ -30,6 +30,16 @@ CASES = {
                 "const key = 'short';\nconst secret = 'abcdefghijklmnop' + x;\nconst o = {token: 'abcdefghijklmnop'};\n"
                 "const ghToken = 'ghp_x'\nfoo(token)\n",
                 {("HARDCODED_SECRET", 1), ("HARDCODED_SECRET", 2), ("HARDCODED_SECRET", 8)}),
+    "self comparison of calls and indexes": (
+        "if (f(x) === f(x)) {}\nif (a[0] == a[0]) {}\nif (a.b(c)[1].d != a.b(c)[1].d) {}\nif ((p + 1) == (p + 1)) {}\n"
+        "if (f(x) === f(y)) {}\nif (a[0] == a[0].b) {}\nif (f(x) == f( x)) {}\nif (a + f(x) == f(x)) {}\n"
+        "if (x) (b) == (b)\nif (g?.(1) == g?.(1)) {}\nif (f(x) == f(x)(y)) {}\nif (f(x == f(x)) {\n",
+        {("SELF_COMPARISON", n) for n in (1, 2, 3, 4, 9, 10)}),
+    "declarators": (
+        "const a = 1, apiKey = 'abcdefghijklmnop', b = f(1, 2);\nlet m: Map<string, number> = new Map<string, number>(), token = 'ghp_x'\n"
+        "const {x, y} = z, password = 'abcdefghijklmnop';\nlet key: string, secret = 'abcdefghijklmnop'.length;\n"
+        "for (let i = 0, tokenName = 'abcdefghijklmnop'; i < 2; i++) {}\nconst c = 1\nkey, apiToken = 'abcdefghijklmnop'\n",
+        {("HARDCODED_SECRET", n) for n in (1, 2, 3, 5)}),
     "jsx text": ("const A = () => <p>Don't {x === null ? 1 : 2}</p>;\nrender(A);\n",
                  {("NONE_COMPARISON", 1)}),
     "unterminated": ("const x = `abc ${y\n", set()),
@@ -64,6 +74,35 @@ def test_messages(found):
     assert rows["f5.ts", "HARDCODED_SECRET", 2].message.endswith("'password'.")
 
 
+def snippets(found):
+    return {(r.type, r.line): r.evidence.snippet for r in found}
+
+
+def test_snippets_are_the_declarations(spark):
+    text = ("const a = 1, apiKey = 'abcdefghijklmnop';\nel.innerHTML =\n  f(x);\nq = 'select ' + g(1) + y;\n"
+            "if (f(x) ===\n f(x)) {}\nwindow.eval(code, 1);\nexport async function gone() {\n  return 1;\n}\n"
+            "const live = 2, dead = <T,>(x: T): T => {\n  return x;\n}, dead2 = function () {};\nclass Old extends Base { m() {} }\nuse(live);\n")
+    tokens = jstokens.js_tokens(frame(spark, [("r", 1, "a.ts", text)]))
+    assert snippets(js_rules.local_findings(tokens).collect()) == {
+        ("HARDCODED_SECRET", 1): "apiKey = 'abcdefghijklmnop'", ("UNSAFE_INNER_HTML", 2): "el.innerHTML =\n  f(x)",
+        ("SQL_INJECTION", 4): "'select ' + g(1)", ("SELF_COMPARISON", 5): "f(x) ===\n f(x)", ("DANGEROUS_EVAL", 7): "window.eval(code, 1)"}
+    found = js_rules.unused(tokens).collect()
+    assert {r.message.split("'")[1]: r.evidence.snippet for r in found} == {
+        "gone": "export async function gone() {\n  return 1;\n}", "dead": "dead = <T,>(x: T): T => {\n  return x;\n}",
+        "dead2": "dead2 = function () {}", "Old": "class Old extends Base { m() {} }"}
+    short = js_rules.unused(jstokens.js_tokens(frame(spark, [("r", 1, "a.ts", text)]), shown_chars=9)).collect()
+    assert {r.evidence.snippet for r in short} == {"export as", "dead = <T", "dead2 = f", "class Old"}
+    high = js_rules.high_complexity(tokens, 0).collect()
+    assert {r.evidence.snippet for r in high} == {"export async function gone() {\n  return 1;\n}", "m() {}"}
+
+
+def test_long_operands_are_compared_whole(spark):
+    long = "f(" + ", ".join(["x"] * 2000) + ")"
+    rows = [("r", 1, "a.ts", f"if ({long} == {long}) {{}}\nif ({long} == {long[:-1]}, y)) {{}}\n")]
+    found = js_rules.local_findings(jstokens.js_tokens(frame(spark, rows))).collect()
+    assert [r.line for r in found] == [1] and len(found[0].message) < 1000
+
+
 def test_complexity(spark):
     text = ("function f(a?: number, b = a ? 1 : 2) {\n  if (a && b || c) { for (;;) { while (x) {} } }\n"
             "  do { y?.z } while (q);\n  switch (a) { case 1: case 2: break; default: }\n"
