@@ -13,8 +13,8 @@ Stages:
 3. Star rounds: in each posting list, rows are paired with at most PIVOTS pivots of other components, linear in the list.
    Verified links are contracted to components, as long as that saves many pairs. What the stars leave unconnected is paired
    exhaustively, across components only. So no link between components is lost, and copies are not expanded into all pairs.
-   This gives the components. The links themselves come from a pass over all pairs of each list, in blocks of BLOCK rows, inside
-   components too; it is left out where only components are asked for. Its work grows as its result does, with the square of a group.
+   This gives the components, which `link` and the pipeline return. `links` returns all links, from a pass over all pairs of each list
+   in blocks of BLOCK rows, inside components too. Its work grows as its result does, with the square of a group.
 4. Sets are read again only for rows that are posted (a Bloom filter of fixed size picks them from the texts).
 
 Defined cases: words are runs of other characters than space and \\t..\\r, A-Z lower-cased. A text with fewer than n words has its
@@ -40,8 +40,11 @@ from codequarry.llm.graph import components
 from codequarry.llm.words import hashed, mix, runs
 from codequarry.session import written
 
-#: Cells of the load sketch (8 MB when merged, 2 MB as orders), of the count-min sketch (16 MB of bits) and of the Bloom filter (8 MB).
-LOAD_CELLS, TWICE_CELLS, BLOOM_CELLS = 1 << 20, 1 << 27, 1 << 26
+#: Cells of the load sketch (8 MB when merged, 2 MB as orders) and of the Bloom filter (8 MB).
+LOAD_CELLS, BLOOM_CELLS = 1 << 20, 1 << 26
+#: Cells of the count-min sketch: about CELLS_A_WORD a word of the corpus, but no fewer and no more than these (64 MB of bits at most). Beyond some
+#: 10**8 words more single shingles look repeated; then prefixes hold more shared ones, and more is posted.
+CELLS_A_WORD, LEAST_CELLS, MOST_CELLS = 6, 1 << 22, 1 << 29
 #: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times the postings
 #: or fewer, or when a round left more than the share STEADY of them.
 ORDERS, PIVOTS, LINEAR, STEADY = 64, 16, 8, 0.75
@@ -69,13 +72,14 @@ class Orders:
     """Three global orders of shingles: single ones, then by load (coarser for orders two and three), then by a hash of the order's own."""
 
     def __init__(self, load: np.ndarray, twice: np.ndarray, percent: int):
+        self.cells = twice.shape[1] * 8
         above = ((load - load.mean()) / max(1.0, float(load.mean()) ** 0.5)).astype(np.float32)  # in standard deviations of a cell of rare shingles
         fine, coarse = (np.clip(x, 0, 127).astype(np.uint8) for x in (4 * above + 20, above / 2))
         self.twice = twice
         self.klass, self.percent = {1: fine, 2: coarse, 3: coarse}, percent
 
     def often(self, shingles: np.ndarray) -> np.ndarray:
-        return sketch.repeated(shingles, self.twice, TWICE_CELLS)
+        return sketch.repeated(shingles, self.twice, self.cells)
 
     def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
         n = len(shingles)
@@ -95,6 +99,9 @@ class Orders:
 def _orders(docs: DataFrame, text: str, n: int, percent: int) -> Orders:
     """Both sketches over all shingles of all texts, made per partition and merged block by block."""
     blocks, width = 16, LOAD_CELLS // 16
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0))).first()[0]
+    wanted = CELLS_A_WORD * size // 6  # a word and the blank after it take some six bytes
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, int(wanted) - 1).bit_length()))
 
     def count(batches):
         total = np.zeros(LOAD_CELLS, np.int64)
@@ -106,7 +113,7 @@ def _orders(docs: DataFrame, text: str, n: int, percent: int) -> Orders:
                 total[cell] += times
                 yield keys
 
-        yield from sketch.sketching(seen(), TWICE_CELLS, rows=1)
+        yield from sketch.sketching(seen(), cells, rows=1)
         least = total.astype(np.min_scalar_type(int(total.max())))  # the narrowest type that holds the counts travels
         rows = [(-1, i, least[i * width : (i + 1) * width].tobytes(), b"") for i in range(blocks)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sketch.PARTIAL_ARROW, strict=True)], schema=sketch.PARTIAL_ARROW)
@@ -119,7 +126,7 @@ def _orders(docs: DataFrame, text: str, n: int, percent: int) -> Orders:
             total += np.frombuffer(c, f"u{len(c) // width}").astype(np.int64)
         return pd.DataFrame({"sketch_row": [-1], "block": group["block"][:1], "bits": [total.tobytes()]})
 
-    load, twice = np.zeros(LOAD_CELLS, np.int64), np.zeros((1, TWICE_CELLS // 8), np.uint8)
+    load, twice = np.zeros(LOAD_CELLS, np.int64), np.zeros((1, cells // 8), np.uint8)
     parts = docs.select(text).mapInArrow(count, sketch.PARTIAL)
     for r in sketch.few_at_a_time(parts.groupBy("sketch_row", "block").applyInPandas(merge, sketch.MERGED)):
         if r["sketch_row"] < 0:
@@ -301,18 +308,17 @@ def _component() -> Column:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: id_col, n_shingles, component_id (least id that links reach) and n_links_found.
-
-    n_links_found counts all links of the document's class: the classes of other sets that are similar enough.
-    """
-    rows, known, links = _joined(docs, id_col, text, n, percent, True)
-    degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
-    out = rows.join(known.join(degree, "row", "left").select("d1", "d2", "component_id", "links"), ["d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", _component(), F.coalesce("links", F.lit(0)).alias("n_links_found"))
+    """One row a document: id_col, n_shingles and component_id (least id that links reach). The links themselves: see `links`."""
+    rows, known, _ = _joined(docs, id_col, text, n, percent, False)
+    out = rows.join(known.select("d1", "d2", "component_id"), ["d1", "d2"], "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", _component())
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """All links between classes of equal sets: a and b, the least id of each class; documents with equal sets are links by themselves."""
+    """All links between classes of equal sets: a and b, the least id of each class; documents with equal sets are links by themselves.
+
+    The result, and the work with it, grow with the square of a group of near but unequal texts; `link` does not.
+    """
     _, known, found = _joined(docs, id_col, text, n, percent, True)
     for side in ("a", "b"):
         found = found.join(known.select(F.col("row").alias(side), F.col("id").alias(f"id_{side}")), side)

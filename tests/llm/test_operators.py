@@ -107,9 +107,7 @@ def test_jaccard_all_links(spark, monkeypatch):
         least.setdefault(s, i)
     want = {(i, j) for s, i in least.items() for t, j in least.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)}
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    degree = Counter(i for pair in want for i in pair)
     assert len(want) > 40
-    assert {r["doc_id"]: r["n_links_found"] for r in jaccard_join.link(df).collect()} == {i: degree[least[s]] for i, s in sets.items()}
     assert sorted(tuple(sorted(r)) for r in jaccard_join.links(df).collect()) == sorted(want)
 
 
