@@ -47,7 +47,7 @@ LOAD_CELLS, BLOOM_CELLS = 1 << 20, 1 << 26
 CELLS_A_WORD, LEAST_CELLS, MOST_CELLS = 6, 1 << 22, 1 << 29
 #: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times the postings
 #: or fewer, or when a round left more than the share STEADY of them.
-ORDERS, PIVOTS, LINEAR, STEADY = 64, 16, 8, 0.75
+ORDERS, PIVOTS, LINEAR, STEADY = 4, 16, 8, 0.75
 #: Rows of a block of a posting list in the pass over all pairs.
 BLOCK = 256
 _U = np.uint64
