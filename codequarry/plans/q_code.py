@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as t
-from codequarry.operators import duplicates, findings, js_rules, py_rules
+from codequarry.operators import duplicates, findings, js_rules, py_rules, sql_rules
 from codequarry.plans import templates as tp
 from codequarry.plans import views as v
 from codequarry.plans.analysis import analyse
@@ -266,6 +266,24 @@ def secret_scan_documents(spark, d):
                                     "doc_id", "text")
 
 
+# --- rules as SQL text ------------------------------------------------------
+SQL_RULES = {
+    "no_print": "SELECT repo_id, file_id, path, line, col, 'DEBUG_OUTPUT' AS type, 'STYLE' AS category, 0.4 AS confidence, "
+                "concat('call of ', dotted) AS message FROM {py_nodes} WHERE kind = 'Call' AND dotted = 'print'",
+    "no_new": "SELECT repo_id, file_id, path, line, col, 'CONSTRUCTED' AS type, 'STYLE' AS category, 0.3 AS confidence, "
+              "'an object is made here' AS message FROM {js_tokens} WHERE kind = 'KEYWORD' AND text = 'new'",
+}
+
+
+@register("rule_sql_text", with_views(tp.T_FILES) + """, sql_expected(no, type, line, confidence, message) AS (VALUES
+  (1, 'DEBUG_OUTPUT', 3, 0.4, 'call of print'), (7, 'DEBUG_OUTPUT', 3, 0.4, 'call of print'),
+  (8, 'DEBUG_OUTPUT', 8, 0.4, 'call of print'), (18, 'CONSTRUCTED', 2, 0.3, 'an object is made here'))
+SELECT repo_id, path AS file, type, line, CAST(confidence AS DOUBLE) AS confidence, message FROM t_files JOIN sql_expected USING (no)""")
+def rule_sql_text(spark, d):
+    found = sql_rules.sql_findings(SQL_RULES, nodes(spark, d, "Call"), tokens(spark, d))
+    return found.select("repo_id", "file", "type", "line", "confidence", "message")
+
+
 # --- the whole analysis -----------------------------------------------------
 @register("analyse_corpus", FUNCTIONS.replace(tp.SHAPES_SQL, tp.SHAPES_SQL + ",\n" + tp.EXPECTED_SQL + ",\n" + tp.LONE_SQL) + """, found AS (
   SELECT repo_id, CASE WHEN no < 16 THEN 'ast-custom' ELSE 'ts-morph' END AS source, type, path AS file, line, confidence
