@@ -4,6 +4,7 @@ score = sigmoid(w0 + sum of w[i] + sum over pairs of v[i] . v[j]), over the dist
 learn which terms mean something together (an insult with the mention of a group), which added weights cannot. Terms are
 words (runs of letters, lower-cased) and their first four, five and six letters, so inflected forms share what is learnt.
 
+Terms are screened before the fit: those stay that tell alone, or together with another (see `train`).
 The machine is fitted on a bounded sample of labelled rows (`most_docs` a class, chosen by a hash of the id). All texts are scored whole.
 
 Defined cases: a null or empty text has no terms and scores sigmoid(w0); without labelled rows of both classes every score is the share of
@@ -28,6 +29,8 @@ from codequarry.session import written
 
 #: Chi-square from which a term counts as telling.
 LEAST_CHI = 10.8
+#: The same for a pair of terms: p is about 1e-8, as millions of pairs are looked at.
+LEAST_PAIR_CHI = 33.0
 #: Texts that score this or more count as toxic.
 LEAST_SCORE = 0.7
 BITS = 18
@@ -108,11 +111,39 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, factors:
     return Machine(w0, known, w_, v_)
 
 
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, least_chi: float = LEAST_PAIR_CHI, block: int = 256) -> np.ndarray:
+    """Terms (of the sorted `terms`) that tell something together with another one of them, whether or not they do alone.
+
+    For each pair the four shares of label 1 (neither, one, the other, both) are compared: the pair tells if their log odds do not
+    add up, by a chi-square of one degree of freedom. Counts are products of the 0/1 matrix of texts and terms, a block of terms at a time.
+    """
+    if not len(terms) or not len(rows):
+        return terms[:0]
+    has = np.zeros((len(rows), len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        has[i, np.searchsorted(terms, r[np.isin(r, terms)])] = 1
+    said, n, yes = has * labels[:, None].astype(np.float32), len(rows), labels.sum()
+    seen, seen_yes, telling = has.sum(axis=0), said.sum(axis=0), np.zeros(len(terms), bool)
+    for at in range(0, len(terms), block):
+        part = slice(at, at + block)
+        both, both_yes = has[:, part].T @ has, said[:, part].T @ has
+        one, one_yes = seen[part, None] - both, seen_yes[part, None] - both_yes
+        other, other_yes = seen[None] - both, seen_yes[None] - both_yes
+        none, none_yes = n - one - other - both, yes - one_yes - other_yes - both_yes
+        apart, spread = 0.0, 0.0
+        for sign, total, ones in ((1, both, both_yes), (-1, one, one_yes), (-1, other, other_yes), (1, none, none_yes)):
+            apart = apart + sign * np.log((ones + 0.5) / (total - ones + 0.5))
+            spread = spread + 1 / (ones + 0.5) + 1 / (total - ones + 0.5)
+        telling[part] |= (apart**2 / spread >= least_chi).any(axis=1)
+    return terms[telling]
+
+
 def train(docs: DataFrame, labels: DataFrame, teaches: Column, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
-          most_docs: int = 6000) -> Machine:
+          most_docs: int = 6000, pair_terms: int = 2048) -> Machine:
     """teaches: a column over the labels' id. Only what the machine has learnt reaches the driver.
 
-    Screening leaves out terms that say nothing about the label by chi-square with Yates's correction, p = 0.001.
+    Screening keeps terms that say something about the label by chi-square with Yates's correction, p = 0.001, and of the
+    `pair_terms` most balanced terms of the sample (nearest to half of the texts) those that tell together with another one.
     """
     known = labels.filter(teaches & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("i").agg(F.max("y").alias("y"))
@@ -133,19 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, text: str = "text
 
     rows = written(texts.mapInArrow(hashed, "i string, y int, terms array<bigint>"), "toxicity-terms")
     n, yes = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("seen"), F.sum("y").cast("double").alias("both"))
+    seen = written(rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(
+        F.count("*").cast("double").alias("seen"), F.sum("y").cast("double").alias("both")), "toxicity-seen")
     apart = F.greatest(F.lit(0.0), F.abs(n * F.col("both") - F.col("seen") * yes) - n / 2)
     chi = n * apart * apart / F.greatest(F.lit(1.0), F.col("seen") * (n - F.col("seen")) * float(yes * (n - yes)))
     known = np.array(sorted(r["t"] for r in seen.filter(chi >= LEAST_CHI).select("t").collect()), np.int64)
+    balanced = seen.filter((F.col("seen") >= 5) & (F.col("seen") < n)).orderBy(F.least("seen", n - F.col("seen")).desc(), "t").limit(pair_terms)
+    pairs = np.array(sorted(r["t"] for r in balanced.select("t").collect()), np.int64)
+    looked_at = np.union1d(known, pairs)
 
     def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few = [r[np.isin(r, known)].astype(np.int32).tobytes() for r in (x.values.to_numpy() for x in column(batch, "terms"))]
+            few = [r[np.isin(r, looked_at)].astype(np.int32).tobytes() for r in (x.values.to_numpy() for x in column(batch, "terms"))]
             yield pa.RecordBatch.from_arrays([column(batch, "i"), column(batch, "y"), pa.array(few, pa.binary())], ["i", "y", "terms"])
 
     def fitted(sample: pd.DataFrame) -> pd.DataFrame:
         kept = sample.sort_values(["i", "terms"])
-        m = fit([np.frombuffer(r, np.int32) for r in kept["terms"]], kept["y"].to_numpy(float), known)
+        rows, labels = [np.frombuffer(r, np.int32) for r in kept["terms"]], kept["y"].to_numpy(float)
+        m = fit(rows, labels, np.union1d(known, telling_pairs(rows, labels, pairs)))
         return pd.DataFrame({"w0": [m.w0], "known": [m.known.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
 
     # the sample is bounded, so one task fits the machine; the driver gets what it has learnt

@@ -225,6 +225,28 @@ def test_factors_learn_pairs():
     assert np.mean(right) > 0.95
 
 
+def test_pairs_pass_the_screen(spark):
+    pick, docs, labels = random.Random(5), [], []
+    for i in range(3000):
+        has = [pick.random() < 0.5 for _ in range(2)]
+        words = [n for n, h in zip(("zork", "people"), has, strict=True) if h] + [f"w{pick.choice('abcdefghijkl')}x" for _ in range(6)]
+        docs.append((i, " ".join(pick.sample(words, len(words)))))
+        labels.append((i, int(has[0] == has[1])))  # neither word says anything alone
+    texts = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    machine = toxicity.train(texts, spark.createDataFrame(labels, "doc_id BIGINT, toxic INT"), ~held_out("doc_id"))
+    known = toxicity.Terms()
+    y = dict(labels)
+    right = []
+    for r in toxicity.score(texts, machine, out="s").filter(held_out("doc_id")).collect():
+        at = known.of(r["text"])
+        at = np.searchsorted(machine.known, at[machine.active[at]])
+        x = machine.w0 + sum(machine.w[a] for a in at)  # the sum over pairs, as it is defined
+        x += sum(float(machine.v[a] @ machine.v[b]) for n, a in enumerate(at) for b in at[:n])
+        assert r["s"] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9)
+        right.append((r["s"] > 0.5) == (y[r["doc_id"]] == 1))
+    assert len(right) > 800 and np.mean(right) >= 0.95
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "a<|im_end|>b"), (1, 0, "system", None), (1, 2, "assistant", r"<\|x <|im_start|>" + "y" * 900), (1, 2, "assistant", "again"),
             (None, None, None, None), (2, 5, "ro%le\n<|x", "<"), (2, 6, "assistant", ""), (2, 6, "assistant", "")]
