@@ -4,10 +4,11 @@ A document longer than a sequence is cut into whole sequences; its first piece t
 document. Packing needs only how many pieces have which length: a table of at most `size` counts, whatever the corpus. The
 search for fillings runs over these counts; a filling found once is used as often as the counts allow.
 
-Search: best-fit decreasing gives the first incumbent. Bin completion takes the largest length left, enumerates fillings
-around it that no other filling dominates (no length in them can be exchanged for a larger one that still fits), best fit first,
-and prunes a branch when its waste so far rules out fewer sequences than the incumbent has. The search ends when the
-incumbent meets the lower bound, or after `nodes` fillings; the result is whole in either case.
+Search: best-fit decreasing gives the first incumbent. Bin completion takes the largest length left and goes through the fillings
+around it that no other filling dominates (no length in them can be exchanged for a larger one that still fits), least waste
+first, and each as often as it can go, or less often. It prunes branches whose waste so far, or whose lower bound, rules out fewer
+sequences than the incumbent has, and states met before. It ends at the lower bound, when no branch is left, or after
+`nodes_per_length` branches a distinct length (1024 lengths at most, whatever the corpus); the result is whole in either case.
 
 Pieces then get their places without passing through the driver: they are numbered within partition and length when they are
 written, partition offsets come from a small aggregate, and the number picks the filling and the place in it.
@@ -79,64 +80,90 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
     return int(max(-(-tokens[size] // size), over.max()))
 
 
-def fillings(counts: dict[int, int], size: int, most: int) -> list[Filling]:
-    """Undominated fillings around the largest length, least waste first; at most `most` are looked at."""
-    lengths = sorted((n for n, c in counts.items() if c), reverse=True)
-    first, found = lengths[0], []
+def fillings(counts: dict[int, int], size: int, most_waste: int) -> Iterator[Filling]:
+    """All undominated fillings around the largest length that waste at most `most_waste`, least waste first, made as they are asked for.
 
-    def grow(at: int, rest: int, taken: list[int]) -> None:
-        if len(found) >= most:
+    `reach[k]` is a bit set of the sums that the lengths from the k-th on can make, so no step of the walk is in vain.
+    """
+    lengths = sorted((n for n, c in counts.items() if c), reverse=True)
+    first = lengths[0]
+    room = size - first
+    free = [min(counts[n] - (n == first), room // n) for n in lengths]
+    reach, all_sums = [1] * (len(lengths) + 1), (1 << room + 1) - 1
+    for k in range(len(lengths) - 1, -1, -1):
+        sums, left, step = reach[k + 1], free[k], 1
+        while left:
+            step = min(step, left)
+            sums |= sums << step * lengths[k] & all_sums
+            left, step = left - step, step * 2
+        reach[k] = sums
+
+    def grow(at: int, rest: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not rest:
+            yield ()
             return
-        fits = False
         for k in range(at, len(lengths)):
+            if not reach[k] >> rest & 1:
+                return
             n = lengths[k]
-            if n <= rest and taken.count(n) + (n == first) < counts[n]:
-                fits = True
-                grow(k, rest - n, [*taken, n])
-                if rest - n == 0 or len(found) >= most:
-                    break
-        if not fits:
-            used = Counter(taken)
-            smaller = [n for n in lengths if counts[n] > used[n] + (n == first)]
-            # dominated: one taken length could be exchanged for a larger free one within the waste
-            if not any(m > n and m - n <= rest for n in used for m in smaller):
-                found.append((rest, tuple(sorted(Counter([first, *taken]).items(), reverse=True))))
-
-    grow(0, size - first, [])
-    return [f for _, f in sorted(found, key=lambda x: (x[0], [-n for n, _ in x[1]]))]
-
-
-def plan(counts: dict[int, int], size: int, nodes: int = 300, branches: int = 8) -> Counter[Filling]:
-    """Fillings and how often each is used; together they hold each length exactly as often as counted."""
+            for times in range(min(free[k], rest // n), 0, -1):
+                if reach[k + 1] >> rest - times * n & 1:
+                    for more in grow(k + 1, rest - times * n):
+                        yield ((n, times), *more)
+
+    for waste in range(min(room, most_waste) + 1):
+        if not reach[0] >> room - waste & 1:
+            continue
+        for taken in grow(0, room - waste):
+            used = dict(taken)
+            spare = [m for m in lengths if counts[m] - (m == first) > used.get(m, 0)]
+            # dominated: a spare length fits into the waste, or in the place of a smaller one
+            if not any(m <= waste or any(n < m <= n + waste for n in used) for m in spare):
+                whole = Counter({first: 1}) + Counter(used)
+                yield tuple(sorted(whole.items(), reverse=True))
+
+
+def plan(counts: dict[int, int], size: int, nodes_per_length: int = 2) -> Counter[Filling]:
+    """Fillings and how often each is used; together they hold each length exactly as often as counted.
+
+    A branch takes a filling as often as it can, or half as often, and so on down to once; the same filling may follow again, so
+    every number of times is reached. The search ends at the lower bound, when no branch is left (the result is then proved least),
+    or after `nodes_per_length` branches for each distinct length and as many as for 400 lengths at least.
+    """
     counts = {n: c for n, c in counts.items() if c}
     if not counts:
         return Counter()
-    best, bound = best_fit(counts, size), lower_bound(counts, size)
-    budget = nodes
-    # waste that a packing with one sequence less than the incumbent may have in all
-    def allowed() -> int:
-        return (best.total() - 1) * size - sum(n * c for n, c in counts.items())
-
-    stack: list[tuple[dict[int, int], Counter, int]] = [(counts, Counter(), 0)]
-    while stack and budget > 0 and best.total() > bound:
-        left, used, waste = stack.pop()
-        if waste > allowed() or used.total() + lower_bound(left, size) >= best.total():
+    best, bound, tokens = best_fit(counts, size), lower_bound(counts, size), sum(n * c for n, c in counts.items())
+
+    def branches(left: dict[int, int], used: Counter[Filling], waste: int) -> Iterator[tuple[dict[int, int], Counter[Filling], int]]:
+        for f in fillings(left, size, (best.total() - 1) * size - tokens - waste):
+            lost, times = size - sum(n * k for n, k in f), min(left[n] // k for n, k in f)
+            while times:
+                if waste + lost * times <= (best.total() - 1) * size - tokens:
+                    after = dict(left)
+                    for n, k in f:
+                        after[n] -= k * times
+                    yield {n: c for n, c in after.items() if c}, used + Counter({f: times}), waste + lost * times
+                times //= 2
+
+    budget = nodes_per_length * max(400, len(counts))
+    stack, fewest = [branches(counts, Counter(), 0)], {}
+    while stack and budget and best.total() > bound:
+        found = next(stack[-1], None)
+        if found is None:
+            stack.pop()
             continue
+        left, used, waste = found
+        state = frozenset(left.items())
+        if fewest.get(state, best.total()) <= used.total() or used.total() + lower_bound(left, size) >= best.total():
+            continue
+        fewest[state] = used.total()
+        budget -= 1
         rest = best_fit(left, size)  # finishes the branch; a better whole is the new incumbent
         if used.total() + rest.total() < best.total():
             best = used + rest
-        budget -= 1
-        options = []
-        for f in fillings(left, size, branches):
-            times = min(left[n] // k for n, k in f)
-            lost = size - sum(n * k for n, k in f)
-            after = {n: c - times * dict(f).get(n, 0) for n, c in left.items()}
-            options.append(({n: c for n, c in after.items() if c}, used + Counter({f: times}), waste + lost * times))
-        stack.extend(o for o in reversed(options) if o[0] or o[1].total() < best.total())
-        for o in options:
-            if not o[0] and o[1].total() < best.total():
-                best = o[1]
-        stack = [o for o in stack if o[0]]
+        if left:
+            stack.append(branches(left, used, waste))
     return best
 
 
@@ -159,7 +186,7 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 2,
-         with_ids: bool = False, nodes: int = 300) -> DataFrame:
+         with_ids: bool = False, nodes_per_length: int = 2) -> DataFrame:
     """One row a piece: the id, piece, start, length, ids_crc32, sequence_id, offset; and its ids where asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
     id_field = docs.select(F.col(id_col).alias("doc_id")).schema.simpleString()[len("struct<"):-1].replace(":", " ")
@@ -188,7 +215,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     pieces = written(docs.select(id_col, text).mapInArrow(cut, f"{id_field}, {PIECES}, part int, nth bigint{more}"), "pieces")
     counted = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(counted, "piece-counts")
-    places = _places(plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size, nodes))
+    places = _places(plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size, nodes_per_length))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = pieces.join(counts.select("part", "length", before.alias("before")), ["part", "length"])
 

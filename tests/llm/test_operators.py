@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the training-data operators on small tables."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -182,6 +183,56 @@ def test_packing_plan(seed):
     assert held == Counter(counts) and packing.lower_bound(counts, 50) <= fills.total() <= packing.best_fit(counts, 50).total()
 
 
+def fewest_bins(lengths, size):
+    """The least number of bins and the room left in the last, over all subsets of pieces."""
+    best = {0: (1, size)}
+    for chosen in range(1, 1 << len(lengths)):
+        options = []
+        for i, n in enumerate(lengths):
+            if chosen >> i & 1:
+                bins, room = best[chosen ^ 1 << i]
+                options.append((bins, -(room - n)) if room >= n else (bins + 1, -(size - n)))
+        bins, room = min(options)
+        best[chosen] = (bins, -room)
+    return best[(1 << len(lengths)) - 1][0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_is_least(seed):
+    pick = random.Random(seed)
+    lengths = [pick.randint(2, 14) for _ in range(pick.randint(6, 11))]
+    assert packing.plan(dict(Counter(lengths)), 20).total() == fewest_bins(lengths, 20)
+
+
+def test_packing_beats_best_fit():
+    ahead = 0
+    for seed in range(12):
+        pick, lengths = random.Random(seed), []
+        for _ in range(15):  # full sequences of three pieces
+            a, b = sorted(pick.sample(range(10, 90), 2))
+            lengths += [a, b - a, 100 - b]
+        counts = dict(Counter(lengths))
+        assert packing.plan(counts, 100).total() == 15
+        ahead += packing.best_fit(counts, 100).total() > 15
+    assert ahead
+
+
+def test_fillings_are_all_undominated():
+    pick = random.Random(3)
+    for _ in range(30):
+        counts = {n: pick.randint(1, 3) for n in pick.sample(range(2, 20), 6)}
+        first, want = max(counts), set()
+        for ks in itertools.product(*[range(c + 1) for c in counts.values()]):
+            f = {n: k for n, k in zip(counts, ks, strict=True) if k}
+            waste = 24 - sum(n * k for n, k in f.items())
+            others = {n for n, k in f.items() if k - (n == first) > 0}
+            spare = {n for n in counts if counts[n] > f.get(n, 0)}
+            if f.get(first) and 0 <= waste <= 9 and not any(m <= waste or any(n < m <= n + waste for n in others) for m in spare):
+                want.add(tuple(sorted(f.items(), reverse=True)))
+        got = list(packing.fillings(counts, 24, 9))
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_language(spark, docs, none):
     real = table(spark, "/root/testdata/sf0.01", "documents")
     model = language_id.train(real, ~held_out("doc_id"), PIECES)
