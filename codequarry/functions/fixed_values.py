@@ -89,6 +89,8 @@ URL_TOO_SHORT = "GitHub URL must look like https://github.com/owner/repo"
 URL_BAD_NAME = "Invalid GitHub owner/repo in URL"
 NOT_A_ZIP = "Uploaded file is not a valid ZIP archive"
 BAD_JSON = "Tool output was not valid JSON"
+ODD_SHAPE = "Tool output has another shape than expected"
+NO_PARSER = "Tool output has no parser"
 
 # ---------------------------------------------------------------------------
 # Python rules

@@ -80,14 +80,14 @@ def counts_per_run(findings: DataFrame) -> DataFrame:
 def write_findings(findings: DataFrame, path: str) -> None:
     """Sink, partitioned by run. Re-running a run replaces its partition only."""
     columns = [c for c in findings.columns if c != "ord"]
-    _write_by_run(with_defaults(findings).select(*columns), path)
+    write_by_run(with_defaults(findings).select(*columns), path)
 
 
 def write_file_stats(stats: DataFrame, path: str) -> None:
-    _write_by_run(stats, path)
+    write_by_run(stats, path)
 
 
-def _write_by_run(df: DataFrame, path: str) -> None:
+def write_by_run(df: DataFrame, path: str) -> None:
     """Rows of a run are brought together first, so that a task writes few files; rebalancing
     splits a run that is too large for one task and joins small ones."""
     (df.hint("rebalance", "run_id").write.mode("overwrite")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
@@ -24,13 +24,40 @@ class Analysis:
     languages: DataFrame
     parse_errors: DataFrame
     import_edges: DataFrame
+    tool_status: DataFrame | None = None
+    report_errors: DataFrame | None = None
+    report_counts: dict[str, int] | None = None
+
+
+@dataclass
+class Reports:
+    accepted: DataFrame
+    errors: DataFrame
+    status: DataFrame
+    counts: dict[str, int]
+
+
+def take_reports(report_rows: DataFrame) -> Reports:
+    """Reads the reports once: each goes to its tool's folder or among the rejected ones, and is counted on the way.
+
+    Parsers read the accepted reports of their tool only. `errors` holds the rejected ones whole, with a reason; `status` has
+    one row a report, from its optional columns available, timed_out, exit_code and error.
+    """
+    counted = Observation()
+    rows = reports.routed(report_rows).observe(
+        counted, F.count(F.lit(1)).alias("reports"), F.count_if("rejected").alias("rejected"))
+    stored = written(rows, "reports", partition_by=("rejected", "tool"))
+    return Reports(stored.where(~F.col("rejected")).drop("rejected", "reason"),
+                   stored.where(F.col("rejected")).drop("rejected"),
+                   reports.tool_status(reports.ran(stored)), counted.get)
 
 
 def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFrame | None = None,
             extra_rules=(), with_text: bool = True) -> Analysis:
     """Analyse files (repo_id, file_id, path, size, content).
 
-    `report_rows` holds JSON reports of external analysers (see sources/reports.py). `runs` maps
+    `report_rows` holds JSON reports of external analysers (see sources/reports.py); rejected ones come back as
+    `report_errors`. `runs` maps
     repo_id to run_id; without it the repository stands for its run. Sources are parsed once: the
     node and token tables are written, and every rule reads the columns it needs from there.
     """
@@ -42,6 +69,8 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
     nodes = written(pynodes.py_nodes(python, py_rules.NEEDED_KINDS).sortWithinPartitions("kind"),
                     "nodes")
     scanned = nodes.where(in_scan)
+    taken = None if report_rows is None else take_reports(report_rows)
+    report_rows = taken and taken.accepted
     tokens = written(jstokens.js_tokens(corpus.script_files(files)), "tokens")
     languages = profile.language_profile(files)
 
@@ -67,7 +96,8 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
         scored = _with_text(scored, files, merged)
     return Analysis(scored.drop("file_id", "end_line"), stats, languages,
                     pynodes.parse_errors(scanned), js_rules.import_edges(
-                        tokens, corpus.script_files(files).select("repo_id", "path")))
+                        tokens, corpus.script_files(files).select("repo_id", "path")),
+                    taken and taken.status, taken and taken.errors, taken and taken.counts)
 
 
 def _with_run(df: DataFrame, runs: DataFrame | None) -> DataFrame:
@@ -129,8 +159,11 @@ def _with_text(scored: DataFrame, files: DataFrame, stored: DataFrame) -> DataFr
 
 
 def write(result: Analysis, root: str) -> None:
-    """All tables below one folder; findings and file statistics replace their runs only."""
+    """All tables below one folder; findings, file statistics and reports' states replace their runs only."""
     findings.write_findings(result.findings, f"{root}/findings")
     findings.write_file_stats(result.file_stats, f"{root}/file_stats")
+    for name in ("tool_status", "report_errors"):
+        if getattr(result, name) is not None:
+            findings.write_by_run(getattr(result, name), f"{root}/{name}")
     for name in ("languages", "parse_errors", "import_edges"):
         getattr(result, name).write.mode("overwrite").parquet(f"{root}/{name}")

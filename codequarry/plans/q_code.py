@@ -313,3 +313,15 @@ def analyse_corpus(spark, d):
     found = analyse(tp.source_files(spark, d)).findings
     return found.select("repo_id", "source", "type", "file", "line", "confidence", "risk_score",
                         "severity")
+
+
+@register("analyse_file_stats", with_views(tp.T_FILES) + """,
+cc(no, complexity) AS (VALUES (0, 1), (4, 1), (5, 4), (6, 2), (7, 1), (9, 1), (11, 3), (14, 3), (15, 3)),
+unix AS (SELECT repo_id, path, no, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM t_files
+         WHERE """ + PY + """)
+SELECT repo_id AS run_id, repo_id, path, 'python' AS language, CAST(coalesce(complexity, 0) AS DOUBLE) AS complexity,
+  CAST(coalesce(length(content) - length(replace(content, chr(10), ''))
+    + CASE WHEN content = '' OR ends_with(content, chr(10)) THEN 0 ELSE 1 END, 0) AS INTEGER) AS loc
+FROM unix LEFT JOIN cc USING (no)""")
+def analyse_file_stats(spark, d):
+    return analyse(tp.source_files(spark, d)).file_stats.select("run_id", "repo_id", "path", "language", "complexity", "loc")

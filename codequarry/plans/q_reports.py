@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.plans import views as v
+from codequarry.plans.analysis import take_reports
 from codequarry.plans.registry import register
 from codequarry.sources import reports as r
 
@@ -209,3 +210,40 @@ def tool_status(spark, d):
         (k % 4 != 0).alias("available"), (k % 5 == 0).alias("timed_out"),
         (k % 7).cast("int").alias("exit_code"),
         F.when(k % 2 == 0, F.concat(F.lit("message "), k.cast("string"))).alias("error")))
+
+
+TOOLS = ("bandit", "ruff", "eslint", "ts-morph", "radon-cc", "radon-mi", "mypy")
+TAKEN = "WITH " + LINES + """, r AS (
+  SELECT event_id, run_id, ['bandit', 'ruff', 'eslint', 'ts-morph', 'radon-cc', 'radon-mi', 'mypy'][event_id % 7 + 1] AS tool,
+    k, CASE WHEN k % 4 = 2 THEN NULL WHEN k % 4 = 1 THEN 'Tool output was not valid JSON'
+            WHEN event_id % 7 = 6 THEN 'Tool output has no parser'
+            WHEN (k % 4 = 0) = (event_id % 7 IN (1, 2)) THEN 'Tool output has another shape than expected' END AS reason
+  FROM base)
+"""
+
+
+def mixed_reports(spark, d):
+    """A report per event and tool: an object, a cut object, blanks, or an array."""
+    k = v.event_key()
+    body = v.pick(k % 4, ("{}", "}", " \n", "[]"))
+    e = v.table(spark, d, "events")
+    return e.select(
+        "event_id", F.col("user_id").alias("run_id"), F.col("user_id").cast("string").alias("repo_id"),
+        v.pick(F.col("event_id") % 7, TOOLS).alias("tool"),
+        F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, F.concat("props", body)).otherwise(body).alias("stdout"),
+        F.lit(ROOT).alias("root"), (k % 5 == 0).alias("timed_out"), (k % 6).cast("int").alias("exit_code"))
+
+
+@register("analyse_report_errors", TAKEN + """
+SELECT event_id, run_id, CAST(run_id AS VARCHAR) AS repo_id, tool, reason FROM r WHERE reason IS NOT NULL""")
+def analyse_report_errors(spark, d):
+    return take_reports(mixed_reports(spark, d)).errors.select("event_id", "run_id", "repo_id", "tool", "reason")
+
+
+@register("analyse_tool_status", TAKEN + """
+SELECT run_id, tool, true AS available,
+  CASE WHEN k % 5 = 0 THEN 'timed out' WHEN k % 6 > 2 AND reason IS NOT NULL THEN 'failed' ELSE 'ok' END AS state,
+  CASE WHEN k % 5 = 0 THEN true END AS timed_out, CASE WHEN k % 5 <> 0 THEN k % 6 END AS exit_code,
+  CASE WHEN k % 5 = 0 OR k % 6 > 2 THEN reason END AS error FROM r""")
+def analyse_tool_status(spark, d):
+    return take_reports(mixed_reports(spark, d)).status

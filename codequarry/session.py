@@ -54,14 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table that several branches read, and read it back.
 
     This cuts the lineage for good (a lost executor re-reads files instead of re-parsing sources)
-    and lets every reader prune columns and push filters into the parquet scan.
+    and lets every reader prune columns and push filters into the parquet scan. A reader that filters
+    by a column of `partition_by` reads its own folders only.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=list(partition_by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,6 +62,34 @@ def checked(reports: DataFrame) -> DataFrame:
         "error", F.when(~empty & ~valid_json(F.col("stdout")), F.lit(fv.BAD_JSON)))
 
 
+#: The first character of each tool's reports.
+OPENED_BY = {"bandit": "{", "ruff": "[", "eslint": "[", "ts-morph": "{", "radon-cc": "{", "radon-mi": "{"}
+
+
+def routed(reports: DataFrame) -> DataFrame:
+    """Adds `rejected` and its reason: no JSON, JSON of another kind than the tool's parser reads, or a tool without a parser.
+
+    A report without output is accepted, whatever its tool: it has nothing to lose. All columns stay, so that a
+    rejected report can be looked at and sent again.
+    """
+    stdout, starts = F.col("stdout"), t.lookup(F.col("tool"), OPENED_BY, None)
+    full = F.coalesce(stdout.rlike(r"\S"), F.lit(False))
+    reason = (F.when(full & ~valid_json(stdout), F.lit(fv.BAD_JSON))
+              .when(full & starts.isNull(), F.lit(fv.NO_PARSER))
+              .when(full & (F.left(F.regexp_replace(stdout, r"^\s+", ""), F.lit(1)) != starts), F.lit(fv.ODD_SHAPE)))
+    return reports.withColumn("reason", reason).withColumn("rejected", F.col("reason").isNotNull())
+
+
+def ran(reports: DataFrame) -> DataFrame:
+    """Reports as tool runs: a tool that left a row was available, ended in time and well, unless its columns say otherwise."""
+    def told(name: str, otherwise: Column) -> Column:
+        return F.coalesce(name, otherwise).alias(name) if name in reports.columns else otherwise.alias(name)
+
+    return reports.select(
+        "run_id", "tool", told("available", F.lit(True)), told("timed_out", F.lit(False)),
+        told("exit_code", F.lit(0)), told("error", F.col("reason")))
+
+
 def _parsed(reports: DataFrame, tool: str, schema: str) -> DataFrame:
     return reports.where(F.col("tool") == tool).withColumn("_", F.from_json("stdout", schema))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.functions import fixed_values as fv
 from codequarry.operators import findings, ledger, listing
 from codequarry.plans import analysis
 from codequarry.plans import views as v
@@ -22,6 +23,8 @@ def test_analysis_end_to_end(spark, tmp_path):
     reports = spark.createDataFrame([
         ("r", "r", "ruff", '[{"code": "F401", "filename": "/w/a.py", "location": {"row": 1}}]', "/w"),
         ("s", "s", "ruff", '[{"code": "F401", "filename": "b.py", "location": {"row": 1}}]', "/w"),
+        ("r", "r", "bandit", '{"results": [{"filename": "a.py", "line_number": 3}', "/w"),
+        ("s", "s", "eslint", "{}", "/w"), ("s", "s", None, "1", "/w"), ("s", "s", "mypy", " ", "/w"),
     ], "run_id STRING, repo_id STRING, tool STRING, stdout STRING, root STRING")
     result = analysis.analyse(spark.createDataFrame(rows, FILE), reports)
     got = {(r.repo_id, r.source, r.type, r.file, r.line): r for r in result.findings.collect()}
@@ -39,8 +42,19 @@ def test_analysis_end_to_end(spark, tmp_path):
     stats = {(r.path): (r.complexity, r.loc) for r in result.file_stats.collect()}
     assert stats["a.py"] == (16.0, 34)
 
+    assert result.report_counts == {"reports": 6, "rejected": 3}
+    assert {(r.run_id, r.tool, r.reason, r.stdout) for r in result.report_errors.collect()} == {
+        ("r", "bandit", fv.BAD_JSON, '{"results": [{"filename": "a.py", "line_number": 3}'),
+        ("s", "eslint", fv.ODD_SHAPE, "{}"), ("s", None, fv.NO_PARSER, "1")}
+    assert sorted((r.run_id, str(r.tool), r.state, r.exit_code) for r in result.tool_status.collect()) == [
+        ("r", "bandit", "ok", 0), ("r", "ruff", "ok", 0), ("s", "None", "ok", 0), ("s", "eslint", "ok", 0),
+        ("s", "mypy", "ok", 0), ("s", "ruff", "ok", 0)]
+    one_tool = result.report_errors.where("tool = 'eslint'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in one_tool and "(tool#" in one_tool
+
     out = str(tmp_path / "tables")
     analysis.write(result, out)
+    assert spark.read.parquet(f"{out}/report_errors").count() == 3
     analysis.write(result, out)  # a second run replaces its partitions
     stored = spark.read.parquet(f"{out}/findings")
     assert stored.count() == len(got)

@@ -7,7 +7,7 @@ from codequarry.plans import all_queries
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"analyse_corpus"}  # covered by tests/test_jobs.py
+SLOW = {"analyse_corpus", "analyse_file_stats"}  # covered by tests/test_jobs.py
 
 
 @pytest.fixture(scope="module")
