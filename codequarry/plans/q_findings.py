@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.operators import findings as ops
-from codequarry.operators import ledger, listing, risk
+from codequarry.operators import ledger, listing, risk, writeback
 from codequarry.plans import views as v
 from codequarry.plans.registry import register
 from codequarry.plans.view_sql import (
     LANGUAGE_CASE, ORD, V_DEDUPED, V_FILES, V_FINDINGS, V_FINDINGS_EV, V_REPOS, V_RUN_EVENTS, V_RUNS,
     V_SCORED, V_STATS, V_UPDATES, with_views,
 )
+from codequarry.session import scratch_path
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SCORED = with_views(V_FINDINGS, V_DEDUPED, V_STATS, V_SCORED)
@@ -277,6 +278,22 @@ def cascade_delete(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@register("findings_write_back", with_views(V_RUNS, V_FINDINGS_EV, V_UPDATES) + """, newest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, finding_id
+                                              ORDER BY ts DESC, update_id DESC) AS rn
+                 FROM v_updates WHERE status IN ('open', 'confirmed', 'false_positive', 'overridden'))
+  WHERE rn = 1)
+SELECT f.id, f.run_id, f.category, coalesce(u.status, f.status) AS status
+FROM v_findings_ev f LEFT JOIN newest u ON f.run_id = u.run_id AND f.id = u.finding_id
+WHERE f.run_id NOT IN (SELECT run_id FROM v_runs WHERE repo_id % 7 = 0)""")
+def findings_write_back(spark, d):
+    root, found = scratch_path(spark, "findings-table"), v.event_findings(spark, d)
+    ops.write_by_run(found, root)
+    gone = v.runs(spark, d).where("repo_id % 7 = 0").select("run_id")
+    writeback.merge_findings(spark, root, scratch_path(spark, "findings-merge"), v.triage_updates(spark, d), gone)
+    return spark.read.schema(found.schema).parquet(root).select("id", "run_id", "category", "status")
+
+
 @register("run_lookup", with_views(V_RUNS) + """
 SELECT run_id, repo_id, status, true AS found FROM v_runs WHERE run_id = 42
 UNION ALL SELECT -1, NULL, NULL, false""")
