@@ -245,23 +245,26 @@ def unused_findings(declared: DataFrame, dead: DataFrame, cap: int | None = None
 
 
 # --- import graph -----------------------------------------------------------
-def _resolved(specifiers: DataFrame, files: DataFrame) -> DataFrame:
-    """Target of each relative specifier: the first candidate path that is a file.
+def stem_index(files: DataFrame) -> DataFrame:
+    """For each (repo_id, stem): the file that a specifier of this base means.
 
-    A target that very many files import is a hot key; its rows are shared among tasks.
+    A file has a stem for each suffix of resolution that its path ends with, so few rows a file; the suffix that is tried
+    first wins. Looking bases up here needs no row per specifier and suffix.
     """
+    suffixes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("suffix"))
+                         for i, s in enumerate(fv.JS_RESOLVE_SUFFIXES)])
+    ends = F.filter(suffixes, lambda s: F.endswith(F.col("path"), s["suffix"]))
+    rows = files.where("path IS NOT NULL").select("repo_id", "path", F.explode(ends).alias("end"))
+    stem = F.left("path", F.length("path") - F.length("end.suffix"))
+    return rows.groupBy("repo_id", stem.alias("stem")).agg(
+        F.min_by("path", F.struct("end.rank", "path")).alias("target"))
+
+
+def _base(specifier: Column) -> Column:
+    """Path that a relative specifier of a file in `path` names, without a suffix; null for packages."""
     folder = F.array_join(F.slice(t.parts(F.col("path")), F.lit(1),
                                   F.size(t.parts(F.col("path"))) - 1), "/")
-    base = _normal(F.concat(folder, F.lit("/"), F.col("specifier")))
-    suffixes = F.array(*[F.lit(s) for s in fv.JS_RESOLVE_SUFFIXES])
-    candidates = specifiers.where(F.startswith("specifier", F.lit("."))).withColumn(
-        "base", base).where("base IS NOT NULL").select(
-        "*", F.posexplode(suffixes).alias("rank", "suffix")).withColumn(
-        "target", F.concat("base", "suffix"))
-    known = files.select("repo_id", F.col("path").alias("target")).distinct()
-    hits = skew_join(candidates, known, ["repo_id", "target"], "inner", ["file_id", "pos", "rank"])
-    return hits.groupBy("repo_id", "file_id", "path", "pos").agg(
-        F.min_by("target", "rank").alias("target"), F.first("name").alias("name"))
+    return F.when(F.startswith(specifier, F.lit(".")), _normal(F.concat(folder, F.lit("/"), specifier)))
 
 
 def _normal(path: Column) -> Column:
@@ -275,23 +278,28 @@ def _normal(path: Column) -> Column:
 
 
 def import_edges(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges of a file to each file it imports, and of a function value to a file that uses it."""
-    rows = token_rows(tokens).where(F.col("role").isin("import", "import_name", "function_value"))
-    modules = rows.where("role = 'import'").select(
-        *KEYS, "pos", F.col("text").alias("specifier"), F.lit(None).cast("string").alias("name"))
-    names = rows.where("role = 'import_name'").select(
-        *KEYS, "pos", F.col("owner").alias("specifier"), F.col("text").alias("name"))
-    found = _resolved(modules.unionByName(names), files)
-    imported = found.where("name IS NULL").select(
-        "repo_id", F.col("path").alias("src"), F.col("target").alias("dst"),
-        F.lit("import").alias("kind"))
-    users = found.where("name IS NOT NULL").groupBy("repo_id", "target", "name").agg(
-        F.min("path").alias("dst"))
-    values = rows.where("role = 'function_value'").select(
-        "repo_id", F.col("path").alias("target"), F.col("text").alias("name")).distinct()
-    used = values.join(users, ["repo_id", "target", "name"]).select(
-        "repo_id", F.col("target").alias("src"), "dst", F.lit("use").alias("kind"))
-    return imported.unionByName(used).distinct()
+    """Edges of a file to each file it imports, and of a function value to the first file, by path, that uses it.
+
+    One scan of the tokens, one of the files, and one join: a function value looks up its own path, which is a stem of the
+    file, so it meets the imports of its name in one aggregate. Equal rows go before the join, and a file that very many
+    import is left to AQE's skew join, since the index has one row a stem.
+    """
+    role, text = F.col("role"), F.col("text")
+    base = (F.when(role == "function_value", F.col("path"))
+            .otherwise(_base(F.when(role == "import", text).otherwise(F.col("owner")))))
+    rows = token_rows(tokens).where(role.isin("import", "import_name", "function_value")).select(
+        "repo_id", base.alias("stem"), F.when(role == "import", F.col("path")).alias("src"),
+        F.when(role != "import", text).alias("name"), F.when(role == "import_name", F.col("path")).alias("user"),
+        (role == "function_value").alias("is_value")).where("stem IS NOT NULL")
+    fewer = rows.groupBy("repo_id", "stem", "src", "name").agg(
+        F.min("user").alias("user"), F.max("is_value").alias("is_value"))
+    met = fewer.join(stem_index(files), ["repo_id", "stem"]).groupBy("repo_id", "target", "src", "name").agg(
+        F.min("user").alias("user"), F.max("is_value").alias("is_value"))
+    imported = F.col("name").isNull()
+    return met.where(imported | (F.col("is_value") & F.col("user").isNotNull())).select(
+        "repo_id", F.when(imported, F.col("src")).otherwise(F.col("target")).alias("src"),
+        F.when(imported, F.col("target")).otherwise(F.col("user")).alias("dst"),
+        F.when(imported, F.lit("import")).otherwise(F.lit("use")).alias("kind")).distinct()
 
 
 def js_findings(tokens: DataFrame) -> DataFrame:

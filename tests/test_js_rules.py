@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.functions import fixed_values as fv
 from codequarry.operators import findings, js_rules
 from codequarry.sources import jstokens
 
@@ -147,6 +148,40 @@ def test_import_graph(spark):
                    ("r", "src/b.ts", "src/c/index.ts", "import"), ("r", "src/b.ts", "src/a.ts", "use")}
 
 
+def test_import_edges_try_suffixes_in_order(spark):
+    """Against a plain loop over specifiers and suffixes."""
+    paths = ["a.ts", "a.tsx", "a.js", "a", "a/index.js", "a/index.ts", "b/index.tsx", "b/c.mjs", "b/c.jsx", ".ts", "index.ts",
+             "b/a.ts", "b/index.ts/index.ts"]
+    names = ["./a", "./a.js", "./a.ts", "./b", "./b/c", "../a", "..", ".", "./", "./b/../a", "../../a", "react", "./index", "./b/index"]
+    rows = [("r", i, p, "".join(f"import '{n}';\n" for n in names)) for i, p in enumerate(paths) if p.endswith(("s", "x"))]
+    files = frame(spark, rows)
+    listed = spark.createDataFrame([("r", p) for p in [*paths, paths[0]]] + [("s", "a.mjs"), ("r", None)], "repo_id STRING, path STRING")
+    want = set()
+    for _, _, path, _ in rows:
+        for n in names:
+            steps = []
+            for part in [*path.split("/")[:-1], *n.split("/")]:
+                if part == "..":
+                    steps = steps[:-1] if steps else None
+                elif part not in ("", "."):
+                    steps.append(part)
+                if steps is None:
+                    break
+            if n.startswith(".") and steps is not None:
+                hit = next((c for s in fv.JS_RESOLVE_SUFFIXES if (c := "/".join(steps) + s) in paths), None)
+                want |= {("r", path, hit, "import")} if hit else set()
+    assert {tuple(r) for r in js_rules.import_edges(jstokens.js_tokens(files), listed).collect()} == want and len(want) > 20
+
+
+def test_import_edges_scan_once(spark, tmp_path):
+    files = frame(spark, [("r", 1, "a.ts", "import './b'"), ("r", 2, "b.ts", "1")])
+    files.write.parquet(str(tmp_path / "files"))
+    jstokens.js_tokens(files).write.parquet(str(tmp_path / "tokens"))
+    read = [spark.read.parquet(str(tmp_path / n)) for n in ("tokens", "files")]
+    plan = js_rules.import_edges(*read)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+
+
 def test_rules_need_no_shuffle(spark):
     tokens = jstokens.js_tokens(frame(spark, [("r", 1, "a.ts", "eval(x)")]).coalesce(1))
     plan = js_rules.local_findings(tokens)._jdf.queryExecution().executedPlan().toString()
