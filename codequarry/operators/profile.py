@@ -86,29 +86,61 @@ def top_level_dirs(files: DataFrame) -> DataFrame:
     )
 
 
+def _holds(marker: str):
+    return lambda name: F.contains(F.lower(name), F.lit(marker))
+
+
+def _file_facts(files: DataFrame) -> DataFrame:
+    """What one file tells about its repository, in one pass over the text; a file outside the scan tells its directory only."""
+    path, text, in_scan = F.col("path"), F.col("content"), ~t.ignored(F.col("path"))
+    name, first = t.base_name(path), F.element_at(t.parts(path), 1)
+    known = with_language(files.select("repo_id", "path", "content"))
+    data = F.from_json("content", _PACKAGE)
+    packages = F.concat(*[F.coalesce(F.map_keys(data[n]), F.array().cast("array<string>"))
+                          for n in ("dependencies", "devDependencies")])
+    known = known.withColumn("packages", F.when(in_scan & (path == "package.json"), packages))
+    used = F.lit(0).cast("bigint")
+    for i, marker in enumerate(fv.FRAMEWORKS):
+        imported = F.contains(text, F.lit(f"import {marker}")) | F.contains(text, F.lit(f"from {marker}"))
+        depended = F.exists("packages", _holds(marker))
+        hit = F.when(t.suffix(name) == ".py", imported).otherwise(depended)
+        used = used.bitwiseOR(F.when(in_scan & hit, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    shown = F.contains(path, F.lit("/")) & ~first.isin(*fv.IGNORED_NAMES) & ~F.startswith(first, F.lit("."))
+    return known.select(
+        "repo_id", *[F.when(in_scan, F.col(c)).alias(c) for c in ("language", "label", "supported")],
+        F.when(in_scan, t.line_count(text)).alias("loc"),
+        F.when(in_scan, t.lookup(name, fv.MANIFESTS, None)).alias("kind"),
+        used.alias("used"), F.when(shown, first).alias("directory"))
+
+
 def repo_profile(repos: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per repository; every input is aggregated per repository before the joins."""
-    languages = language_profile(files).groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("language", "label", "files", "loc", "supported")))
-        .alias("languages"),
-        F.sum("files").alias("files"),
-        F.sum("loc").alias("loc"),
-        F.array_sort(F.collect_set(F.when(F.col("supported"), F.col("language"))))
-        .alias("supported_languages"),
-    )
-    kinds = manifests(files).groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("manifests"),
-        F.array_sort(F.collect_set("kind")).alias("manifest_kinds"))
-    used = frameworks(files).groupBy("repo_id").agg(
-        F.array_sort(F.collect_set("framework")).alias("frameworks"))
-    dirs = top_level_dirs(files).groupBy("repo_id").agg(
-        F.array_sort(F.collect_set("directory")).alias("top_level_dirs"))
-    joined = repos.select("repo_id")
-    for side in (languages, kinds, used, dirs):
-        joined = joined.join(side, "repo_id", "left")
+    """One row per repository: one scan of the files, counts per repository and language, and these counts per repository.
+
+    Both steps combine before the shuffle, so a repository with most of the files sends one row per language and task.
+    """
+    by_language = _file_facts(files).groupBy("repo_id", "language", "label", "supported").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"), F.count("kind").alias("manifests"),
+        F.collect_set("kind").alias("kinds"), F.bit_or("used").alias("used"),
+        F.collect_set("directory").alias("directories"))
+    known = F.col("language").isNotNull()
+    language = F.struct("language", "label", "files", "loc", "supported")
+    profile = by_language.groupBy("repo_id").agg(
+        F.array_sort(F.collect_list(F.when(known, language))).alias("languages"),
+        F.sum(F.when(known, F.col("files"))).alias("files"), F.sum("loc").alias("loc"),
+        F.array_sort(F.collect_set(F.when(F.col("supported"), F.col("language")))).alias("supported_languages"),
+        F.sum("manifests").alias("manifests"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("manifest_kinds"),
+        F.bit_or("used").alias("used"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("directories")))).alias("top_level_dirs"))
+    bits = F.array(*[F.struct(F.lit(1 << i).cast("bigint").alias("bit"), F.lit(label).alias("label"))
+                     for i, label in enumerate(fv.FRAMEWORKS.values())])
+    labels = F.transform(F.filter(bits, lambda b: F.col("used").bitwiseAND(b["bit"]) != 0), lambda b: b["label"])
     none = F.array().cast("array<string>")
-    return joined.withColumns({
-        **{c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("files", "loc", "manifests")},
-        **{c: F.coalesce(c, none) for c in ("supported_languages", "manifest_kinds", "frameworks",
-                                            "top_level_dirs")},
-    })
+    return repos.select("repo_id").join(
+        profile.withColumn("frameworks", F.array_sort(F.array_distinct(labels))).withColumn(
+            "languages", F.when(F.size("languages") > 0, F.col("languages"))), "repo_id", "left").select(
+        "repo_id", "languages",
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("files", "loc")],
+        F.coalesce("supported_languages", none).alias("supported_languages"),
+        F.coalesce("manifests", F.lit(0).cast("bigint")).alias("manifests"),
+        *[F.coalesce(c, none).alias(c) for c in ("manifest_kinds", "frameworks", "top_level_dirs")])

@@ -133,3 +133,23 @@ def test_ignored_part_may_be_the_file_itself(spark):
     df = spark.createDataFrame([("r", 1, "a/out", 1, ""), ("r", 2, "outer/x", 1, ""),
                                 ("r", 3, "x/uv.lock", 1, ""), ("r", 4, "build/x", 1, "")], FILE)
     assert [r.path for r in profile.scan(df).collect()] == ["outer/x"]
+
+
+def test_profile_reads_the_files_once(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("r", 1, "a.py", 1, "import flask\n"), ("r", 2, "package.json", 1, '{"dependencies": {"react-dom": "1"}}'),
+         ("r", 3, "node_modules/x.js", 1, "x"), ("r", 4, "src/.git/y.py", 1, "import django"), ("r", 5, "w/b.ts", 1, None),
+         ("only", 6, "dist/z.js", 1, "z"), ("r", 7, None, 1, "import vue"), ("r", 8, "package.json", 1, "broken")],
+        "repo_id STRING, file_id BIGINT, path STRING, size BIGINT, content STRING")
+    files.write.parquet(str(tmp_path / "files"))
+    repos = spark.createDataFrame([("r",), ("only",), ("none",)], "repo_id STRING")
+    out = profile.repo_profile(repos, spark.read.parquet(str(tmp_path / "files")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    got = {r.repo_id: r for r in out.collect()}
+    assert [(x.language, x.files, x.loc) for x in got["r"].languages if x.language.endswith(("python", "script"))] == [
+        ("python", 1, 1), ("typescript", 1, None)]
+    assert got["r"].frameworks == ["Flask", "React"] and got["r"].top_level_dirs == ["src", "w"]
+    assert (got["r"].manifests, got["r"].manifest_kinds) == (2, ["npm"])
+    for empty in ("only", "none"):
+        assert (got[empty].files, got[empty].languages, got[empty].frameworks, got[empty].top_level_dirs) == (0, None, [], [])
