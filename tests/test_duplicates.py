@@ -35,8 +35,9 @@ def test_two_files_and_renamed_variables(spark):
 
 
 def test_distinct_and_short_bodies(spark):
-    files = [("r", "a.py", A), ("r", "b.py", OTHER), ("r", "c.py", "def one():\n    return 1\n"),
-             ("r", "d.py", "def two():\n    return 2\n")]
+    getter = "class Box:\n    def {0}(self):\n        return self._{0}\n"  # equal shapes of few tokens
+    files = [("r", "a.py", A), ("r", "b.py", OTHER),
+             *[("r", f"{side}.py", getter.format(side)) for side in ("height", "depth", "width")]]
     assert duplicates.duplicate_functions(functions(spark, files)).count() == 0
 
 
