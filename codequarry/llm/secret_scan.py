@@ -1,7 +1,9 @@
 """Secret scan: candidates from whole texts, and a random forest that removes the false ones.
 
-A candidate is a blank-separated token with a digit or an `=`; of `key=value` or `key:value` it is the value, without quotes and closing
-signs, from 8 characters on. The forest sees its length, classes and transitions of its characters, how likely its letter
+Candidates are values from 8 characters on: the parts of a blank-free token between quotes, brackets and `& ; , ? #`, so every pair of
+minified JSON or of a query string counts by itself; of `key=value` and `key:value` the value, also where blanks or quotes stand
+between; the password and the rest of an address with a user; and published key formats wherever they stand inside. A value
+needs a digit, an `=` before it, a telling key, or quotes around mixed case and signs. The forest sees its length, classes and transitions of its characters, how likely its letter
 pairs are in words, how much of it dictionary words cover (dictionary: the pieces of a fixed public vocabulary), its path, and the
 words next to it. It is trained from labelled findings. Where nobody has labelled any, `weak_labels` marks the clear ones: published
 key formats and random values under a telling key on one side, addresses, plain numbers and words on the other; the forest decides
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +34,13 @@ from codequarry.llm.frames import RowNumbers, column, extended, fresh, with_colu
 from codequarry.session import written
 
 LEAST = 8
-_TOKEN = re.compile(r"(?<!\S)\S*?[\d=]\S*")
-_ASSIGNED = re.compile(r"[\"'(\[{<]*([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?[=:](?!//)")
+#: Every pattern reads a text once: a token, a run or a key is entered at its start only and never given back.
+_TOKEN = re.compile(r"(?<!\S)[^\s\d=:\"'`]*+[\d=:\"'`]\S*+")
+_NEXT = re.compile(r"[^\S\n]{1,40}(\S++)")
+_ATOM = re.compile(r"[^\s\"'`&;,?#<>(){}\[\]|]++")
+_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+")
+_PAIR = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]*+)([=:]++)(?!//)")
+_QUOTES = "\"'`"
 _OPEN, _CLOSE = "\"'`([{<", "\"'`)]}>,;.!?"
 #: Words that name secrets, and words that name stand-ins (fixed values).
 _TELLING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "private_key", "credential", "auth")
@@ -40,8 +48,10 @@ _STAND_IN = ("example", "sample", "dummy", "test", "placeholder", "changeme", "y
 #: Published formats of keys (fixed values).
 _FORMATS = re.compile(
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}"
-    r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*")
-_ADDRESS = re.compile(r"[^@\s]+@[^@\s]+\.[A-Za-z0-9.]+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|https?://\S+|\+?[\d().\-/:,%$]+")
+    r"|(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+")
+_ADDRESS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|https?://\S+|\+?[\d().\-/:,%$]+")
+_HOST = re.compile(r"(?:[A-Za-z0-9\-]++\.)++[A-Za-z]{2,}+(?::\d++)?(?:/\S*+)?")
+_NAME_END = string.ascii_letters + string.digits + "."
 
 FEATURES = ("length", "log_length", "digits", "upper", "lower", "other", "transitions", "entropy", "letter_pairs", "dictionary", "digit_run",
             "hex", "at_sign", "dots", "assigned", "telling_key", "telling_near", "stand_in_near", "stand_in", "test_path", "config_path", "format")
@@ -59,6 +69,7 @@ class Features:
 
     def __init__(self, words: list[str]):
         self.words, self.longest = set(words), max(map(len, words), default=0)
+        self.begins = {w[:4] for w in words}
         pairs = Counter(a + b for w in words for a, b in zip(w, w[1:], strict=False))
         total = sum(pairs.values())
         self.pair = {p: math.log((n + 0.5) / (total + 400)) for p, n in pairs.items()}
@@ -68,7 +79,8 @@ class Features:
         """Share of the letters that dictionary words cover, longest first from the left."""
         low, i, hit = value.lower(), 0, 0
         while i < len(low):
-            n = next((n for n in range(min(self.longest, len(low) - i), 3, -1) if low[i : i + n] in self.words), 0)
+            tried = range(min(self.longest, len(low) - i), 3, -1) if low[i : i + 4] in self.begins else ()
+            n = next((n for n in tried if low[i : i + n] in self.words), 0)
             hit += n
             i += n or 1
         return hit / max(1, sum(map(str.isalpha, low)))
@@ -92,28 +104,112 @@ class Features:
             float(_FORMATS.fullmatch(value) is not None)]
 
 
+def is_address(value: str) -> bool:
+    """Mail, network and web addresses, host names, and plain numbers."""
+    if value.count("@") == 1:
+        name, host = value.split("@")
+        stem = host.rstrip(_NAME_END)
+        return bool(name) and "." in host[max(1, len(stem)) : -1]
+    return _ADDRESS.fullmatch(value) is not None or _HOST.fullmatch(value) is not None
+
+
+def _telling(key: str) -> bool:
+    low = key.lower()
+    return any(w in low for w in _TELLING)
+
+
+def _parts(start: int, value: str, key: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(start, value, key, whether admitted as it is): an address without its user and password, and published formats apart from the rest."""
+    scheme = value.find("://")
+    if scheme >= 0:
+        begin = scheme + 3
+        end = value.find("/", begin)
+        at = value.rfind("@", begin, end if end >= 0 else len(value))
+        if at >= 0:
+            colon = value.find(":", begin, at)
+            if colon >= 0:
+                yield start + colon + 1, value[colon + 1 : at], "password", True
+            yield start + at + 1, value[at + 1 :], "", False
+            return
+    done = 0
+    for m in _FORMATS.finditer(value):
+        yield start + done, value[done : m.start()], key, False
+        yield start + m.start(), m[0], key, True
+        done = m.end()
+    yield start + done, value[done:], key, False
+
+
+def _values(token: str, at: int, key: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(start, value, key, whether admitted without a digit) of a token; a last row without a value holds the key for the next token."""
+    place, said = 0, ""
+    while m := _ATOM.search(token, place):
+        begin, place = m.span()
+        atom, quote = m[0], token[begin - 1] if begin and token[begin - 1] in _QUOTES else ""
+        if not atom.strip("=:"):  # a sign between a key and its value
+            key, said = said, ""
+            continue
+        if lead := len(atom) - len(atom.lstrip("=:")):
+            key, begin, atom = key or said, begin + lead, atom[lead:]
+        if quote and key and _telling(key):
+            end = token.find(quote, begin)
+            place = end if end >= 0 else len(token)
+            atom = token[begin:place]
+        pair, free = _PAIR.match(atom), bool(key) and _telling(key)
+        said = atom if _KEY.fullmatch(atom) else ""
+        if pair and not key and atom[pair.end() :].strip("=:"):
+            key, begin, atom = pair[1], begin + pair.end(), atom[pair.end() :]
+            free = "=" in pair[2] or _telling(key)
+        elif pair and not key and pair.end() == len(atom):
+            key = pair[1]
+            if len(atom) >= 2 * LEAST and len(pair[2]) + len(atom) % 4 <= 2:  # perhaps a padded value
+                yield at + begin, atom, "", False
+            continue
+        elif quote and token[place : place + 1] == quote and len(atom) >= LEAST + 4:
+            free = free or not (atom.islower() or atom.isupper() or atom.isalnum())
+        for spot, value, name, whole in _parts(begin, atom, key):
+            yield at + spot, value, name, free or whole
+        key = ""
+    yield at + len(token), "", key, False
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, value, key, words around) of each candidate of a text."""
+    """(start, value, key, words around) of each candidate of a text; they do not overlap."""
+    done = 0
     for m in _TOKEN.finditer(text):
-        token, start, key = m[0], m.start(), ""
-        if a := _ASSIGNED.match(token):
-            key, token, start = a[1], token[a.end() :], start + a.end()
-        bare = token.lstrip(_OPEN)
-        start += len(token) - len(bare)
-        bare = bare.rstrip(_CLOSE)
-        if len(bare) >= LEAST:
-            before = text[max(0, start - 80) : start].split()[-4:]
-            after = text[start + len(bare) : start + len(bare) + 80].split()[:3]
-            yield start, bare, key, " ".join(before + after)
+        if m.start() < done:
+            continue
+        token, at, key = m[0], m.start(), ""
+        if not token.strip("=:"):
+            line = text[max(0, at - 80) : at].rpartition("\n")[2].split()
+            key = line[-1].strip(_QUOTES) if line else ""
+            key = key if _KEY.fullmatch(key) else ""
+        while token:
+            kept, alone = key, not token.strip("=:")
+            for start, value, name, free in [] if alone else _values(token, at, key):
+                kept = name
+                bare = value.lstrip(_OPEN)
+                start += len(value) - len(bare)
+                bare = bare.rstrip(_CLOSE)
+                if len(bare) >= LEAST and (free or any(map(str.isdigit, bare))):
+                    before = text[max(0, start - 80) : start].split()[-4:]
+                    after = text[start + len(bare) : start + len(bare) + 80].split()[:3]
+                    yield start, bare, name, " ".join(before + after)
+            done = at + len(token)
+            following = _NEXT.match(text, done) if kept else None
+            token, key = "", kept
+            if following:
+                token, at = following[1], following.start(1)
 
 
 def weak_label(value: str, features: list[float]) -> int | None:
     """1 for a clear secret, 0 for a clear other thing, None for what is not clear."""
     f = dict(zip(FEATURES, features, strict=True))
-    if f["stand_in"] or _ADDRESS.fullmatch(value) or f["dictionary"] > 0.7:
+    if f["stand_in"] or is_address(value):
         return 0
     if f["format"]:
         return 1
+    if f["dictionary"] > 0.7:
+        return None if f["telling_key"] else 0
     if (f["telling_key"] or f["telling_near"]) and f["digits"] > 0 and f["entropy"] >= 2.5 and len(value) >= 12 and not f["at_sign"]:
         return 1
     return 0 if not f["telling_key"] and not f["telling_near"] and f["digits"] < 0.1 else None
