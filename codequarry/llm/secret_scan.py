@@ -241,7 +241,10 @@ def _found(docs: DataFrame, words: list[str], text: str, path: str | None) -> tu
 def train(labelled: DataFrame, most: int = 2000, trees: int = 40, depth: int = 8):
     """A forest from labelled findings (label 0 or 1, features), at most `most` of each label by a hash of the value; None for one label only."""
     picked = labelled.filter(F.col("label").isin(0, 1)).select(F.col("label").cast("double").alias("label"), "features", F.xxhash64("value").alias("luck")).distinct()
-    picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("luck", "features"))).filter(F.col("r") <= most)
+    # two rounds: the findings of a label are ranked in slots first, so no task sorts a whole label
+    picked = picked.withColumn("slot", F.pmod("luck", F.lit(64)))
+    for keys in (["label", "slot"], ["label"]):
+        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("luck", "features"))).filter(F.col("r") <= most)
     # at most 2 * most rows, in a fixed order, so that the forest does not depend on the partitions
     picked = written(picked.orderBy("luck", "label").coalesce(1).select("label", array_to_vector("features").alias("x")), "secret-labelled")
     if picked.select("label").distinct().count() < 2:
