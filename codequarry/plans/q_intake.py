@@ -13,7 +13,8 @@ from codequarry.operators import guards, profile
 from codequarry.plans import views as v
 from codequarry.plans.registry import register
 from codequarry.plans.view_sql import LANGUAGE_CASE, V_ENTRIES, V_FILES, with_views
-from codequarry.sources import archives
+from codequarry.session import scratch_path
+from codequarry.sources import archives, corpus
 
 SCAN = with_views(V_FILES)
 ENTRIES = with_views(V_ENTRIES)
@@ -25,6 +26,19 @@ def corpus_scan(spark, d):
     return profile.scan(v.files(spark, d)).select("repo_id", "file_id", "path", "size")
 
 
+@register("tree_scan", """
+SELECT coalesce(source, 'none') AS repo_id, 's' || (doc_id % 3) || '/_d' || (doc_id % 5) || '/.' || doc_id || '.txt' AS path,
+  CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS content_sha256
+FROM documents""")
+def tree_scan(spark, d):
+    """All documents written as a tree of files with hidden names, then walked and read back."""
+    docs = v.wide_table(spark, d, "documents", "doc_id", "source", "text")
+    root, no = scratch_path(spark, "tree"), F.col("doc_id")
+    place = F.concat(F.lit("s"), no % 3, F.lit("/_d"), no % 5, F.lit("/."), no, F.lit(".txt"))
+    corpus.write_tree(docs.select(F.coalesce("source", F.lit("none")).alias("repo_id"), place.alias("path"), F.col("text").alias("content")), root)
+    return corpus.read_tree(spark, root).select("repo_id", "path", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 @register("file_loc", SCAN + "SELECT file_id, path, CAST(loc AS INTEGER) AS loc FROM v_scan")
 def file_loc(spark, d):
     return profile.with_loc(profile.scan(v.files(spark, d))).select("file_id", "path", "loc")

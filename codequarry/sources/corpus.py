@@ -2,51 +2,108 @@
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
 import pandas as pd
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import text as t
+from codequarry.session import written
 
 
-def read_tree(spark: SparkSession, root: str, max_file_mb: int | None = None) -> DataFrame:
-    """Files below a root, whose first directory level names the repository.
+#: Bytes of files that one Arrow batch holds (a larger file is a batch of its own), and that one reading task gets.
+BATCH_BYTES, TASK_BYTES = 8 << 20, 128 << 20
+_LISTED = "path STRING, is_dir BOOLEAN, size BIGINT"
 
-    Spark's own file sources skip names that begin with '_' or '.', and so would lose every
-    __init__.py. Here only repository names pass through the driver; tasks list one repository
-    each, the paths are spread by hash, and tasks read the contents.
+
+def open_root(root: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the path in it; `file:/x` is a path as well."""
+    return FileSystem.from_uri(root.removeprefix("file:") if re.match(r"file:/(?!/)", root) else root)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root) and size of every file, by a walk in breadth: one round of tasks a level, one row a folder.
+
+    No name passes through the driver, and a repository of any size is listed by as many tasks as it has folders. The
+    levels stay written, so a lost executor lists the folders of one task anew. A folder's own names are one task's
+    stream. A missing root gives no file; a link to a folder is not followed, so no walk goes round.
     """
-    limit = None if max_file_mb is None else max_file_mb * 1024 * 1024
+    slots = spark.sparkContext.defaultParallelism
 
     def listed(batches):
-        fs, base = FileSystem.from_uri(root)
+        fs, base = open_root(root)
         for batch in batches:
-            for repo in batch["repo_id"]:
-                below = fs.get_file_info(FileSelector(f"{base}/{repo}", recursive=True))
-                start = len(f"{base}/{repo}/")
-                rows = [(repo, i.path[start:], i.size) for i in below if i.type == FileType.File
-                        and (limit is None or i.size <= limit)]
-                yield pd.DataFrame(rows, columns=["repo_id", "path", "size"])
+            for folder in batch["path"]:
+                found = fs.get_file_info(FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True))
+                if isinstance(fs, LocalFileSystem):
+                    found = [i for i in found if i.type != FileType.Directory or not os.path.islink(i.path)]
+                for start in range(0, len(found), 10_000):
+                    rows = [(f"{folder}/{i.base_name}" if folder else i.base_name, i.type == FileType.Directory, i.size or 0)
+                            for i in found[start:start + 10_000] if i.type in (FileType.Directory, FileType.File)]
+                    yield pd.DataFrame(rows, columns=["path", "is_dir", "size"]).astype({"is_dir": bool, "size": "int64"})
+
+    folders, levels = spark.range(1).select(F.lit("").alias("path")), []
+    while not levels or not folders.isEmpty():
+        # an explicit number of partitions, since a short list of names would be coalesced into one task
+        spread = folders.repartition(slots, "path") if levels else folders
+        levels.append(written(spread.mapInPandas(listed, _LISTED), "tree-level"))
+        folders = levels[-1].where("is_dir").select("path")
+    return reduce(DataFrame.unionAll, levels).where("NOT is_dir").select("path", "size")
+
+
+def read_tree(spark: SparkSession, root: str, max_file_mb: int | None = None) -> DataFrame:
+    """Files below a root, whose first directory level names the repository; files beside the repositories are left out.
+
+    Spark's own file sources skip names that begin with '_' or '.', and so would lose every
+    __init__.py. The listed paths are spread by hash over tasks of about `TASK_BYTES`, and each task sends files on in
+    batches of bounded bytes. A file above `max_file_mb` keeps its row, with null content.
+    """
+    names = list_tree(spark, root).where(F.contains("path", F.lit("/")))
+    total = names.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total["bytes"] or 0) // TASK_BYTES), total["files"] // 10_000)
+    limit = None if max_file_mb is None else max_file_mb * 1024 * 1024
 
     def read(batches):
-        fs, base = FileSystem.from_uri(root)
+        fs, base = open_root(root)
+        for batch in batches:
+            rows, held = [], 0
+            for path, size in batch.itertuples(index=False):
+                if rows and held + size > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "size", "bytes"])
+                    rows, held = [], 0
+                data = None
+                if limit is None or size <= limit:
+                    with fs.open_input_stream(f"{base}/{path}") as stream:
+                        data = stream.read()
+                    held += size
+                rows.append((path, size, data))
+            yield pd.DataFrame(rows, columns=["path", "size", "bytes"])
+
+    loaded = names.repartition(int(tasks), "path").mapInPandas(read, "path STRING, size BIGINT, bytes BINARY")
+    parts = loaded.select(F.substring_index("path", "/", 1).alias("repo_id"), F.expr("substr(path, instr(path, '/') + 1)").alias("path"),
+                          "size", "bytes")
+    return parts.select("repo_id", F.xxhash64("repo_id", "path").alias("file_id"), "path", "size",
+                        t.decoded(F.col("bytes")).alias("content"))
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (repo_id, path, content) as files below a root; a null content is an empty file. A task that runs twice writes the same."""
+    def write(batches):
+        fs, base = open_root(root)
         for batch in batches:
-            for repo, path, size in batch.itertuples(index=False):
-                with fs.open_input_stream(f"{base}/{repo}/{path}") as stream:
-                    yield pd.DataFrame({"repo_id": [repo], "path": [path], "size": [size],
-                                        "bytes": [stream.read()]})
-
-    fs, base = FileSystem.from_uri(root)
-    names = [(i.base_name,) for i in fs.get_file_info(FileSelector(base))
-             if i.type == FileType.Directory]
-    listing = spark.createDataFrame(names, "repo_id STRING").mapInPandas(
-        listed, "repo_id STRING, path STRING, size BIGINT")
-    loaded = listing.repartition("repo_id", "path").mapInPandas(
-        read, "repo_id STRING, path STRING, size BIGINT, bytes BINARY")
-    return loaded.select("repo_id", F.xxhash64("repo_id", "path").alias("file_id"), "path", "size",
-                         t.decoded(F.col("bytes")).alias("content"))
+            for repo, path, content in batch.itertuples(index=False):
+                place = f"{base}/{repo}/{path}"
+                fs.create_dir(place.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(place) as stream:
+                    stream.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("repo_id", "path", "content").mapInPandas(write, "n BIGINT").agg(F.sum("n")).collect()
 
 
 def from_archives(entries: DataFrame) -> DataFrame:

@@ -129,6 +129,25 @@ def test_tree(spark, tmp_path):
     assert rows["r2"].manifest_kinds == ["npm"] and rows["r2"].top_level_dirs == ["docs"]
 
 
+def test_tree_walk(spark, tmp_path, monkeypatch):
+    """Every level, hidden names, empty folders, large files in batches of their own, and files above the limit."""
+    bodies = {"beside.txt": b"x", "r1/a.py": b"1", "r1/x/y/z/_deep.py": b"deep", "r1/x/.hidden/b.py": b"", "r2/big.js": b"b" * (2 << 20),
+              "r2/more.js": b"m" * 700}
+    for path, body in bodies.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(body)
+    (tmp_path / "r3" / "empty").mkdir(parents=True)
+    (tmp_path / "r1" / "link").symlink_to(tmp_path)
+    monkeypatch.setattr(corpus, "BATCH_BYTES", 512)
+    listed = {r.path: r.size for r in corpus.list_tree(spark, str(tmp_path)).collect()}
+    assert listed == {p: len(b) for p, b in bodies.items()}
+    got = {f"{r.repo_id}/{r.path}": r for r in corpus.read_tree(spark, f"file:{tmp_path}", max_file_mb=1).collect()}
+    assert set(got) == set(bodies) - {"beside.txt"}
+    assert {p for p, r in got.items() if r.content is None} == {"r2/big.js"} and got["r2/big.js"].size == 2 << 20
+    assert all(r.content == bodies[p].decode() for p, r in got.items() if r.content is not None)
+    assert corpus.read_tree(spark, str(tmp_path / "nowhere")).count() == 0
+
+
 def test_ignored_part_may_be_the_file_itself(spark):
     df = spark.createDataFrame([("r", 1, "a/out", 1, ""), ("r", 2, "outer/x", 1, ""),
                                 ("r", 3, "x/uv.lock", 1, ""), ("r", 4, "build/x", 1, "")], FILE)
