@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import fixed_values as fv
 from codequarry.functions import scoring
-from codequarry.functions.grouping import skew_join
+from codequarry.session import scratch_path
 
 
 def latest_stats(stats: DataFrame, order: str = "ord") -> DataFrame:
@@ -16,20 +16,35 @@ def latest_stats(stats: DataFrame, order: str = "ord") -> DataFrame:
         F.max_by("complexity", order).alias("complexity"))
 
 
-def score(findings: DataFrame, stats: DataFrame, spread_by=("type", "line", "ord"),
-          count_in: DataFrame | None = None) -> DataFrame:
+def score(findings: DataFrame, stats: DataFrame) -> DataFrame:
     """Add risk_raw, risk_score, severity and model_version.
 
-    `stats` has one row per (run_id, path). A file without statistics gets no boost. `count_in` is
-    a stored table to look for hot files in, when the findings themselves are not stored.
+    `stats` has one row per (run_id, path). A file without statistics gets no boost. One plain join: the findings are
+    read once, statistics are broadcast where Spark's own size check allows, tables bucketed by `store` join without a
+    shuffle, and a file with very many findings is split by adaptive execution (the left side of a left join).
     """
     by_file = stats.select("run_id", F.col("path").alias("file"),
                            F.col("complexity").alias("_complexity"))
-    joined = skew_join(findings, by_file, ["run_id", "file"], "left", list(spread_by),
-                       count_in=count_in)
+    joined = findings.join(by_file, ["run_id", "file"], "left")
     return scored(joined, F.col("_complexity")).drop("_complexity")
 
 
+def store(findings: DataFrame, stats: DataFrame, name: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Write both sides of scoring as tables bucketed by run and file, and read them back.
+
+    Each scoring after that joins bucket by bucket, without a shuffle. A bucket is one task: choose as many buckets as
+    keep the largest file's findings bearable. `name` must be new in the catalogue.
+    """
+    tables = []
+    for df, key, kind in ((findings, "file", "findings"), (stats, "path", "stats")):
+        # rows of a bucket meet in one task before they are written, so that a bucket is one file
+        spread = df.repartition(buckets, "run_id", key)
+        spread.write.bucketBy(buckets, "run_id", key).sortBy("run_id", key).saveAsTable(
+            f"{name}_{kind}", format="parquet", path=scratch_path(df.sparkSession, f"{name}-{kind}"))
+        tables.append(df.sparkSession.table(f"{name}_{kind}"))
+    return tables[0], tables[1]
+
+
 def scored(findings: DataFrame, complexity) -> DataFrame:
     raw = scoring.risk_raw(F.col("type"), F.col("category"), F.col("confidence"), complexity)
     return (
@@ -40,14 +55,10 @@ def scored(findings: DataFrame, complexity) -> DataFrame:
     )
 
 
-def rescore_completed(findings: DataFrame, stats: DataFrame, runs: DataFrame,
-                      count_in: DataFrame | None = None) -> DataFrame:
-    """Score again, for completed runs only."""
-    done = runs.where(F.col("status") == "completed").select("run_id").distinct()
-    stored = findings if count_in is None else count_in
-    kept = skew_join(findings, done, ["run_id"], "left_semi", ["type", "line", "ord"],
-                     count_in=stored)
-    return score(kept, stats, count_in=stored)
+def rescore_completed(findings: DataFrame, stats: DataFrame, runs: DataFrame) -> DataFrame:
+    """Score again, for completed runs only: a semi join with the runs first, then one join."""
+    done = runs.where(F.col("status") == "completed").select("run_id")
+    return score(findings.join(done, "run_id", "left_semi"), stats)
 
 
 def refused_runs(runs: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def analyse(files: DataFrame, report_rows: DataFrame | None = None, runs: DataFr
     # since joins count their keys first.
     merged = written(findings.merge({n: _union(f, runs) for n, f in sources.items()}), "merged")
     gated = findings.gate_by_language(merged, languages)
-    scored = risk.score(gated, stats, count_in=merged).withColumn("status", F.lit("open"))
+    scored = risk.score(gated, stats).withColumn("status", F.lit("open"))
     if with_text:
         scored = _with_text(scored, files, merged)
     return Analysis(scored.drop("file_id", "end_line"), stats, languages,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codequarry.operators import findings as ops
@@ -24,9 +26,7 @@ def stamp(column: str):
 
 
 def scored(spark, d):
-    found = v.findings(spark, d)
-    return risk.score(ops.dedupe(found), risk.latest_stats(v.raw_file_stats(spark, d)),
-                      count_in=found)
+    return risk.score(ops.dedupe(v.findings(spark, d)), risk.latest_stats(v.raw_file_stats(spark, d)))
 
 
 @register("dedupe_findings", with_views(V_FINDINGS, V_DEDUPED) +
@@ -125,10 +125,18 @@ def severity_bands(spark, d):
 SELECT {SCORE_COLUMNS} FROM v_scored
 WHERE run_id IN (SELECT run_id FROM v_runs WHERE status = 'completed')""")
 def rescore_completed(spark, d):
-    found = v.findings(spark, d)
     return risk.rescore_completed(
-        ops.dedupe(found), risk.latest_stats(v.raw_file_stats(spark, d)), v.runs(spark, d),
-        count_in=found).select(*SCORE_COLUMNS.split(", "))
+        ops.dedupe(v.findings(spark, d)), risk.latest_stats(v.raw_file_stats(spark, d)),
+        v.runs(spark, d)).select(*SCORE_COLUMNS.split(", "))
+
+
+@register("rescore_bucketed", with_views(V_FINDINGS, V_DEDUPED, V_STATS, V_SCORED) +
+          f"SELECT {SCORE_COLUMNS} FROM v_scored")
+def rescore_bucketed(spark, d):
+    """Findings and statistics stored bucketed by run and file, then scored without a shuffle."""
+    found, stats = ops.dedupe(v.findings(spark, d)), risk.latest_stats(v.raw_file_stats(spark, d))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return risk.score(*risk.store(found, stats, f"scoring_{uuid.uuid4().hex}", buckets)).select(*SCORE_COLUMNS.split(", "))
 
 
 @register("rescore_refused", with_views(V_RUNS) +

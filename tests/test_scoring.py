@@ -61,3 +61,21 @@ def test_file_complexity_of_duplicate_paths_is_the_last_one(spark):
                                   "run_id INT, path STRING, complexity DOUBLE, ord INT")
     got = {r.path: r.complexity for r in risk.latest_stats(stats).collect()}
     assert got == {"a": 11.0, "b": 1.0}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    found = spark.range(4000).selectExpr(
+        "id", "id % 7 AS run_id", "if(id % 3 = 0, 'hot.py', concat('f', id % 50, '.py')) AS file", "'EVAL' AS type", "'SECURITY' AS category",
+        "0.5D AS confidence").unionByName(spark.sql(
+            "SELECT -1L AS id, CAST(NULL AS BIGINT) AS run_id, CAST(NULL AS STRING) AS file, 'EVAL' AS type, 'SECURITY' AS category, 0.5D AS confidence"))
+    stats = spark.range(350).selectExpr("id % 7 AS run_id", "concat('f', id DIV 7, '.py') AS path", "CAST(id % 13 AS DOUBLE) AS complexity")
+    plain = {r.id: (r.risk_raw, r.severity) for r in risk.score(found, stats).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = risk.score(*risk.store(found, stats, "bucketed_test", 4))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {r.id: (r.risk_raw, r.severity) for r in out.collect()} == plain and len(plain) == 4001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
