@@ -13,6 +13,7 @@ from codequarry.functions.text import lookup
 from codequarry.schemas import FINDING_COLUMNS
 
 FINDING_KEY = ("run_id", "source", "type", "file", "line")
+RUN_GROUP = "run_group"  # folders of a table that keeps many runs in one
 # Languages that switch an analyser on.
 GATES = {
     "ast-custom": ("python",), "bandit": ("python",), "ruff": ("python",), "radon": ("python",),
@@ -87,11 +88,21 @@ def write_file_stats(stats: DataFrame, path: str) -> None:
     write_by_run(stats, path)
 
 
-def write_by_run(df: DataFrame, path: str) -> None:
+def write_by_run(df: DataFrame, path: str, groups: int | None = None) -> None:
     """Rows of a run are brought together first, so that a task writes few files; rebalancing
-    splits a run that is too large for one task and joins small ones."""
-    (df.hint("rebalance", "run_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+    splits a run that is too large for one task and joins small ones.
+
+    A run has a folder of its own. With `groups`, or for rows that have a group, the folders are so many
+    groups of runs instead (column RUN_GROUP, a hash of the run), each sorted by run: for tables of
+    very many small runs, which would be as many folders and files."""
+    if groups is not None:
+        df = df.withColumn(RUN_GROUP, F.pmod(F.xxhash64("run_id"), F.lit(groups)).cast("int"))
+    folder = RUN_GROUP if RUN_GROUP in df.columns else "run_id"
+    rows = df.hint("rebalance", folder)
+    if folder == RUN_GROUP:
+        rows = rows.sortWithinPartitions(RUN_GROUP, "run_id")
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(folder).parquet(path))
 
 
 def _spread(findings: DataFrame) -> list[str]:

@@ -296,7 +296,7 @@ FROM v_findings_ev f LEFT JOIN newest u ON f.run_id = u.run_id AND f.id = u.find
 WHERE f.run_id NOT IN (SELECT run_id FROM v_runs WHERE repo_id % 7 = 0)""")
 def findings_write_back(spark, d):
     root, found = scratch_path(spark, "findings-table"), v.event_findings(spark, d)
-    ops.write_by_run(found, root)
+    ops.write_by_run(found, root, groups=64)  # users are many small runs
     gone = v.runs(spark, d).where("repo_id % 7 = 0").select("run_id")
     writeback.merge_findings(spark, root, scratch_path(spark, "findings-merge"), v.triage_updates(spark, d), gone)
     return spark.read.schema(found.schema).parquet(root).select("id", "run_id", "category", "status")

@@ -1,6 +1,7 @@
 """Triage and deletion merged into a stored table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.operators import findings, writeback
 
@@ -68,3 +69,29 @@ def test_nothing_to_do(spark, tmp_path):
     before = files_of(table)
     writeback.merge_findings(spark, str(table), str(tmp_path / "merge"))
     assert files_of(table) == before and len(content(spark, table)) == len(ROWS)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_many_runs_share_folders(spark, tmp_path, groups):
+    """A folder a run made a merge of many small runs write a file for each."""
+    table = tmp_path / "table"
+    rows = [(i, f"r{i % 97}" if i % 97 else None, "open") for i in range(970)]
+    findings.write_by_run(spark.createDataFrame(rows, FINDING), str(table), groups=groups)
+    assert len(list(table.glob("run_group=*"))) == groups
+    updates = spark.createDataFrame([(1, "r5", 5, "confirmed", 1), (2, "r6", 6, "confirmed", 1), (3, "r7", 8, "confirmed", 1)], UPDATE)
+    gone = spark.createDataFrame([("r6",), ("r8",), ("unknown",), (None,)], "run_id STRING")
+
+    def run():
+        writeback.merge_findings(spark, str(table), str(tmp_path / "merge"), updates, gone)
+        return content(spark, table)
+
+    want = {(run, i): "confirmed" if i == 5 else "open" for i, run, _ in rows if run not in ("r6", "r8")}
+    assert run() == want and run() == want
+    assert len(files_of(table)) <= 2 * groups
+    # an untouched group keeps its files, and one without a run left loses them
+    before, left = files_of(table), {r.run_group: r.runs for r in spark.read.parquet(str(table)).where("run_id IS NOT NULL").groupBy("run_group").agg(F.collect_set("run_id").alias("runs")).collect()}
+    one = min(left)
+    writeback.merge_findings(spark, str(table), str(tmp_path / "again"), None, spark.createDataFrame([(r,) for r in left[one]], "run_id STRING"))
+    others = {f for f in before if not f.startswith(f"run_group={one}/")}
+    assert others <= files_of(table)
+    assert {r for r, _ in content(spark, table) if r} == {r for k, v in left.items() if k != one for r in v}
