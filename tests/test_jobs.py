@@ -117,6 +117,21 @@ def test_ledger(spark):
     assert sorted(r.run_id for r in ledger.pending(runs, events).collect()) == [10, 13]
 
 
+def test_latest_of_ties_and_nulls_sorts_no_texts(spark):
+    rows = [(1, 10, "running", "ingest", "a", 1), (2, 10, "failed", "analyze", "b", 1), (2, 10, "failed", "analyze", "b", 1),
+            (3, 11, "failed", "ingest", "c", 2), (4, 11, "completed", "finalize", "d", None), (None, 12, "failed", "odd", "e", None),
+            (5, None, "failed", "odd", "f", 1), (None, None, "running", "odd", "g", 1), (6, 13, "running", "odd", "h", 9), (5, 13, "failed", "odd", "i", 9)]
+    events = spark.createDataFrame(
+        rows, "event_id BIGINT, run_id BIGINT, state STRING, stage STRING, error STRING, ts BIGINT")
+    latest = ledger.latest(events)
+    assert {r.run_id: (r.state, r.stage, r.error, r.ts) for r in latest.collect()} == {
+        10: ("failed", "analyze", "b", 1), 11: ("failed", "ingest", "c", 2), 12: ("failed", "odd", "e", None),
+        None: ("failed", "odd", "f", 1), 13: ("running", "odd", None, 9)}
+    # events are dropped by a hash join before any sort
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
 def test_plans_push_down_and_never_cross(spark):
     from codequarry.plans.all_queries import QUERIES
 
