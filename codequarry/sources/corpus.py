@@ -7,6 +7,7 @@ import re
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from codequarry.session import written
 #: Bytes of files that one Arrow batch holds (a larger file is a batch of its own), and that one reading task gets.
 BATCH_BYTES, TASK_BYTES = 8 << 20, 128 << 20
 _LISTED = "path STRING, is_dir BOOLEAN, size BIGINT"
+_READ = pa.schema([("path", pa.string()), ("size", pa.int64()), ("bytes", pa.binary())])
 
 
 def open_root(root: str) -> tuple[FileSystem, str]:
@@ -72,19 +74,20 @@ def read_tree(spark: SparkSession, root: str, max_file_mb: int | None = None) ->
         fs, base = open_root(root)
         for batch in batches:
             rows, held = [], 0
-            for path, size in batch.itertuples(index=False):
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 if rows and held + size > BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "size", "bytes"])
+                    yield pa.RecordBatch.from_pylist(rows, _READ)
                     rows, held = [], 0
                 data = None
                 if limit is None or size <= limit:
                     with fs.open_input_stream(f"{base}/{path}") as stream:
                         data = stream.read()
                     held += size
-                rows.append((path, size, data))
-            yield pd.DataFrame(rows, columns=["path", "size", "bytes"])
+                rows.append({"path": path, "size": size, "bytes": data})
+            yield pa.RecordBatch.from_pylist(rows, _READ)
+            rows = []
 
-    loaded = names.repartition(int(tasks), "path").mapInPandas(read, "path STRING, size BIGINT, bytes BINARY")
+    loaded = names.repartition(int(tasks), "path").mapInArrow(read, "path STRING, size BIGINT, bytes BINARY")
     parts = loaded.select(F.substring_index("path", "/", 1).alias("repo_id"), F.expr("substr(path, instr(path, '/') + 1)").alias("path"),
                           "size", "bytes")
     return parts.select("repo_id", F.xxhash64("repo_id", "path").alias("file_id"), "path", "size",
@@ -92,18 +95,21 @@ def read_tree(spark: SparkSession, root: str, max_file_mb: int | None = None) ->
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Write (repo_id, path, content) as files below a root; a null content is an empty file. A task that runs twice writes the same."""
+    """Write (repo_id, path, content) as files below a root; a null content is an empty file. A task that runs twice writes the same.
+
+    A content goes from the Arrow batch into its file as the UTF-8 that it is there, without a copy as Python text.
+    """
     def write(batches):
         fs, base = open_root(root)
         for batch in batches:
-            for repo, path, content in batch.itertuples(index=False):
+            for repo, path, content in zip(*(batch.column(c) for c in ("repo_id", "path", "content")), strict=True):
                 place = f"{base}/{repo}/{path}"
                 fs.create_dir(place.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(place) as stream:
-                    stream.write((content or "").encode())
-            yield pd.DataFrame({"n": [len(batch)]})
+                    stream.write(content.as_buffer() if content.is_valid else b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    files.select("repo_id", "path", "content").mapInPandas(write, "n BIGINT").agg(F.sum("n")).collect()
+    files.select("repo_id", "path", "content").mapInArrow(write, "n BIGINT").agg(F.sum("n")).collect()
 
 
 def from_archives(entries: DataFrame) -> DataFrame:

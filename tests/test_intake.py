@@ -172,3 +172,14 @@ def test_profile_reads_the_files_once(spark, tmp_path):
     assert (got["r"].manifests, got["r"].manifest_kinds) == (2, ["npm"])
     for empty in ("only", "none"):
         assert (got[empty].files, got[empty].languages, got[empty].frameworks, got[empty].top_level_dirs) == (0, None, [], [])
+
+
+def test_tree_keeps_bytes_and_null_contents(spark, tmp_path):
+    """Contents go into files as UTF-8 and come back in batches of bounded bytes."""
+    texts = [None, "", "a\r\nb", "é中\U0001f600", "x" * 3_000_000, "y" * 9_000_000, "z" * 3_000_000]
+    files = spark.createDataFrame([("r", f"_d/.{i}.txt", t) for i, t in enumerate(texts)], "repo_id STRING, path STRING, content STRING")
+    corpus.write_tree(files.coalesce(1), str(tmp_path))
+    got = {r.path: (r.size, r.content) for r in corpus.read_tree(spark, str(tmp_path)).collect()}
+    assert got == {f"_d/.{i}.txt": (len((t or "").encode()), t or "") for i, t in enumerate(texts)}
+    plan = corpus.read_tree(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
