@@ -99,7 +99,9 @@ def scan_corpus(stream: DataFrame, out: str, checkpoint: str, stats: DataFrame |
         tokens = written(jstokens.js_tokens(corpus.script_files(_added(batch))), "tokens")
         found = _scored(_found(_added(batch), tokens), stats)
         found.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
-        _declared(batch).write.mode("overwrite").parquet(f"{out}/declared/batch_id={batch_id}")
+        # the tokens are read again, not made again; only files with a sign are looked at by sign
+        named = _signed_names(batch) if "sign" in batch.columns else js_rules.names(tokens).withColumn("sign", F.lit(1))
+        js_rules.declarations(named).write.mode("overwrite").parquet(f"{out}/declared/batch_id={batch_id}")
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         batch.where("declared > 0 OR used < 0").write.mode("overwrite").parquet(
@@ -128,10 +130,6 @@ def _signed_names(files: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-def _declared(files: DataFrame) -> DataFrame:
-    return js_rules.declarations(_signed_names(files))
-
-
 def unused_now(spark: SparkSession, out: str) -> DataFrame:
     """Unused functions and classes after the last batch of `scan_corpus`.
 
