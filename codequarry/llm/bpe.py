@@ -19,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from itertools import groupby
 
@@ -70,7 +71,7 @@ def _is_latin(text: str) -> bool:
 
 
 class Encoder:
-    """Encodes and decodes texts with the tokenizer whose JSON text is given. One for each task."""
+    """Encodes and decodes texts with the tokenizer whose JSON text is given. One for each Python worker: see `encoder`."""
 
     def __init__(self, tokenizer_json: str, leaf: int = LEAF):
         spec = json.loads(tokenizer_json)
@@ -184,6 +185,13 @@ class Encoder:
         return b"".join([self.bytes_of[i] for i in ids]).decode(errors="replace")
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of this process. Workers run many tasks: each would build its own, begin without chunks, and leave the last one
+    to the garbage collector, since an encoder and its chunks refer to each other."""
+    return Encoder(tokenizer_json)
+
+
 def tokenizer_text(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -199,9 +207,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     (ids,), shared = fresh(docs, ids), _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        bpe = encoder(shared.value)
         for batch in batches:
-            rows = [encoder.encode(t).astype(np.int32) for t in column(batch, text).to_pylist()]
+            rows = [bpe.encode(t).astype(np.int32) for t in column(batch, text).to_pylist()]
             yield with_columns(batch, [ids], [pa.array(rows, pa.list_(pa.int32()))])
 
     return docs.mapInArrow(run, extended(docs, f"{ids} array<int>"))
@@ -212,9 +220,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     (text,), shared = fresh(df, text), _shared(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        bpe = encoder(shared.value)
         for batch in batches:
-            rows = [encoder.decode(r or ()) for r in column(batch, ids).to_pylist()]
+            rows = [bpe.decode(r or ()) for r in column(batch, ids).to_pylist()]
             yield with_columns(batch, [text], [pa.array(rows, pa.string())])
 
     return df.mapInArrow(run, extended(df, f"{text} string"))
@@ -226,13 +234,13 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     names = fresh(docs.drop(text), "n_tokens", "ids_sha256", "decoded_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        bpe = encoder(shared.value)
         for batch in batches:
             rows = []
             for t in column(batch, text).to_pylist():
-                ids = encoder.encode(t).tolist()
-                written = ",".join([encoder.digits_of[i] for i in ids])
-                rows.append((len(ids), sha256(written.encode()).hexdigest(), sha256(encoder.decode(ids).encode()).hexdigest()))
+                ids = bpe.encode(t).tolist()
+                written = ",".join([bpe.digits_of[i] for i in ids])
+                rows.append((len(ids), sha256(written.encode()).hexdigest(), sha256(bpe.decode(ids).encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield with_columns(batch, names, [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)],
                                drop=(text,))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.bpe import Encoder, tokenizer_text
+from codequarry.llm.bpe import encoder, tokenizer_text
 from codequarry.llm.frames import column
 from codequarry.session import written
 
@@ -193,12 +193,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     more = ", ids array<int>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(shared.value), TaskContext.get().partitionId()
+        bpe, part = encoder(shared.value), TaskContext.get().partitionId()
         number: Counter[int] = Counter()
         for batch in batches:
             rows, owners = [], []
             for i, t in enumerate(column(batch, text).to_pylist()):
-                ids = np.append(encoder.encode(t), np.uint32(end_id)).astype("<u4")
+                ids = np.append(bpe.encode(t), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % size or size
                 for p, start in enumerate([0, *range(first, len(ids), size)]):
                     piece = ids[start : first if p == 0 else start + size]

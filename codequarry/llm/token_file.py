@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.bpe import Encoder, tokenizer_text
+from codequarry.llm.bpe import encoder, tokenizer_text
 from codequarry.llm.frames import column
 from codequarry.session import written
 
@@ -113,7 +113,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     bits = width(shared.value, end_id)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, number, held, n, table = Encoder(shared.value), TaskContext.get().partitionId(), 0, 0, [], 0, []
+        bpe, part, seq, number, held, n, table = encoder(shared.value), TaskContext.get().partitionId(), 0, 0, [], 0, []
 
         def shard(goes_on: bool) -> pa.RecordBatch:
             raw = shard_bytes(np.concatenate(held), np.array(table, _TABLE), bits, part, seq, goes_on)
@@ -121,7 +121,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
 
         for batch in batches:
             for doc_id, text_of in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-                ids, begin, piece = np.append(encoder.encode(text_of.as_py()), np.uint32(end_id)), 0, 0
+                ids, begin, piece = np.append(bpe.encode(text_of.as_py()), np.uint32(end_id)), 0, 0
                 while begin < len(ids):
                     taken = ids[begin : begin + shard_ids - n]
                     table.append((doc_id or 0, doc_id is not None, number, piece, n))

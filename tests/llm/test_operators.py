@@ -150,6 +150,11 @@ def test_tree_concatenation(letters):
         assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_tasks_of_a_worker_share_an_encoder():
+    text = bpe.tokenizer_text(JSON)
+    assert bpe.encoder(text) is bpe.encoder(bpe.tokenizer_text(JSON))
+
+
 def test_packing(docs, none):
     out = packing.pack(docs, JSON, with_ids=True).toPandas()
     by = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
