@@ -98,6 +98,14 @@ class Shard:
         start = first * self.block
         return unpacked(words, min(self.n_ids, (last + 1) * self.block) - start, self.bits)[a - start : b - start]
 
+    def spans(self, whole: bool) -> list[tuple[int, int]]:
+        """Ranges of neighbouring documents that are whole in this shard, or that are not."""
+        held = self.docs["piece"] == 0
+        held[-1:] &= not self.open
+        at = np.flatnonzero(held == whole)
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        return [(int(r[0]), int(r[-1]) + 1) for r in np.split(at, cuts) if len(r)]
+
 
 def shard_bytes(ids: np.ndarray, docs: np.ndarray, bits: int, part: int, seq: int, goes_on: bool) -> bytes:
     words = packed(ids, bits)
@@ -161,29 +169,32 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and its ids, end id included, as little-endian 32-bit integers (binary)."""
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in column(batch, "content"):
-                s = Shard(content.as_buffer())
-                ids, d = s.ids().astype("<u4", copy=False), s.docs
-                ends = np.append(d["begin"][1:], s.n_ids)
-                whole = d["piece"] == 0
-                whole[-1:] &= not s.open
-                raw = pa.Array.from_buffers(pa.large_binary(), len(d), [None, pa.py_buffer(np.append(d["begin"], s.n_ids) * 4), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d["doc_id"], mask=d["known"] == 0), pa.array(np.full(len(d), s.part)), pa.array(np.full(len(d), s.seq)), pa.array(d["number"]),
-                     pa.array(d["piece"]), pa.array(d["begin"]), pa.array(ends - d["begin"]), pa.array(whole), raw.cast(pa.binary())],
-                    ["doc_id", "part", "seq", "number", "piece", "begin", "n", "whole", "ids"])
-
-    found = _contents(spark, path).select("content").mapInArrow(
-        pieces, "doc_id bigint, part bigint, seq bigint, number bigint, piece bigint, begin bigint, n bigint, whole boolean, ids binary")
-    placed = found.join(spark.read.parquet(f"{path}/index").select("part", "seq", F.col("start").alias("shard_start")), ["part", "seq"])
-    placed = placed.withColumn("start", F.col("shard_start") + F.col("begin"))
+    def placed(wanted: bool) -> DataFrame:
+        """Whole documents of the shards, or the pieces of those that go on in the next; blocks that hold none are not unpacked."""
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in column(batch, "content"):
+                    s = Shard(content.as_buffer())
+                    for a, b in s.spans(wanted):
+                        d = s.docs[a:b]
+                        edges = np.append(s.docs["begin"], s.n_ids)[a : b + 1]
+                        ids = s.ids(int(edges[0]), int(edges[-1])).astype("<u4", copy=False)
+                        raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((edges - edges[0]) * 4), pa.py_buffer(ids)])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(d["doc_id"], mask=d["known"] == 0), pa.array(np.full(b - a, s.part)), pa.array(np.full(b - a, s.seq)),
+                             pa.array(d["number"]), pa.array(d["piece"]), pa.array(edges[:-1]), raw.cast(pa.binary())],
+                            ["doc_id", "part", "seq", "number", "piece", "begin", "ids"])
+
+        found = _contents(spark, path).select("content").mapInArrow(
+            pieces, "doc_id bigint, part bigint, seq bigint, number bigint, piece bigint, begin bigint, ids binary")
+        index = spark.read.parquet(f"{path}/index").select("part", "seq", F.col("start").alias("shard_start"))
+        return found.join(index, ["part", "seq"]).withColumn("start", F.col("shard_start") + F.col("begin"))
+
     # a document that several shards hold is put together; it is one row, as it was
-    rest = placed.filter("not whole").groupBy("part", "number").agg(
+    rest = placed(False).groupBy("part", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("pieces"))
     joined = F.aggregate("pieces", F.lit(b""), lambda done, p: F.concat(done, p["ids"]))
-    return placed.filter("whole").select("doc_id", "start", "ids").union(rest.select("doc_id", "start", joined.alias("ids")))
+    return placed(True).select("doc_id", "start", "ids").union(rest.select("doc_id", "start", joined.alias("ids")))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

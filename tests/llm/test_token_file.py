@@ -71,3 +71,16 @@ def test_long_text_and_empty_table(spark):
     path = scratch_path(spark, "token-test")
     token_file.write(spark.createDataFrame([], "doc_id bigint, text string"), JSON, path)
     assert token_file.digests(spark, path).count() == 0
+
+
+def test_a_reader_unpacks_only_the_spans_it_wants(monkeypatch):
+    n, block = 40 * token_file.BLOCK, token_file.BLOCK
+    ids = np.arange(n, dtype=np.uint32) % 50_000
+    docs = np.array([(1, 1, 0, 2, 0), (2, 1, 1, 0, 10), (3, 1, 2, 0, 20 * block), (4, 1, 3, 0, n - 10)], token_file._TABLE)
+    s, asked, real = token_file.Shard(token_file.shard_bytes(ids, docs, 16, 0, 0, True)), [], token_file.unpacked
+    monkeypatch.setattr(token_file, "unpacked", lambda words, k, bits: asked.append(k) or real(words, k, bits))
+    assert s.spans(True) == [(1, 3)] and s.spans(False) == [(0, 1), (3, 4)]
+    assert s.ids(0, 10).tolist() == ids[:10].tolist() and s.ids(n - 10, n).tolist() == ids[-10:].tolist()
+    assert sum(asked) == 2 * block
+    alone = token_file.Shard(token_file.shard_bytes(ids, docs[:1], 16, 0, 0, True))
+    assert alone.spans(True) == [] and alone.spans(False) == [(0, 1)]
