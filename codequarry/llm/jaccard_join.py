@@ -5,7 +5,7 @@ their first n - ceil(p n) + 1 and m - ceil(p m) + 1 ones share a shingle. Three
 count-min sketch of the whole corpus knows to occur once. Order one goes on by the counts of a load sketch, rare shingles first;
 orders two and three go by coarse classes of these counts, and shuffle those of a class by a hash of their own. Order one is an
 inverted file that proposes pairs; a pair must share a prefix shingle under orders two and three as well before its sets are
-compared. Size and position bounds apply to the pairs of order one.
+compared. Size and position bounds apply to the pairs of order one, and the parities of a set's shingles in PARITIES slots bound a pair's difference.
 
 Stages:
 1. Both sketches, of fixed size, in one pass. Only prefix shingles that may occur twice are posted: few texts have any.
@@ -45,9 +45,11 @@ LOAD_CELLS, BLOOM_CELLS = 1 << 20, 1 << 26
 #: Cells of the count-min sketch: about CELLS_A_WORD a word of the corpus, but no fewer and no more than these (64 MB of bits at most). Beyond some
 #: 10**8 words more single shingles look repeated; then prefixes hold more shared ones, and more is posted.
 CELLS_A_WORD, LEAST_CELLS, MOST_CELLS = 6, 1 << 22, 1 << 29
-#: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times the postings
-#: or fewer, or when a round left more than the share STEADY of them.
+#: Random orders that choose pivots, and pivots of a posting list in a star round. Star rounds end when the pairs left across components are LINEAR times all postings
+#: or fewer, or when a round left more than the share STEADY of them; there is none if the pairs are no more than the postings.
 ORDERS, PIVOTS, LINEAR, STEADY = 4, 16, 8, 0.75
+#: Slots of the parities of a set, a multiple of 64.
+PARITIES = 256
 #: Rows of a block of a posting list in the pass over all pairs.
 BLOCK = 256
 _U = np.uint64
@@ -141,6 +143,12 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int((mix(shingles + _U(k)).sum(dtype=np.uint64) + size).astype(np.int64)) for k in (11, 12))
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of PARITIES slots, as 64-bit words. Those of two sets differ in no more slots than the sets in shingles."""
+    slot = (mix(shingles + _U(31)) & _U(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _bloom_places(keys: np.ndarray) -> np.ndarray:
     return np.stack([(mix(keys + _U(k)) & _U(BLOOM_CELLS - 1)).astype(np.int64) for k in (21, 22, 23)])
 
@@ -179,6 +187,12 @@ def _bounded(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * rest >= percent * (nx + ny))
 
 
+def _close(x: str, y: str, percent: int):
+    """A bound on the shingles that only one of a pair has, from the parities of both sets, in whole numbers."""
+    apart = sum((F.bit_count(F.col(f"bits_{x}")[k].bitwiseXOR(F.col(f"bits_{y}")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"n_{x}") + F.col(f"n_{y}"))
+
+
 def _all_pairs(postings: DataFrame) -> DataFrame:
     """All pairs of the rows of each list: row, n, pos of both. A list is cut into blocks, and a task's key is a pair of blocks."""
     blocks = postings.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -220,7 +234,7 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
     firsts = rows.filter("size(tokens) > 0").join(classes.select("row"), "row", "left_semi")
     postings = (firsts.select("row", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
                 .select(F.col("p.tokens").alias("token"), F.col("p.places").cast("bigint").alias("pos"), "row", "n"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    shared = postings.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
     postings = written(postings.join(shared, "token"), "jaccard-postings")
 
     wanted = classes.join(postings.select("row").distinct(), "row", "left_semi")
@@ -234,47 +248,62 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
             hit = ((bloom.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0) & np.array([len(s) > 0 for s in sets], bool)
             keep = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(marks[keep, 0]), pa.array(marks[keep, 1]), *[pa.array([f(sets[i]).view(np.int64) for i in keep], pa.list_(pa.int64()))
-                 for f in (lambda s: s, lambda s: orders.value.prefix(s, 2), lambda s: orders.value.prefix(s, 3))]],
-                ["d1", "d2", "shingles", "second", "third"])
+                [pa.array(marks[keep, 0]), pa.array(marks[keep, 1]), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
+                 # half of a shingle's bits will do for a filter: a shared shingle shares them
+                 *[pa.array([orders.value.prefix(sets[i], k).astype(np.uint32).view(np.int32) for i in keep], pa.list_(pa.int32())) for k in (2, 3)],
+                 pa.array([_parities(sets[i]) for i in keep], pa.list_(pa.int64()))],
+                ["d1", "d2", "shingles", "second", "third", "bits"])
 
     # only a class's first text passes the filter (and repeated rows of it), so copies do not travel
-    sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<bigint>, third array<bigint>")
+    sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<int>, third array<int>, bits array<bigint>")
     sets = written(sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2"), "jaccard-sets")
+    bits = sets.select("row", "bits").dropDuplicates(["row"])  # repeated rows have their sets twice
     orders.destroy()  # what they were needed for is written
     bloom.destroy()
     del orders, bloom  # the driver's Python keeps the values otherwise
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Filters of orders two and three, then the exact comparison."""
-        early, full = sets.select("row", "second", "third"), sets.select("row", "shingles")
-        near = pairs
+        """Filters by parities and by orders two and three, then the exact comparison."""
+        early, near = sets.select("row", F.size("shingles").alias("n"), "second", "third", "bits"), pairs
         for side in ("x", "y"):
-            near = near.join(early.select(F.col("row").alias(side), F.col("second").alias(f"s_{side}"), F.col("third").alias(f"t_{side}")), side)
-        near = near.filter(F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y")).select("x", "y")
+            near = near.join(early.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("second").alias(f"s_{side}"), F.col("third").alias(f"t_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        near = near.filter(_close("x", "y", percent) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y")).select("x", "y")
+        near = written(near, "jaccard-near")
+        # written, since its size tells whether a list of the rows can be broadcast: then other rows' sets do not travel
+        full = sets.select("row", "shingles").join(near.select(F.col("x").alias("row")).union(near.select("y")).distinct(), "row", "left_semi")
         for side in ("x", "y"):
             near = near.join(full.select(F.col("row").alias(side), F.col("shingles").alias(f"f_{side}")), side)
         both = F.size(F.array_intersect("f_x", "f_y"))
         union = F.size("f_x") + F.size("f_y") - both
         return near.filter(100 * both >= percent * union).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    every, roots, before = postings, None, None
+    # at first every row is a component of its own
+    every, roots, before, whole = postings.drop("times"), None, None, 0
+    open_lists = postings.withColumn("root", F.col("row")).withColumn("work", (F.col("times") - 1) / 2).drop("times")
     for turn in count(0):
-        labelled = postings.withColumn("root", F.col("row"))
         if roots is not None:
-            labelled = postings.join(roots, postings["row"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row")).drop("node")
-        # a list's pairs across components, shared out to its rows
-        mixed = labelled.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        mixed = mixed.filter("all * all > same").select("token", ((F.col("all") - F.col("same") / F.col("all")) / 2).alias("work"))
-        open_lists = written(labelled.join(mixed, "token"), "jaccard-open")
-        postings = open_lists.drop("root", "work")  # a list within one component stays so
+            # labels meet rows, not postings; then each row deals its label out to its lists
+            by_row = open_lists.groupBy("row", "n").agg(F.collect_list(F.struct("token", "pos")).alias("p"))
+            by_row = by_row.join(roots, by_row["row"] == roots["node"], "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.explode("p").alias("p"))
+            labelled = written(by_row.select("p.token", "row", "n", "p.pos", "root"), "jaccard-labelled")
+            # a list's pairs across components, shared out to its rows; a list within one component stays so
+            mixed = labelled.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+            mixed = mixed.filter("all * all > same").select("token", ((F.col("all") - F.col("same") / F.col("all")) / 2).alias("work"))
+            open_lists = written(labelled.join(mixed, "token"), "jaccard-open")
         work, size = open_lists.agg(F.coalesce(F.sum("work"), F.lit(0.0)), F.count("*")).first()
-        last = work <= LINEAR * size or (before is not None and work > STEADY * before)
+        if turn == 0:  # a first star round compares a pair a posting
+            whole, last = size, work <= size
+        else:
+            last = work <= LINEAR * whole or work > STEADY * before
         before = work
         left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos", "root")])
         if last:
-            right = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "pos", "root")])
-            pairs = left.join(right, "token").filter("row_x < row_y and root_x <> root_y")
+            # the parities meet rows, too; they leave few of the pairs that share a passage only
+            by_row = open_lists.groupBy("row", "n", "root").agg(F.collect_list(F.struct("token", "pos")).alias("p")).join(bits, "row")
+            open_lists = by_row.select("row", "n", "root", "bits", F.explode("p").alias("p")).select("p.token", "row", "n", "p.pos", "root", "bits")
+            left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos", "root", "bits")])
+            right = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "pos", "root", "bits")])
+            pairs = left.join(right, "token").filter("row_x < row_y and root_x <> root_y").filter(_close("x", "y", percent))
         else:
             # pivots of a list: the least of each slot in one of ORDERS random orders; rows meet those of lesser components
             kind = F.pmod("token", F.lit(ORDERS))
@@ -294,13 +323,16 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
         if last:
             break
 
-    by_row = classes.join(roots, classes["row"] == roots["node"], "left").select("d1", "d2", "id", "row", F.coalesce("root", "row").alias("root"))
-    least = by_row.groupBy("root").agg(F.min("id").alias("component_id"))
+    # only linked classes have a component to look up; the others are their own
+    linked = classes.join(roots, classes["row"] == roots["node"]).select("row", "root", "id")
+    least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = roots.join(least, "root").select("node", "component_id")
+    known = classes.join(named, classes["row"] == named["node"], "left").select("d1", "d2", "id", "row", F.coalesce("component_id", "id").alias("component_id"))
     links = None
     if all_links:
         pairs = _all_pairs(every).filter(_bounded("x", "y", percent)).select(F.col("row_x").alias("x"), F.col("row_y").alias("y")).distinct()
         links = written(verified(pairs), "jaccard-all-links")
-    return rows.select("id", F.col("n").alias("n_shingles"), "d1", "d2"), by_row.join(least, "root").drop("root"), links
+    return rows.select("id", F.col("n").alias("n_shingles"), "d1", "d2"), known, links
 
 
 def _component() -> Column:

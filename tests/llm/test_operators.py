@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import bpe, chat, jaccard_join, language_id, line_quality, packing, permutation_index, secret_scan, substring_dedup, toxicity
+from codequarry.llm import bpe, chat, graph, jaccard_join, language_id, line_quality, packing, permutation_index, secret_scan, substring_dedup, toxicity
 from codequarry.llm.frames import held_out, table
 from codequarry.llm.graph import components
 from codequarry.llm.queries import CHECKS, QUERIES, vocabulary
+from codequarry.session import written
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,40 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(50, 60)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    assert got == dict.fromkeys(range(30), 0) | {50: 50, 60: 50}
+    assert len(rounds) == 1  # links are not stored again, and no round is spent to see that nothing changes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parities_bound_the_difference(seed):
+    draw = np.random.default_rng(seed)
+    for _ in range(100):
+        pool = draw.integers(0, 1 << 63, size=draw.integers(1, 900), dtype=np.uint64)
+        x, y = (np.unique(draw.choice(pool, draw.integers(1, len(pool) + 1))) for _ in "xy")
+        apart = sum(int(w).bit_count() for w in (jaccard_join._parities(x) ^ jaccard_join._parities(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+
+
+def test_jaccard_group_below_the_threshold(spark, monkeypatch):
+    """Texts that share most of their rare words but do not link: few pairs reach the exact comparison, and labels meet rows, not postings."""
+    stored, pick = {}, random.Random(3)
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: stored.setdefault(name, []).append(df) or written(df, name))
+    words = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join(w if pick.random() > 0.04 else f"{w}.{i}" for w in words)) for i in range(80)]
+    rows += [(100 + i, " ".join(words[:140] + [f"x{i}"])) for i in range(5)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == jaccard_join.brute_force(rows)
+    assert sum(df.count() for df in stored["jaccard-near"]) < 80 * 79 / 4
+    for df in stored["jaccard-labelled"]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode(p") < plan.index("Join LeftOuter")  # the join stands below
+
+
 def test_bpe(docs, none):
     whole = bpe.Tokenizer.from_file(JSON)
     ids = bpe.encode(docs, JSON)
