@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.bpe import encoder, tokenizer_text
@@ -121,23 +121,26 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     bits = width(shared.value, end_id)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seq, number, held, n, table = encoder(shared.value), TaskContext.get().partitionId(), 0, 0, [], 0, []
+        bpe, part, seq, number, held, n, table = encoder(shared.value), TaskContext.get().partitionId(), 0, 0, np.empty(shard_ids, np.uint32), 0, []
 
         def shard(goes_on: bool) -> pa.RecordBatch:
-            raw = shard_bytes(np.concatenate(held), np.array(table, _TABLE), bits, part, seq, goes_on)
+            raw = shard_bytes(held[:n], np.array(table, _TABLE), bits, part, seq, goes_on)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["shard"])
 
         for batch in batches:
             for doc_id, text_of in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-                ids, begin, piece = np.append(bpe.encode(text_of.as_py()), np.uint32(end_id)), 0, 0
-                while begin < len(ids):
-                    taken = ids[begin : begin + shard_ids - n]
+                ids, begin, piece = bpe.encode(text_of.as_py()), 0, 0
+                size = len(ids) + 1
+                while begin < size:
+                    taken = min(size - begin, shard_ids - n)
                     table.append((doc_id or 0, doc_id is not None, number, piece, n))
-                    held.append(taken)
-                    begin, piece, n = begin + len(taken), piece + 1, n + len(taken)
+                    held[n : n + min(taken, len(ids) - begin)] = ids[begin : begin + taken]
+                    begin, piece, n = begin + taken, piece + 1, n + taken
+                    if begin == size:
+                        held[n - 1] = end_id
                     if n == shard_ids:
-                        yield shard(begin < len(ids))
-                        seq, held, n, table = seq + 1, [], 0, []
+                        yield shard(begin < size)
+                        seq, n, table = seq + 1, 0, []
                 number += 1
         if n:
             yield shard(False)
@@ -148,14 +151,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     files = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(shards, "shard binary")
     files.select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/shards", lineSep="\n")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([np.frombuffer(h.as_buffer(), "<i8") for h in column(batch, "head")], np.int64).reshape(-1, len(_HEADER))
-            columns = [pa.array(found[:, _HEADER.index(k)]) for k in ("part", "seq", "n_ids")]
-            yield pa.RecordBatch.from_arrays([column(batch, "path"), *columns], ["path", "part", "seq", "n_ids"])
+    head = F.hex(F.substring("content", 1, 8 * len(_HEADER)))
+
+    def number(name: str) -> Column:
+        """A little-endian number of the header, from its hexadecimal digits."""
+        first = 16 * _HEADER.index(name) + 1
+        return F.conv(F.concat(*[F.substring("head", first + 2 * k, 2) for k in reversed(range(8))]), 16, 10).cast("bigint").alias(name)
 
-    found = _contents(docs.sparkSession, path).select("path", F.substring("content", 1, 8 * len(_HEADER)).alias("head"))
-    listed = written(found.mapInArrow(heads, "path string, part bigint, seq bigint, n_ids bigint"), "token-heads")
+    found = _contents(docs.sparkSession, path).select("path", head.alias("head"))
+    listed = written(found.select("path", *[number(k) for k in ("part", "seq", "n_ids")]), "token-heads")
     # one row a task of the writing job
     parts = listed.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

@@ -84,3 +84,15 @@ def test_a_reader_unpacks_only_the_spans_it_wants(monkeypatch):
     assert sum(asked) == 2 * block
     alone = token_file.Shard(token_file.shard_bytes(ids, docs[:1], 16, 0, 0, True))
     assert alone.spans(True) == [] and alone.spans(False) == [(0, 1)]
+
+
+def test_headers_are_listed_without_python(spark, tmp_path, monkeypatch):
+    plans = {}
+    kept = token_file.written
+    monkeypatch.setattr(token_file, "written", lambda df, name, *a: (plans.update({name: df._jdf.queryExecution().toString()}), kept(df, name, *a))[1])
+    rows = [(i, "word " * i) for i in range(300)]
+    token_file.write(spark.createDataFrame(rows, "doc_id bigint, text string"), JSON, str(tmp_path), shard_ids=128)
+    assert "MapInArrow" not in plans["token-heads"]
+    listed = spark.read.parquet(f"{tmp_path}/index").orderBy("start").collect()
+    assert len(listed) > 256 and {r["n_ids"] for r in listed[:-8]} <= set(range(1, 129))
+    assert [r["start"] for r in listed] == [0, *[r["start"] + r["n_ids"] for r in listed[:-1]]]
