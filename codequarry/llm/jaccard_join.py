@@ -221,14 +221,20 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
             bounds = np.searchsorted(at, begin)
             place = at - np.repeat(begin[:-1], np.diff(bounds))
             marks = [_digest(s) if len(s) else (None, None) for s in sets]
+            some = np.diff(bounds) > 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbers.take(batch.num_rows)), column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                 lists(flat[at].view(np.int64), bounds), lists(place.astype(np.int32), bounds)],
-                ["row", "id", "n", "d1", "d2", "tokens", "places"])
+                 lists(flat[at].view(np.int64), bounds), lists(place.astype(np.int32), bounds),
+                 # for rows that are posted; half of a shingle's bits will do for a filter: a shared shingle shares them
+                 *[pa.array([orders.value.prefix(s, k).astype(np.uint32).view(np.int32) if p else None for s, p in zip(sets, some, strict=True)], pa.list_(pa.int32())) for k in (2, 3)],
+                 pa.array([_parities(s) if p else None for s, p in zip(sets, some, strict=True)], pa.list_(pa.int64()))],
+                ["row", "id", "n", "d1", "d2", "tokens", "places", "second", "third", "bits"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(posted, f"row bigint, id {id_type}, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, places array<int>"), "jaccard-rows")
+    rows = written(docs.mapInArrow(posted, f"row bigint, id {id_type}, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, places array<int>, second array<int>, third array<int>, bits array<bigint>"), "jaccard-rows")
+    orders.destroy()  # what they were needed for is written, and workers need not hold them beside the sets
+    del orders  # the driver's Python keeps the value otherwise
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("id").alias("id"))
     classes = written(classes, "jaccard-classes")
     firsts = rows.filter("size(tokens) > 0").join(classes.select("row"), "row", "left_semi")
@@ -248,23 +254,19 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
             hit = ((bloom.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0) & np.array([len(s) > 0 for s in sets], bool)
             keep = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(marks[keep, 0]), pa.array(marks[keep, 1]), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
-                 # half of a shingle's bits will do for a filter: a shared shingle shares them
-                 *[pa.array([orders.value.prefix(sets[i], k).astype(np.uint32).view(np.int32) for i in keep], pa.list_(pa.int32())) for k in (2, 3)],
-                 pa.array([_parities(sets[i]) for i in keep], pa.list_(pa.int64()))],
-                ["d1", "d2", "shingles", "second", "third", "bits"])
+                [pa.array(marks[keep, 0]), pa.array(marks[keep, 1]), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
+                ["d1", "d2", "shingles"])
 
     # only a class's first text passes the filter (and repeated rows of it), so copies do not travel
-    sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>, second array<int>, third array<int>, bits array<bigint>")
+    sets = docs.withColumn("id_mark", id_mark).mapInArrow(compared, "d1 bigint, d2 bigint, shingles array<bigint>")
     sets = written(sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).drop("d1", "d2"), "jaccard-sets")
-    bits = sets.select("row", "bits").dropDuplicates(["row"])  # repeated rows have their sets twice
-    orders.destroy()  # what they were needed for is written
     bloom.destroy()
-    del orders, bloom  # the driver's Python keeps the values otherwise
+    del bloom
+    filters = written(rows.select("row", "n", "second", "third", "bits").join(wanted.select("row"), "row", "left_semi"), "jaccard-filters")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Filters by parities and by orders two and three, then the exact comparison."""
-        early, near = sets.select("row", F.size("shingles").alias("n"), "second", "third", "bits"), pairs
+        early, near = filters, pairs
         for side in ("x", "y"):
             near = near.join(early.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("second").alias(f"s_{side}"), F.col("third").alias(f"t_{side}"), F.col("bits").alias(f"bits_{side}")), side)
         near = near.filter(_close("x", "y", percent) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y")).select("x", "y")
@@ -299,7 +301,7 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
         left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos", "root")])
         if last:
             # the parities meet rows, too; they leave few of the pairs that share a passage only
-            by_row = open_lists.groupBy("row", "n", "root").agg(F.collect_list(F.struct("token", "pos")).alias("p")).join(bits, "row")
+            by_row = open_lists.groupBy("row", "n", "root").agg(F.collect_list(F.struct("token", "pos")).alias("p")).join(filters.select("row", "bits"), "row")
             open_lists = by_row.select("row", "n", "root", "bits", F.explode("p").alias("p")).select("p.token", "row", "n", "p.pos", "root", "bits")
             left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "pos", "root", "bits")])
             right = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "pos", "root", "bits")])
