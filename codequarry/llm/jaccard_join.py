@@ -295,6 +295,8 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, percent: int, all_l
         work, size = open_lists.agg(F.coalesce(F.sum("work"), F.lit(0.0)), F.count("*")).first()
         if turn == 0:  # a first star round compares a pair a posting
             whole, last = size, work <= size
+        elif not work:  # no list has rows of two components
+            break
         else:
             last = work <= LINEAR * whole or work > STEADY * before
         before = work

@@ -140,6 +140,39 @@ def test_components_end_with_stars(spark, monkeypatch):
     assert len(rounds) == 1  # links are not stored again, and no round is spent to see that nothing changes
 
 
+def _least_reached(links):
+    root = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("at_once", [0, 3, 64, graph.AT_ONCE])
+def test_components_of_any_size(spark, at_once):
+    """Contracted by one task, by partitions first, or by star rounds: the same roots."""
+    pick = random.Random(at_once)
+    links = [(i, i + 1) for i in range(0, 25)] + [(500 - i, 499 - i) for i in range(25)] + [(900, 800 + i) for i in range(25)]
+    links += [(pick.randrange(1000, 1060), pick.randrange(1000, 1060)) for _ in range(40)] + [(7, 7)] + [(-5, 1 << 40)] * 2
+    pick.shuffle(links)
+    got = components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5), at_once).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["root"] for r in got} == _least_reached(links)
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), at_once).count() == 0
+
+
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """A path needs several star rounds, each with joins and files; one task contracts as few links as these."""
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint").repartition(7))
+    assert {r["node"]: r["root"] for r in got.collect()} == dict.fromkeys(range(301), 0)
+    assert rounds == ["links"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_parities_bound_the_difference(seed):
     draw = np.random.default_rng(seed)
