@@ -74,3 +74,56 @@ def test_repeated_rows_and_empty_table(spark):
     got = mined(spark, rows, F.col("id") == 10)
     assert len(got) == 8 and {r[:2] + r[3:] for r in got} == {(10, 1, 2, 256 * 256, 256 * 192)}
     assert mined(spark, [], F.col("id") == 10) == []
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "ROWS", 50)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 20)
+    r = np.random.default_rng(5)
+    rows = [(i, int(r.integers(6)), [float(np.float32(x)) for x in r.normal(0, 0.3, 6)]) for i in range(1500)]
+    rows += [(i, int(r.integers(6)), rows[i % 40][2]) for i in range(1500, 1700)]
+    assert mined(spark, rows, F.col("id") % 25 == 0) == brute_force(rows, lambda i: i % 25 == 0)
+
+
+def test_best_of_many_rounds():
+    r = np.random.default_rng(6)
+    line, score, ids = r.integers(0, 30, 4000), r.integers(-9, 9, 4000), r.integers(0, 500, 4000)
+    best = hard_negatives.Best(31, 4)
+    for s in range(0, 4000, 170):
+        best.add(line[s : s + 170], score[s : s + 170], ids[s : s + 170])
+    got = [x for part in best.kept() for x in zip(*(p.tolist() for p in part), strict=True)]
+    want = [(x, i, -s) for x in range(30) for s, i in sorted((-s, i) for y, s, i in zip(line.tolist(), score.tolist(), ids.tolist(), strict=True) if y == x)[:4]]
+    assert got == want
+
+
+def test_a_large_anchor_widens_no_other(monkeypatch):
+    kinds, init = [], hard_negatives.Packed.__init__
+
+    def noted(self, *more):
+        init(self, *more)
+        kinds.append(self.kind)
+
+    monkeypatch.setattr(hard_negatives.Packed, "__init__", noted)
+    vec = np.arange(40, dtype=np.int64).reshape(20, 2)
+    vec[7, 1] = 1 << 50
+    ids, labels = np.arange(20), np.zeros(20, np.int64)
+    block = {"block": 0, "n": 20, "dim": 2, "width": 8, "ids": ids.tobytes(), "labels": labels.tobytes(), "vecs": vec.tobytes()}
+    cell = hard_negatives._Positives([block], 2, 4)
+    cell.meet(ids + 100, labels, np.arange(40, dtype=np.int64).reshape(20, 2))
+    assert len(kinds) > 1 and kinds.count(object) == 1
+    got = {a: (i, s) for part in cell.found() for a, i, s in zip(*(part.column(c).to_pylist() for c in ("anchor", "id", "score")), strict=True) if i == 119}
+    assert got == {a: (119, 38 * int(x) + 39 * int(y)) for a, (x, y) in enumerate(vec)}
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    # the anchors' copies for all slots were broadcast, as Spark takes their size from before they are made
+    plans, write = [], hard_negatives.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(hard_negatives, "written", lambda df, *more, **named: write(noted(df), *more, **named))
+    df = spark.createDataFrame([(i, [i / 100, 1.0 - i / 100], i % 3) for i in range(100)], "vec_id bigint, embedding array<float>, label int")
+    noted(hard_negatives.mine(df, F.col("id") % 50 == 0, F.col("label")))
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
